@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,3 +42,11 @@ def blocks_for(total: float, each: float, least: int = 1) -> int:
 def key128(*columns: Column) -> list[Column]:
     """Two independent 64-bit hashes: an equality key for texts that need not be shipped whole."""
     return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit("second key"), *columns).alias("h2")]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut, as a compressed columnar table in the same folder: for rows that carry texts."""
+    spark = with_checkpoints(df.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import fmindex, packing, quality, sharding, urls
+from strandline.llm import fmindex, lempel, nearcopies, packing, quality, sharding, suffixes, urls
 from strandline.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.substring_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed are the URLs of the pages whose id is divisible by 20; all pages are judged."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -30,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "keeper")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_filter(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality")
@@ -41,6 +50,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_lempel_ziv_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lempel.lempel_ziv_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 SQL_PARTS = r"""
 host_path AS (
   SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -71,7 +85,10 @@ SELECT page_id, host, path, rule, l.canonical IS NOT NULL AS listed,
 FROM ruled LEFT JOIN listed l ON ruled.canonical = l.canonical
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_url_filter, op6_decontamination, op8_quality_rules, op9_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_suffix_dedup, op4_url_filter, op6_decontamination, op7_minhash_neardup, op8_quality_rules, op9_sharding, op10_lempel_ziv_dedup)
+}
 
 ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL}
 
