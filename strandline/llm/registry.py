@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import fmindex, lempel, nearcopies, packing, quality, sharding, suffixes, urls
+from strandline.llm import fmindex, lempel, lines, nearcopies, packing, quality, sharding, suffixes, urls, warc
 from strandline.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.substring_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.line_dedup(docs).select("doc_id", "n_lines", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed are the URLs of the pages whose id is divisible by 20; all pages are judged."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -28,6 +33,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_payload_digest", F.sha2("block", 256).alias("block_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = fmindex.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -87,10 +97,39 @@ FROM ruled LEFT JOIN listed l ON ruled.canonical = l.canonical
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_suffix_dedup, op4_url_filter, op6_decontamination, op7_minhash_neardup, op8_quality_rules, op9_sharding, op10_lempel_ziv_dedup)
+    for f in (op1_best_fit_packing, op2_suffix_dedup, op3_line_dedup, op4_url_filter, op5_warc_derivatives, op6_decontamination, op7_minhash_neardup, op8_quality_rules, op9_sharding, op10_lempel_ziv_dedup)
 }
 
-ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL}
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+),
+worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+),
+triples AS (
+  SELECT doc_id, k, line AS l1, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3 FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+),
+later AS (
+  SELECT doc_id, k FROM (
+    SELECT doc_id, k, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, k) AS nth FROM triples WHERE l3 IS NOT NULL
+  ) WHERE nth > 1
+),
+dead AS (SELECT DISTINCT doc_id, k + i AS k FROM later, (VALUES (0), (1), (2)) AS o(i)),
+marked AS (
+  SELECT l.doc_id, l.pos, l.line, w.k, d.k IS NOT NULL AS gone
+  FROM lines l LEFT JOIN worded w USING (doc_id, pos) LEFT JOIN dead d ON d.doc_id = l.doc_id AND d.k = w.k
+),
+starts AS (SELECT doc_id, count(*) AS n_spans FROM dead d WHERE NOT EXISTS (SELECT 1 FROM dead e WHERE e.doc_id = d.doc_id AND e.k = d.k - 1) GROUP BY doc_id),
+sums AS (
+  SELECT doc_id, count(k) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN sums USING (doc_id) LEFT JOIN starts USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
