@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from strandline.plans import core, market, relational, research
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "trade_flow_window"
+MODULES = (market, relational, research)
 
-FLAGSHIP = "flagship"
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, core.Query]:
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.ORACLES)
