@@ -1,0 +1,235 @@
+"""Audits, identities, sets, joins and payload parsing over the stored tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandline.functions import prices, text
+from strandline.operators import normalize, publish
+from strandline.plans.core import query
+from strandline.sources import tables as t
+
+# -- audits -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, day, count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(DISTINCT dom) AS domains FROM ev GROUP BY GROUPING SETS ((event_type, day), (event_type), ())")
+def audit_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-01, AGG-02, AGG-33: counts and spans by several groupings in one pass."""
+    e = t.events(spark, d)
+    return e.groupingSets([["event_type", "day"], ["event_type"], []], "event_type", "day").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count_distinct("dom").alias("domains"))
+
+
+@query("SELECT dom, arg_min(event_id, (us, event_id)) AS first_id, arg_max(event_id, (us, event_id)) AS last_id, min(us) AS first_us, max(us) AS last_us, count(*) AS n, list_sort(list(DISTINCT event_type))::VARCHAR AS kinds FROM ev GROUP BY dom")
+def audit_domains(spark, d):
+    """AGG-04, AGG-24, AGG-32: first and last row of each causal domain, and its kinds."""
+    at = F.struct("us", "event_id")
+    kinds = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set("event_type")), ", "), F.lit("]"))
+    return t.events(spark, d).groupBy("dom").agg(F.min_by("event_id", at).alias("first_id"), F.max_by("event_id", at).alias("last_id"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"), kinds.alias("kinds"))
+
+
+@query("SELECT k.event_type, count(ev.event_id) AS n FROM (VALUES ('view'), ('click'), ('purchase'), ('signup'), ('error'), ('gap'), ('feed_status')) k(event_type) LEFT JOIN ev USING (event_type) GROUP BY k.event_type")
+def expected_kinds(spark, d):
+    """AGG-01: expected kinds without rows count 0."""
+    expected = spark.createDataFrame([(k,) for k in ("view", "click", "purchase", "signup", "error", "gap", "feed_status")], "event_type string")
+    counts = t.events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
+    return F.broadcast(expected).join(counts, "event_type", "left").select("event_type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT dom, count(*) FILTER (us > pu AND wall < pw) AS anomalies FROM (SELECT dom, us, us + (event_id % 7 - 3) * 60000000 AS wall, lag(us) OVER w AS pu, lag(us + (event_id % 7 - 3) * 60000000) OVER w AS pw FROM ev WINDOW w AS (PARTITION BY dom ORDER BY us, event_id)) GROUP BY dom")
+def clock_anomalies(spark, d):
+    """AGG-06: one clock forward while the other runs back."""
+    w = Window.partitionBy("dom").orderBy("us", "event_id")
+    e = t.events(spark, d).withColumn("wall", F.col("us") + (F.col("event_id") % 7 - 3) * 60_000_000)
+    e = e.select("dom", "us", "wall", F.lag("us").over(w).alias("pu"), F.lag("wall").over(w).alias("pw"))
+    return e.groupBy("dom").agg(F.count(F.when((F.col("us") > F.col("pu")) & (F.col("wall") < F.col("pw")), 1)).alias("anomalies"))
+
+
+@query("WITH c AS (SELECT event_type, event_id % 500 AS tid, count(*) AS n FROM ev GROUP BY ALL) SELECT event_type, CAST(sum(greatest(n - 1, 0)) AS BIGINT) AS duplicates, count(*) AS ids FROM c GROUP BY event_type")
+def duplicate_ids(spark, d):
+    """AGG-07, I7: repeated stable ids are counted, not removed."""
+    c = t.events(spark, d).groupBy("event_type", (F.col("event_id") % 500).alias("tid")).agg(F.count("*").alias("n"))
+    return c.groupBy("event_type").agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("duplicates"), F.count("*").alias("ids"))
+
+
+@query("SELECT event_type, flags & 54 AS kind, count(*) AS n FROM (SELECT event_type, CASE WHEN event_id % 17 = 0 THEN 32 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 8 ELSE 0 END AS flags FROM ev) WHERE (flags & 54) <> 0 GROUP BY ALL")
+def quality_flags(spark, d):
+    """FIL-03, AGG-34: bit-mask filter."""
+    e, when = F.col("event_id"), lambda m, v: F.when(F.col("event_id") % m == 0, v).otherwise(0)
+    x = t.events(spark, d).select("event_type", (when(17, t.SUSPECT) + when(5, t.GAP) + when(7, t.DUPLICATE)).alias("flags"))
+    mask = t.GAP | t.STALE | t.SUSPECT | t.BACKFILL
+    return x.where(prices.flagged(F.col("flags"), mask)).groupBy("event_type", F.col("flags").bitwiseAND(mask).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT concat_ws(':', 'PARSER_ERROR', event_type, CAST(event_id % 4 AS VARCHAR)) AS error, count(*) AS n FROM ev WHERE event_type IN ('error', 'signup') GROUP BY ALL")
+def error_codes(spark, d):
+    """AGG-03: composite error keys."""
+    key = F.concat_ws(":", F.lit("PARSER_ERROR"), "event_type", (F.col("event_id") % 4).cast("string"))
+    return t.events(spark, d).where(F.col("event_type").isin("error", "signup")).groupBy(key.alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (us >= 1704672000000000 AND us < 1705276800000000) AS inside, count(DISTINCT day) AS days FROM ev WHERE us >= 1704067200000000 AND us < 1706745600000000")
+def time_range(spark, d):
+    """FIL-07, FIL-13, SRC-16: half-open time ranges."""
+    us = F.col("us")
+    e = t.events(spark, d).where((us >= 1704067200000000) & (us < 1706745600000000))
+    return e.agg(F.count("*").alias("n"), F.count(F.when((us >= 1704672000000000) & (us < 1705276800000000), 1)).alias("inside"), F.count_distinct("day").alias("days"))
+
+
+@query("SELECT us // 86400000000 - 19723 < 10 AS development, us // 86400000000 - 19723 BETWEEN 10 AND 19 AS selection, count(*) AS n FROM ev GROUP BY ALL")
+def partition_membership(spark, d):
+    """FIL-10: three-way partition by time."""
+    day = F.expr("us div 86400000000L - 19723")
+    return t.events(spark, d).groupBy((day < 10).alias("development"), day.between(10, 19).alias("selection")).agg(F.count("*").alias("n"))
+
+
+# -- identities ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, lower(p_brand) || '.' || CAST(p_size AS VARCHAR) || '.spot' AS dotted FROM part", views=False)
+def slug_ids(spark, d):
+    """STR-02, STR-03: canonical identifiers."""
+    p = t.table(spark, d, "part")
+    return p.select("p_partkey", text.slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug"), text.dotted(F.lower("p_brand"), F.col("p_size").cast("string"), F.lit("spot")).alias("dotted"))
+
+
+@query("SELECT event_id, 'opp-' || substr(sha256(CAST(event_id AS VARCHAR) || '|' || CASE WHEN event_id % 3 = 0 THEN 'None' ELSE CAST(event_id + 1 AS VARCHAR) END || '|50'), 1, 24) AS opportunity_id, sha256(event_type || chr(0) || CAST(event_id AS VARCHAR)) AS event_key FROM ev")
+def opportunity_ids(spark, d):
+    """STR-04..07: digests as ids; a missing exit is the word None."""
+    e = F.col("event_id")
+    return t.events(spark, d).select("event_id", text.opportunity_id(e, F.when(e % 3 != 0, e + 1), F.lit(50)).alias("opportunity_id"), text.joined_id(F.col("event_type"), e).alias("event_key"))
+
+
+@query("SELECT event_id, CASE WHEN ('0x' || substr(sha256('7|' || CAST(event_id AS VARCHAR)), 1, 2))::INTEGER % 2 = 1 THEN 'LONG' ELSE 'SHORT' END AS action FROM ev")
+def control_random(spark, d):
+    """STR-13, UDF-03: reproducible random direction without a UDF."""
+    return t.events(spark, d).select("event_id", text.coin(F.lit(7), F.col("event_id")).alias("action"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|' || CAST(us AS VARCHAR) || '|' || CAST(cents AS VARCHAR)), 1, 15))::BIGINT % 1000000007)::BIGINT AS digest FROM ev GROUP BY event_type")
+def content_digest(spark, d):
+    """CAN-02, CAN-03, SNK-11: a digest of a row set that does not depend on its order."""
+    return publish.content_digest(t.events(spark, d), ["event_type"], ["event_id", "us", "cents"])
+
+
+# -- sets and joins -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, dom, us, 'primary' AS feed FROM q UNION ALL SELECT event_id, dom, us, 'reference' AS feed FROM rq")
+def union_all_feeds(spark, d):
+    """SET-01, SET-02: concatenation of feeds."""
+    one = lambda kind, name: t.quotes(spark, d, kind).select("event_id", "dom", "us", F.lit(name).alias("feed"))
+    return one("view", "primary").unionByName(one("click", "reference"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')", views=False)
+def semi_payload(spark, d):
+    """SRC-14, SRC-15: rows whose payload exists."""
+    lines = t.table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    return t.table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')", views=False)
+def anti_missing(spark, d):
+    """SET-03: ids that are missing on the other side."""
+    done = t.table(spark, d, "orders").where("o_orderstatus = 'F'")
+    return t.table(spark, d, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS k, 1 + o_orderkey % 4 AS expected FROM orders WHERE o_orderkey % 10 <> 0), f AS (SELECT l_orderkey AS k, count(*) AS found FROM lineitem WHERE l_orderkey % 10 <> 1 GROUP BY l_orderkey)
+SELECT CASE WHEN f.k IS NULL THEN 'MISSING_FILE' WHEN m.k IS NULL THEN 'UNLISTED_FILE' WHEN expected = found THEN 'OK' WHEN found < expected THEN 'TRUNCATED' ELSE 'EXTRA_ROWS' END AS state, count(*) AS n
+FROM m FULL JOIN f ON m.k = f.k GROUP BY ALL""", views=False)
+def full_outer_manifest(spark, d):
+    """SNK-05, JOIN-16: what a manifest says against what is there."""
+    m = t.table(spark, d, "orders").where("o_orderkey % 10 <> 0").select(F.col("o_orderkey").alias("k"), (1 + F.col("o_orderkey") % 4).alias("expected"))
+    f = t.table(spark, d, "lineitem").where("l_orderkey % 10 <> 1").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("found"))
+    return publish.storage_audit(m, f, "k").groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o.o_orderkey, l.l_linenumber, l.l_partkey, CAST(o.o_orderkey % 50 AS BIGINT) AS domain FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderpriority = '1-URGENT' AND l.l_quantity > 45", views=False)
+def header_payload(spark, d):
+    """JOIN-01, JOIN-02, SRC-12, SRC-13: header and payload with pushed filters."""
+    o = t.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    lines = t.table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey")
+    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_partkey", (F.col("o_orderkey") % 50).alias("domain"))
+
+
+@query("SELECT c.c_custkey, n.n_name, r.r_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = 'ASIA'", views=False)
+def registry_lookup(spark, d):
+    """JOIN-18, SRC-31: lookups in small fixed registries."""
+    n, r = t.table(spark, d, "nation"), t.table(spark, d, "region").where("r_name = 'ASIA'")
+    small = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    return t.table(spark, d, "customer").join(small, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT count(*) FILTER (a.n IS NULL) AS only_right, count(*) FILTER (b.n IS NULL) AS only_left, count(*) FILTER (a.n <> b.n) AS differing, count(*) FILTER (a.n = b.n) AS same FROM (SELECT dom, count(*) AS n FROM q GROUP BY dom) a FULL JOIN (SELECT dom, count(*) AS n FROM rq GROUP BY dom) b USING (dom)")
+def frozen_equality(spark, d):
+    """JOIN-17, SET-04: rebuilt rows against stored ones, key by key."""
+    count = lambda k, n: t.quotes(spark, d, k).groupBy("dom").agg(F.count("*").alias(n))
+    both = count("view", "a").join(count("click", "b"), "dom", "full_outer")
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    a, b = F.col("a"), F.col("b")
+    return both.agg(n(a.isNull(), "only_right"), n(b.isNull(), "only_left"), n(a != b, "differing"), n(a == b, "same"))
+
+
+@query("""WITH days AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY))::DATE AS d)
+SELECT strftime(d, '%Y-%m-%d') AS day, s AS symbol, k AS kind, day(d) = 1 AS first_of_month FROM days, (VALUES ('aaa'), ('bbb')) x(s), (VALUES ('book'), ('trades')) y(k)""", views=False)
+def archive_plan(spark, d):
+    """SRC-35, SRC-36, SUP-37, DT-05: archive specifications; both factors are fixed lists."""
+    days = spark.range(1).select(F.explode(F.expr("sequence(DATE'2024-01-01', DATE'2024-03-31', INTERVAL 1 DAY)")).alias("d"))
+    kinds = days.withColumn("symbol", F.explode(F.array(F.lit("aaa"), F.lit("bbb")))).withColumn("kind", F.explode(F.array(F.lit("book"), F.lit("trades"))))
+    return kinds.select(F.date_format("d", "yyyy-MM-dd").alias("day"), "symbol", "kind", (F.dayofmonth("d") == 1).alias("first_of_month"))
+
+
+# -- payloads -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, sha256(props) AS payload_sha256 FROM ev WHERE event_type <> 'error'")
+def json_normalize(spark, d):
+    """SRC-08, JSN-05, FIL-15: fields of JSON payloads and their digests."""
+    e = t.events(spark, d).where("event_type <> 'error'")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.sha2("props", 256).alias("payload_sha256"))
+
+
+FRAME_SQL = """CASE event_id % 6 WHEN 0 THEN '{"channel":"pong"}' WHEN 1 THEN '{"channel":"trades","data":[]}'
+  WHEN 2 THEN '{"channel":"trades","data":[{"coin":"C' || dom || '","side":"Q","px":"1.0","sz":"1","hash":"h","time":1,"tid":1,"users":["a","b"]}]}'
+  WHEN 3 THEN '{"channel":"trades","data":[{"coin":"C' || dom || '","side":"A","px":"' || cents || '.50","sz":"2","hash":"h","time":' || us // 1000 || ',"tid":' || event_id || ',"users":["a","b"]},{"coin":"C' || dom || '","side":"B","px":"-1","sz":"2","hash":"h","time":1,"tid":1,"users":["a","b"]}]}'
+  ELSE '{"channel":"trades","data":[{"coin":"C' || dom || '","side":"A","px":"' || cents || '.50","sz":"2","hash":"h","time":' || us // 1000 || ',"tid":' || event_id || ',"users":["a","b"]},{"coin":"C' || dom || '","side":"B","px":"7","sz":"1.0","hash":"h","time":' || us // 1000 || ',"tid":' || event_id || ',"users":["a","b"]}]}' END"""
+
+
+def feed_frames(spark, d) -> DataFrame:
+    """Trade-feed frames made from events: pongs, empty, broken and good ones."""
+    sql = FRAME_SQL.replace("us // 1000", "us div 1000")
+    return t.events(spark, d).select("event_id", F.expr(sql).alias("payload"))
+
+
+@query("""SELECT CASE event_id % 6 WHEN 0 THEN 'NOT_APPLICABLE' WHEN 1 THEN 'EMPTY' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'ERROR' ELSE 'EVENTS' END AS outcome,
+  CASE event_id % 6 WHEN 2 THEN 'BAD_SIDE' WHEN 3 THEN 'BAD_PRICE' END AS error, count(*) AS n FROM ev GROUP BY ALL""")
+def frame_outcomes(spark, d):
+    """JSN-02, ARR-02, SUP-01, SUP-03: frames are good or bad as a whole, with the first error."""
+    return normalize.trade_frames(feed_frames(spark, d)).groupBy("outcome", "error").agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT * FROM ev WHERE event_id % 6 IN (4, 5)), b AS (SELECT *, unnest([0, 1]) AS ordinal FROM g)
+SELECT event_id, CAST(ordinal AS INTEGER) AS ordinal, 'C' || dom AS coin, CASE ordinal WHEN 0 THEN cents || '.50' ELSE '7' END AS price_exact, CASE ordinal WHEN 0 THEN '2' ELSE '1.0' END AS size_exact,
+  CASE ordinal WHEN 0 THEN 'SELL' ELSE 'BUY' END AS aggressor_side, us // 1000 * 1000000 AS exchange_ts_ns, us // 1000 || ':C' || dom || ':' || event_id AS trade_id FROM b""")
+def explode_trades(spark, d):
+    """ARR-02, STR-08, DT-03, WIN-17: elements of good frames; the source's decimal text is kept."""
+    rows = normalize.trade_events(feed_frames(spark, d).withColumnRenamed("event_id", "frame_id"), "frame_id").drop("event_id")
+    return rows.select(F.col("frame_id").alias("event_id"), "ordinal", "coin", "price_exact", "size_exact", "aggressor_side", "exchange_ts_ns", "trade_id")
+
+
+@query("SELECT o_orderkey, CAST(count(l_linenumber) AS BIGINT) AS lines, list_sort(list(l_linenumber))::VARCHAR AS numbers, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' GROUP BY o_orderkey", views=False)
+def child_arrays(spark, d):
+    """ARR-01, WIN-18: child rows as ordered arrays."""
+    o = t.table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey")
+    lines = t.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.array_sort(F.collect_list("l_linenumber")).alias("x"), F.sum("l_quantity").cast("long").alias("quantity"))
+    return o.join(lines, "o_orderkey").select("o_orderkey", "lines", F.concat(F.lit("["), F.array_join(F.transform("x", lambda v: v.cast("string")), ", "), F.lit("]")).alias("numbers"), "quantity")
+
+
+@query("SELECT event_id, CASE WHEN cents % 7 = 0 THEN '-0.00' WHEN cents % 11 = 0 THEN '1e5' ELSE cents // 100 || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') || '00' END AS raw, CASE WHEN cents % 7 = 0 THEN '0.00' WHEN cents % 11 = 0 THEN NULL ELSE cents // 100 || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') || '00' END AS exact FROM ev")
+def exact_decimals(spark, d):
+    """I1, I2, STR-01: plain decimals keep their zeros, minus zero is zero, exponents are refused."""
+    c = F.col("cents")
+    raw = F.when(c % 7 == 0, "-0.00").when(c % 11 == 0, "1e5").otherwise(F.concat(F.expr("cents div 100").cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"), F.lit("00")))
+    return t.events(spark, d).select("event_id", raw.alias("raw")).select("event_id", "raw", text.plain_decimal(F.col("raw")).alias("exact"))
