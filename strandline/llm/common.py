@@ -30,8 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows of one Arrow batch: they carry whole texts, and ten thousand long ones would not fit a worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after making Arrow batches of this session small enough for rows with whole texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
 
 
 def blocks_for(total: float, each: float, least: int = 1) -> int:
