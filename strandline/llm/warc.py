@@ -27,13 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.common import small_batches
+
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 HEAD = re.compile(r"<head\b[^>]*+>.*?</head\s*>", re.S | re.I)
 TITLE = re.compile(r"<title\b[^>]*+>(.*?)</title\s*>", re.S | re.I)
 TAG = re.compile(r"""<[/!?a-zA-Z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>""")
 LINE_TAG = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|title|body|html)\b", re.I)
-LINK = re.compile(r"""<(a|area|link|img|script|iframe|source)\b(?:[^<>"']++|"[^"]*+"|'[^']*+')*?\b(href|src)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'<>]++))""", re.I)
+LINK_TAG = re.compile(r"<(a|area|link|img|script|iframe|source)\b", re.I)
+ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'<>]++))""")
 LANG = re.compile(r"""<html\b[^>]*?\blang\s*+=\s*+["']?([A-Za-z-]++)""", re.I)
 
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_payload_digest string, headers array<struct<name:string,value:string>>, block binary"
@@ -58,15 +61,19 @@ def plain_text(markup: str) -> str:
 def links_of(markup: str, base: str) -> list[dict]:
     """Links in the order of the page, resolved against its URL."""
     out = []
-    for tag, attribute, *values in LINK.findall(re.sub(r"<!--.*?(?:-->|\Z)", "", markup, flags=re.S)):
-        target = html.unescape(next((v for v in values if v), "")).strip()
+    for tag in TAG.finditer(markup):
+        name = LINK_TAG.match(tag[0])
+        found = next((x for x in ATTRIBUTE.findall(tag[0]) if x[0].lower() in ("href", "src")), None) if name else None
+        if not found:
+            continue
+        target = html.unescape(next((v for v in found[1:] if v), "")).strip()
         if not target:
             continue
         try:
             target = urljoin(base, target) if base else target
         except ValueError:
             pass
-        out.append({"path": f"{tag.upper()}@/{attribute.lower()}", "url": target})
+        out.append({"path": f"{name[1].upper()}@/{found[0].lower()}", "url": target})
     return out
 
 
@@ -79,7 +86,7 @@ def responses(pages: DataFrame, url: str = "url", body: str = "html", key: str =
             pdf["http_headers"] = [[{"name": "Content-Type", "value": "text/html; charset=utf-8"}, {"name": "Content-Length", "value": str(len(b or b""))}] for b in pdf["body"]]
             yield pdf[["page_id", "record_id", "target_uri", "date", "http_headers", "body"]]
 
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("target_uri"), F.lit(date).alias("date"), F.col(body).cast("binary").alias("body"))
+    rows = small_batches(pages).select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("target_uri"), F.lit(date).alias("date"), F.col(body).cast("binary").alias("body"))
     return rows.mapInPandas(run, "page_id long, record_id string, target_uri string, date string, http_headers array<struct<name:string,value:string>>, body binary")
 
 
