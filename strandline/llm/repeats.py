@@ -12,7 +12,7 @@ is sparse sampling first, exact comparison of what is left second:
    same full are repeated entirely. What is left are cores with several fulls: the edges of repeated passages.
 3. *Edges.* One representative of each full is sent, with its symbols, to the operator's own exact method, which finds
    the repeated windows among them. A core with more than `hot` fulls (a passage that a large part of all documents
-   embeds) is not sent to one task: its windows go one by one through a partially aggregated count.
+   embeds) is not sent to one task: its windows are counted one by one, by hash, at most one of each kind from a block.
 4. *Documents.* The spans come back to the documents' blocks, and are merged there.
 
 Documents are dealt into blocks by a hash of their id; the block exchange is the same in steps 1, 3 and 4, so that Spark
@@ -42,11 +42,14 @@ BLOCK_BYTES = 6 << 20
 BUCKET_RECORDS = 8_000
 #: Fulls of one core beyond which its windows are counted one by one.
 HOT = 1_500
+#: Windows in one bucket of those counted one by one.
+BUCKET_WINDOWS = 20_000
 #: Cores whose leading symbols are sampled for the splitters.
 SPLITTER_SAMPLE = 50_000
 
 ENTRY = np.dtype([("core", "<u8"), ("full", "<u8"), ("doc", "<i4"), ("at", "<u4"), ("offset", "<u2"), ("more", "<u2")])
 SPAN = np.dtype([("doc", "<i4"), ("start", "<u4"), ("end", "<u4")])
+ASK = np.dtype([("core", "<u8"), ("h", "<u8"), ("doc", "<i4"), ("at", "<u4"), ("whole", "<u2")])
 EDGE = np.dtype([("core", "<u8"), ("doc", "<i4"), ("at", "<u4"), ("offset", "<u2"), ("more", "<u2"), ("whole", "<u2")])
 
 
@@ -274,7 +277,9 @@ def repeated_spans(docs: DataFrame, method: Method, text: str, doc: str, finish:
     marks = cut(entries.groupBy("bucket").applyInPandas(meet, "kind string, block int, packed binary, n long"))
 
     # Splitters: quantiles of the sampled leading symbols of edge cores, by their number of records.
-    n_edges = marks.where("kind = 'edge'").agg(F.sum("n")).first()[0] or 0
+    sizes = {r["kind"]: r["n"] for r in marks.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    n_edges = sizes.get("edge", 0)
+    n_hot = blocks_for(sizes["hot"] * g.region / 2, BUCKET_WINDOWS) if sizes.get("hot") else 0
     n_buckets = blocks_for(n_edges, BUCKET_RECORDS)
     sample = marks.where("kind = 'lead'").select("packed", "n").toPandas().sort_values("packed")
     weight = sample["n"].cumsum().to_numpy()
@@ -297,8 +302,7 @@ def repeated_spans(docs: DataFrame, method: Method, text: str, doc: str, finish:
                 lead = np.array([x[: method.lead] for x in pdf["center"]], dtype=f"S{method.lead}")
                 pdf["bucket"] = np.searchsorted(splitters, lead, side="right").astype(np.int32)
                 return pdf[["bucket", "core", "block", "doc", "at", "whole", "payload"]]
-            parts = [windows(r, method, width) for r in pdf.itertuples()]
-            return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame([], columns=["core", "h", "block", "doc", "at", "whole"])
+            return local_windows(int(key[0]), pdf, method, n_hot)
 
         return run
 
@@ -319,16 +323,20 @@ def repeated_spans(docs: DataFrame, method: Method, text: str, doc: str, finish:
     out_schema = "block int, packed binary"
     edges = joined("edge", "bucket int, core long, block int, doc int, at int, whole boolean, payload binary").groupBy("bucket").applyInPandas(resolve, out_schema)
     found = marks.where("kind = 'span'").select("block", "packed").unionByName(edges)
-    if marks.where("kind = 'hot'").limit(1).count():
-        single = joined("hot", "core long, h long, block int, doc int, at int, whole boolean")
-        again = single.groupBy("core", "h").agg(F.count("*").alias("n")).where("n > 1").select("core", "h")
-        hits = single.where("NOT whole").join(again, ["core", "h"], "left_semi").select("block", "doc", "at")
+    if n_hot:
+        asked = cut(joined("hot", "kind string, bucket int, block int, packed binary"))
 
-        def pack(batches):
-            for pdf in batches:
-                yield packed_spans([(b, d, a, a + width) for b, d, a in zip(pdf["block"], pdf["doc"], pdf["at"], strict=True)])
+        def count(key, pdf):
+            blobs = [np.frombuffer(x, dtype=ASK) for x in pdf["packed"]]
+            rows, block = np.concatenate(blobs), np.repeat(pdf["block"].to_numpy(), [len(x) for x in blobs])
+            order = np.lexsort((rows["h"], rows["core"]))
+            rows, block = rows[order], block[order]
+            again = twice(rows) & (rows["whole"] == 0)
+            rows, block = rows[again], block[again]
+            return packed_spans(np.stack([block, rows["doc"], rows["at"], rows["at"].astype(np.int64) + width], axis=1) if len(rows) else [])
 
-        found = found.unionByName(hits.mapInPandas(pack, out_schema))
+        found = found.unionByName(asked.where("kind = 'done'").select("block", "packed"))
+        found = found.unionByName(asked.where("kind = 'ask'").groupBy("bucket").applyInPandas(count, out_schema))
 
     def merge(key, left, right):
         left = in_order(left)
@@ -350,12 +358,34 @@ def packed_spans(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(b, r.tobytes()) for b, r in by_key(spans, table[:, 0])], columns=["block", "packed"])
 
 
-def windows(r, method: Method, width: int) -> pd.DataFrame:
-    """All windows of one hot record, by hash."""
-    symbols = method.symbols(r.payload)
-    at = np.arange(len(symbols) - width + 1)
-    h = Hasher(symbols, BASES[1])(at, at + width).view(np.int64)
-    return pd.DataFrame({"core": np.int64(r.core) ^ (r.offset - at), "h": h, "block": np.int32(r.block), "doc": np.int32(r.doc), "at": (r.at + at).astype(np.int32), "whole": bool(r.whole)})
+def twice(rows: np.ndarray) -> np.ndarray:
+    """Which of the rows, sorted by core and h, have a neighbour with the same."""
+    same = (rows["core"][1:] == rows["core"][:-1]) & (rows["h"][1:] == rows["h"][:-1])
+    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(rows) else np.zeros(0, dtype=bool)
+
+
+def local_windows(block: int, pdf: pd.DataFrame, method: Method, n_buckets: int) -> pd.DataFrame:
+    """Windows of a block's hot records: `done` are spans of those that occur twice in the block, `ask` one of each window."""
+    parts = []
+    for r in pdf.itertuples():
+        symbols = method.symbols(r.payload)
+        at = np.arange(len(symbols) - method.width + 1)
+        part = np.zeros(len(at), dtype=ASK)
+        part["core"] = mixed(np.full(len(at), r.core, dtype=np.int64).view(U) + (r.offset - at).astype(U) * U(BASES[1]))
+        part["h"] = Hasher(symbols, BASES[1])(at, at + method.width)
+        part["doc"], part["at"], part["whole"] = r.doc, r.at + at, r.whole
+        parts.append(part)
+    rows = np.concatenate(parts) if parts else np.zeros(0, dtype=ASK)
+    rows = rows[np.lexsort((rows["h"], rows["core"]))]
+    again = twice(rows)
+    head = np.concatenate([[True], (rows["core"][1:] != rows["core"][:-1]) | (rows["h"][1:] != rows["h"][:-1])]) if len(rows) else np.zeros(0, dtype=bool)
+    mine = rows[again & (rows["whole"] == 0)]
+    done = packed_spans(np.stack([np.full(len(mine), block), mine["doc"], mine["at"], mine["at"].astype(np.int64) + method.width], axis=1) if len(mine) else [])
+    asked = rows[head].copy()
+    asked["whole"] |= again[head]  # nothing more has to be told about these
+    out = [("done", -1, b, p) for b, p in zip(done["block"], done["packed"], strict=True)]
+    out += [("ask", b, block, r.tobytes()) for b, r in by_key(asked, asked["h"] % U(n_buckets))]
+    return pd.DataFrame(out, columns=["kind", "bucket", "block", "packed"])
 
 
 def coverage(n: int, spans: np.ndarray) -> np.ndarray:
