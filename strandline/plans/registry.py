@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import core, market, relational, research, streams
+from strandline.plans import core, lifecycle, market, relational, research, streams
 
 FLAGSHIP = "trade_flow_window"
-MODULES = (market, relational, research, streams)
+MODULES = (lifecycle, market, relational, research, streams)
 
 
 def queries() -> dict[str, core.Query]:
