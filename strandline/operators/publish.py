@@ -44,7 +44,7 @@ def canonical_json(value: object) -> str:
 def digest_of(df: DataFrame) -> dict:
     """Rows, digest and schema of a table."""
     row = content_digest(df.select(*[F.to_json(F.struct("*")).alias("row")]), [], ["row"]).first()
-    return {"rows": row["n"], "digest": row["digest"] or 0, "schema_sha256": hashlib.sha256(df.schema.json().encode()).hexdigest()}
+    return {"rows": row["n"], "digest": row["digest"] or 0, "schema_sha256": hashlib.sha256(df.schema.simpleString().encode()).hexdigest()}  # Parquet does not keep that a column is never null
 
 
 def _filesystem(spark: SparkSession, path: str):

@@ -198,3 +198,37 @@ def test_texts(spark):
     df = spark.createDataFrame([(" Foo--Bar! ", "-0.00"), ("__a__", "1.500"), (None, "1e5")], "s string, d string")
     got = [(r[0], r[1]) for r in df.select(text.slug(F.col("s")), text.plain_decimal(F.col("d"))).collect()]
     assert got == [("foo_bar", "0.00"), ("a", "1.500"), (None, None)]
+
+
+def test_capture_to_published_dataset(spark, tmp_path):
+    """The canonical scenario: nine frames of two sources give eight events, two control frames and one error."""
+    from strandline.operators import materialize
+
+    trade = {"coin": "X", "side": "A", "px": "100.5000", "sz": "2", "hash": "h", "time": 5, "tid": 7, "users": ["a", "b"]}
+    a = [
+        {"channel": "bbo", "data": {"coin": "X", "time": 1, "bbo": [{"px": "1.0", "sz": "2", "n": 1}, {"px": "2", "sz": "1", "n": 1}]}},
+        {"channel": "trades", "data": [trade]}, {"channel": "trades", "data": [trade]},
+        {"channel": "activeAssetCtx", "data": {"coin": "X", "ctx": {"funding": "0.0000100", "markPx": "1", "oraclePx": "2"}}},
+        {"channel": "subscriptionResponse"}, {"channel": "trades", "data": [trade | {"sz": 3, "side": "?"}]},
+    ]
+    b = [{"stream": "s", "data": {"e": "bookTicker", "s": "XY", "b": "1", "B": "2", "a": "3", "A": "4", "T": 9}}, {"stream": "s", "data": {"e": "aggTrade", "s": "XY", "p": "1", "q": "2", "a": 3, "T": 9, "m": True}}, {"result": None, "id": 1}]
+    (tmp_path / "a.rawlog").write_bytes(b"".join(rawlog.encode(*frame("a", k, p)) for k, p in enumerate(a)))
+    (tmp_path / "b.rawlog").write_bytes(b"".join(rawlog.encode(*frame("b", k, p)) for k, p in enumerate(b)))
+    frames = rawlog.raw_frames(spark, str(tmp_path))
+    got = {(r.what, r.name): r.n for r in materialize.report(materialize.normalized(frames)).collect()}
+    assert {k[1]: n for k, n in got.items() if k[0] == "outcome"} == {"EVENTS": 6, "NOT_APPLICABLE": 2, "ERROR": 1}
+    assert sum(n for k, n in got.items() if k[0] == "event_type") == 8 and sum(k[0] == "domain" for k in got) == 1
+    root = f"file://{tmp_path}/out"
+    one = materialize.publish_normalized(frames, root)
+    assert len(one["tables"]) == 11 and one["tables"]["trades"]["rows"] == 2 and one["tables"]["events"]["rows"] == 8
+    assert materialize.publish_normalized(frames.repartition(5), root) == one
+
+
+def test_lifecycle_reasons(spark):
+    from strandline.operators import lifecycle
+
+    a = spark.createDataFrame([(1, "x", None), (2, "y", 5)], "k long, p string, q long")
+    b = spark.createDataFrame([(1, "x", None), (2, "z", 6)], "k long, p string, q long")
+    assert {(r.k, r.column) for r in lifecycle.mismatches(a, b, ["k"], ["p", "q"]).collect()} == {(2, "p"), (2, "q")}
+    key = lambda *x: spark.createDataFrame([(v,) for v in x], "s string")
+    assert [r.s for r in lifecycle.pending(key("a", "b", "c"), key("b"), key("c"), "s").collect()] == ["a"]
