@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import prices, statistics
-from strandline.operators import lifecycle, quantiles
+from strandline.operators import horizons, lifecycle, quantiles
 from strandline.plans.core import query
 from strandline.plans.market import SHORT
 from strandline.sources import tables as t
@@ -166,3 +167,51 @@ def train_thresholds(spark, d):
     m = quantiles.nearest_ranks(e.where("day < '2024-01-19'"), ["event_type", "day"], "cents", ["0.9"], ["q90"]).groupBy("event_type").agg(F.max("q90").alias("threshold"))
     test = e.where("day >= '2024-01-19'").join(m, "event_type")
     return test.groupBy("event_type", "threshold").agg(F.count(F.when(F.col("cents") > F.col("threshold"), 1)).alias("above"), F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT us, row_number() OVER (ORDER BY us, event_id) AS rn, count(*) OVER () AS n FROM ev WHERE event_type = 'view'), b AS (SELECT us AS edge FROM r WHERE rn = n // 2)
+SELECT CASE WHEN us <= edge THEN 'DEV_A' ELSE 'DEV_B' END AS part, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM r, b GROUP BY ALL""")
+def chrono_split(spark, d):
+    """WIN-15: chronological halves; rows with the time of the last row of the first half all go to DEV_A.
+
+    The edge is a rank of counted times, so that no global row order is needed.
+    """
+    q = t.events(spark, d).where("event_type = 'view'").select(F.lit(0).alias("g"), "us")
+    ranks = quantiles.ranked(q, ["g"], "us")
+    edge = ranks.where((F.col("below") < F.expr("n div 2")) & (F.expr("n div 2") <= F.col("upto"))).select(F.col("us").alias("edge"))
+    part = F.when(F.col("us") <= F.col("edge"), "DEV_A").otherwise("DEV_B")
+    return q.crossJoin(F.broadcast(edge)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))  # one edge
+
+
+@query("""WITH s AS (SELECT event_type, count(*) AS n, count(*) FILTER (cents % 2 = 0) AS k FROM ev GROUP BY event_type), x AS (SELECT event_type, n, k, unnest(range(k, n + 1)) AS i FROM s)
+SELECT event_type, n, k, round(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))), 6) AS p_value FROM x GROUP BY event_type, n, k""")
+def binomial_tail(spark, d):
+    """MTH-09: exact upper tails of fair coins, by big integers on one row for each group."""
+    s = t.events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("cents") % 2 == 0, 1)).alias("k"))
+
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([float(statistics.upper_tail(int(a), int(b))) for a, b in zip(k, n, strict=True)])
+
+    return s.select("event_type", "n", "k", F.round(tail("k", "n"), 6).alias("p_value"))
+
+
+@query(f"""WITH g AS (SELECT dom, us - lag(us) OVER (PARTITION BY dom ORDER BY us, event_id) AS delta FROM ev), c AS (SELECT dom, greatest(quantile_disc(delta, 0.99), 1) AS tolerance FROM g WHERE delta > 0 GROUP BY dom)
+SELECT s.dom, count(*) AS candidates, count(*) FILTER (e.us - (s.us + {SHORT}) > tolerance) AS excluded, max(tolerance) AS tolerance FROM ev s ASOF JOIN ev e ON s.dom = e.dom AND s.us + {SHORT} <= e.us JOIN c ON c.dom = s.dom GROUP BY s.dom""")
+def overshoot_filter(spark, d):
+    """WIN-11 rule C: overlapping windows whose exit overshoots by more than the domain's 99 % cadence are counted out."""
+    e = t.events(spark, d).select("event_id", "dom", "us")
+    tolerance = quantiles.nearest_ranks(quantiles.positive_deltas(e, ["dom"], "us", ["event_id"]), ["dom"], "delta", ["0.99"], ["p99"]).select("dom", F.greatest("p99", F.lit(1)).alias("tolerance"))
+    w = horizons.overlapping(e, ["dom"], "us", "event_id", SHORT).where("exit_time IS NOT NULL").join(tolerance, "dom")
+    over = F.col("exit_time") - (F.col("us") + SHORT) > F.col("tolerance")
+    return w.groupBy("dom").agg(F.count("*").alias("candidates"), F.count(F.when(over, 1)).alias("excluded"), F.max("tolerance").alias("tolerance"))
+
+
+@query("SELECT o_orderkey, c_mktsegment, n_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-04-01'", views=False)
+def pruned_scan(spark, d):
+    """SRC-10..13, SRC-27: columns and ranges reach the scan."""
+    day = F.col("o_orderdate")
+    o = t.table(spark, d, "orders").where((day >= F.lit("1995-01-01").cast("timestamp")) & (day < F.lit("1995-04-01").cast("timestamp"))).select("o_orderkey", "o_custkey", "o_totalprice")
+    c = t.table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    n = t.table(spark, d, "nation").select("n_nationkey", "n_name")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_mktsegment", "n_name", "o_totalprice")
