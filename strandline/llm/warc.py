@@ -35,7 +35,7 @@ HEAD = re.compile(r"<head\b[^>]*+>.*?</head\s*>", re.S | re.I)
 TITLE = re.compile(r"<title\b[^>]*+>(.*?)</title\s*>", re.S | re.I)
 TAG = re.compile(r"""<[/!?a-zA-Z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>""")
 LINE_TAG = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|title|body|html)\b", re.I)
-LINK_TAG = re.compile(r"<(a|area|link|img|script|iframe|source)\b", re.I)
+LINK_TAG = re.compile(r"""<(a|area|link|img|script|iframe|source)\b((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.I)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'<>]++))""")
 LANG = re.compile(r"""<html\b[^>]*?\blang\s*+=\s*+["']?([A-Za-z-]++)""", re.I)
 
@@ -50,30 +50,31 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(0).join(map(str, parts)))}>"
 
 
+def visible(markup: str) -> str:
+    """Markup without comments, scripts, styles and templates."""
+    return HIDDEN.sub("", markup)
+
+
 def plain_text(markup: str) -> str:
-    """Visible text, one line for each block element."""
-    body = HEAD.sub("", HIDDEN.sub("", markup))
-    body = TAG.sub(lambda m: "\n" if LINE_TAG.match(m[0]) else "", re.sub(r"\s+", " ", body))
-    lines = (re.sub(r"\s+", " ", html.unescape(x)).strip() for x in body.split("\n"))
+    """Text of visible markup, one line for each block element."""
+    body = TAG.sub(lambda m: "\n" if LINE_TAG.match(m[0]) else "", " ".join(HEAD.sub("", markup).split()))
+    lines = (" ".join(html.unescape(x).split()) for x in body.split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def links_of(markup: str, base: str) -> list[dict]:
-    """Links in the order of the page, resolved against its URL."""
+    """Links of visible markup in the order of the page, resolved against its URL."""
     out = []
-    for tag in TAG.finditer(markup):
-        name = LINK_TAG.match(tag[0])
-        found = next((x for x in ATTRIBUTE.findall(tag[0]) if x[0].lower() in ("href", "src")), None) if name else None
-        if not found:
-            continue
-        target = html.unescape(next((v for v in found[1:] if v), "")).strip()
+    for name, inside in LINK_TAG.findall(markup):
+        found = next((x for x in ATTRIBUTE.findall(inside) if x[0].lower() in ("href", "src")), None)
+        target = html.unescape(next((v for v in found[1:] if v), "")).strip() if found else ""
         if not target:
             continue
         try:
             target = urljoin(base, target) if base else target
         except ValueError:
             pass
-        out.append({"path": f"{name[1].upper()}@/{found[0].lower()}", "url": target})
+        out.append({"path": f"{name.upper()}@/{found[0].lower()}", "url": target})
     return out
 
 
@@ -96,14 +97,15 @@ def derive_one(page, source: str, uri: str | None, date: str, http, body: bytes
     http = [(h["name"], h["value"]) for h in (http if http is not None else [])]
     raw = b"HTTP/1.1 200 OK\r\n" + b"".join(f"{n}: {v}\r\n".encode() for n, v in http) + b"\r\n" + body
     payload = sha1(body)
-    text = plain_text(markup).encode()
+    seen = visible(markup)
+    text = plain_text(seen).encode()
     ids = {kind: record_id(kind, source) for kind in ("metadata", "conversion")}
-    title = TITLE.search(HIDDEN.sub("", markup))
+    title = TITLE.search(seen)
     lang = LANG.search(markup)
     envelope = {
         "warc": {"WARC-Type": "response", "WARC-Record-ID": source, "WARC-Target-URI": uri, "WARC-Date": date, "WARC-Payload-Digest": payload, "WARC-Block-Digest": sha1(raw)},
         "http": {"status": 200, "headers": dict(http), "entity_length": len(body)},
-        "html": {"title": " ".join(html.unescape(title[1]).split()) if title else None, "lang": lang[1] if lang else None, "links": links_of(HIDDEN.sub("", markup), uri)},
+        "html": {"title": " ".join(html.unescape(title[1]).split()) if title else None, "lang": lang[1] if lang else None, "links": links_of(seen, uri)},
         "conversion": {"WARC-Record-ID": ids["conversion"], "WARC-Block-Digest": sha1(text), "length": len(text)},
     }
     blocks = {"metadata": ("application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode()), "conversion": ("text/plain; charset=utf-8", text)}
