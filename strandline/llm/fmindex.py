@@ -25,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import small_batches
+
 WIDTH = 10
 #: Words of one shard.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
 #: Items of one block of the query set, and bytes of text it may bring to the driver.
 BLOCK_ITEMS = 20_000
 SAMPLE = 8
@@ -229,7 +231,7 @@ def blocks_of(items: DataFrame, item: str, text: str, most_items: int, most_byte
         if len(held) >= most_items or size >= most_bytes:
             yield held
             held, size = [], 0
-    yield held
+    yield held  # the last block may be empty
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -249,35 +251,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """docs (without the text) with n_words, n_hit, item_ids (sorted as strings) and spans (hit runs of words); with_text: and clean_text."""
     added = {"n_words", "n_hit", "item_ids", "spans", "clean_text"}
     left = [c for c in docs.columns if c != text and c not in added]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in left)
-    schema = schema + ", " if schema else ""
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in left)
     inner = f"{schema}_bytes binary, _hit binary, _items array<string>"
-    df = docs.select(*[F.col(f"`{c}`") for c in left], F.col(text).cast("binary").alias("_bytes"), F.lit(None).cast("binary").alias("_hit"), F.array().cast("array<string>").alias("_items"))
+    found = f"{schema}n_words long, n_hit long, item_ids array<string>, spans array<struct<start: int, end: int>>, clean_text binary"
+    df = small_batches(docs).select(*[F.col(f"`{c}`") for c in left], F.col(text).cast("binary").alias("_bytes"), F.lit(None).cast("binary").alias("_hit"), F.array().cast("array<string>").alias("_items"))
 
-    def search(block: list[tuple]):
+    def search(block: list[tuple], last: bool):
+        """Adds the hits of one block of items; the last block's pass also writes the result."""
         phrases = Phrases(block)
 
         def run(batches):
             for pdf in shards(batches):
-                found = search_shard(pdf["_bytes"].tolist(), phrases)
-                hits = [np.packbits(m | (np.unpackbits(np.frombuffer(h, np.uint8), count=n).astype(bool) if h is not None else False)).tobytes() for (n, m, _), h in zip(found, pdf["_hit"], strict=True)]
-                yield pdf.assign(_hit=hits, _items=[sorted(i.union(old)) for (_, _, i), old in zip(found, pdf["_items"], strict=True)])
+                out = []
+                for b, old_hit, old_items, (n, hit, items) in zip(pdf["_bytes"], pdf["_hit"], pdf["_items"], search_shard(pdf["_bytes"].tolist(), phrases), strict=True):
+                    if old_hit is not None:
+                        hit = hit | np.unpackbits(np.frombuffer(old_hit, np.uint8), count=n).astype(bool)
+                    names = sorted(items.union(old_items))
+                    if last:
+                        spans = spans_of(hit)
+                        clean = (without(b, spans) if spans else b) if with_text else None
+                        out.append((n, sum(y - x for x, y in spans), names, [{"start": x, "end": y} for x, y in spans], clean))
+                    else:
+                        out.append((b, np.packbits(hit).tobytes(), names))
+                columns = ["n_words", "n_hit", "item_ids", "spans", "clean_text"] if last else ["_bytes", "_hit", "_items"]
+                yield pd.concat([pdf.drop(columns=["_bytes", "_hit", "_items"]), pd.DataFrame(out, columns=columns, index=pdf.index)], axis=1)
 
         return run
 
-    for block in blocks_of(benchmark, item, item_text, most_items, BLOCK_BYTES):
-        df = df.mapInPandas(search(block), inner)
-
-    def finish(batches):
-        for pdf in batches:
-            out = []
-            for b, h, items in zip(pdf["_bytes"], pdf["_hit"], pdf["_items"], strict=True):
-                n = len(words_of(b))
-                spans = spans_of(np.unpackbits(np.frombuffer(h, np.uint8), count=n))
-                clean = (without(b, spans) if spans else b) if with_text else None
-                out.append((n, sum(y - x for x, y in spans), list(items), [{"start": x, "end": y} for x, y in spans], clean))
-            yield pd.concat([pdf.drop(columns=["_bytes", "_hit", "_items"]), pd.DataFrame(out, columns=["n_words", "n_hit", "item_ids", "spans", "clean_text"], index=pdf.index)], axis=1)
-
-    done = df.mapInPandas(finish, f"{schema}n_words long, n_hit long, item_ids array<string>, spans array<struct<start: int, end: int>>, clean_text binary")
+    blocks = blocks_of(benchmark, item, item_text, most_items, BLOCK_BYTES)
+    block = next(blocks)
+    for following in blocks:
+        df = df.mapInPandas(search(block, False), inner)
+        block = following
+    done = df.mapInPandas(search(block, True), found)
     return done.withColumn("clean_text", F.col("clean_text").cast("string")) if with_text else done.drop("clean_text")
-

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut
+from strandline.llm.common import cut, small_batches
 
 RUN = 3
 
@@ -49,24 +49,27 @@ def windows(docs: DataFrame, text: str, doc: str, run: int) -> DataFrame:
 
     def emit(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
-            out = []
-            for d, h, t in zip(pdf["_doc"], pdf["h"], pdf["_text"], strict=True):
+            out, counts, keep = [], [], []
+            for place, t in enumerate(pdf["_text"]):
                 lines = numbered(t)
-                if len(lines) < run:
+                n = len(lines) - run + 1
+                if n < 1:
                     continue
                 each = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64)
                 other = np.array([xxhash.xxh64_intdigest(x) for x in lines], dtype=np.uint64)
-                n = len(lines) - run + 1
-                marks = each[selected(each, run)].view(np.int64)
                 first, second = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
                 for k in range(run):
                     first = (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + each[k : k + n]
                     second = (second ^ (second >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + other[k : k + n]
-                out.append(pd.DataFrame({"_doc": [d] * n, "h": np.int64(h), "line": np.arange(n, dtype=np.int32), "mark": marks, "w1": first.view(np.int64), "w2": second.view(np.int64)}))
+                out.append(np.stack([np.arange(n), each[selected(each, run)].view(np.int64), first.view(np.int64), second.view(np.int64)], axis=1))
+                counts.append(n)
+                keep.append(place)
             if out:
-                yield pd.concat(out, ignore_index=True)
+                table = np.concatenate(out)
+                rows = pdf[["_doc", "h"]].iloc[np.repeat(keep, counts)].reset_index(drop=True)
+                yield rows.assign(line=table[:, 0].astype(np.int32), mark=table[:, 1], w1=table[:, 2], w2=table[:, 3])
 
-    source = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("_text"))
+    source = small_batches(docs).select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("_text"))
     return source.mapInPandas(emit, f"_doc {kind}, h long, line int, mark long, w1 long, w2 long")
 
 

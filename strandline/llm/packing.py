@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import blocks_for, cut
+from strandline.llm.common import blocks_for, cut, small_batches
 
 #: Pieces that one block packs.
 BLOCK_PIECES = 16_000
@@ -57,14 +57,17 @@ def tokenizer(json_file: str, ranks_file: str) -> Callable[[str], list[int]]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_file)
+    @lru_cache(maxsize=1)
+    def slow() -> Tokenizer:
+        return Tokenizer.from_file(json_file)
+
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
         if PLAIN.search(text):
-            return slow.encode(text, add_special_tokens=False).ids
+            return slow().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -96,7 +99,7 @@ def pieces(docs: DataFrame, most: int, text: str = "text", doc: str = "doc_id",
             yield pd.DataFrame(out, columns=["_doc", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).mapInPandas(run, f"_doc {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("_doc", doc)
+    return small_batches(docs).select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).mapInPandas(run, f"_doc {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("_doc", doc)
 
 
 def pack_vectors(vectors: np.ndarray, capacity: np.ndarray, weights: np.ndarray, fit: str = "norm") -> np.ndarray:

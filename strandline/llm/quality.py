@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import small_batches
+
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -138,7 +140,7 @@ def pattern_counts(docs: DataFrame, text: str, t: Thresholds) -> DataFrame:
         found = np.flatnonzero(total)
         yield pd.DataFrame({"code": found, "n": total[found]})
 
-    each = docs.select(F.col(text).cast("binary").alias("_bytes")).mapInPandas(count, "code long, n long")
+    each = small_batches(docs).select(F.col(text).cast("binary").alias("_bytes")).mapInPandas(count, "code long, n long")
     return each.groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -194,14 +196,15 @@ def judge(docs: DataFrame, model: LabelModel, text: str = "text", thresholds: Th
     posterior = model.posterior
     added = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes array<int>, quality double, kept boolean"
     names = [x.split()[0] for x in added.split(", ")]
+    # The text goes to Python and back once, as bytes.
     left = [c for c in docs.columns if c not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in left], F.col(text).cast("binary").alias("_bytes"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in left)
+    source = small_batches(docs).select(*[F.col(f"`{c}`") for c in left if c != text], F.col(text).cast("binary").alias("_bytes"))
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in left if c != text) + "_bytes binary"
 
     def run(batches):
         for pdf, c in measured(batches, thresholds):
             votes = votes_of(c, thresholds)
-            out = pdf.drop(columns="_bytes")
+            out = pdf.copy(deep=False)
             for k, name in enumerate(COUNTS):
                 out[name] = c[:, k]
             out["base_failed"] = (c[:, 0] < 10) | (100 * c[:, 4] > 20 * c[:, 0])
@@ -210,7 +213,8 @@ def judge(docs: DataFrame, model: LabelModel, text: str = "text", thresholds: Th
             out["kept"] = ~out["base_failed"] & (out["quality"] >= keep_at)
             yield out
 
-    return source.mapInPandas(run, f"{schema}, {added}" if schema else added)
+    judged = source.mapInPandas(run, f"{schema}, {added}")
+    return judged.select(*[F.col("_bytes").cast("string").alias(text) if c == text else F.col(f"`{c}`") for c in left], *names)
 
 
 def quality_filter(docs: DataFrame, text: str = "text", thresholds: Thresholds = Thresholds(), keep_at: float = 0.5) -> DataFrame:
