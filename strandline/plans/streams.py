@@ -13,7 +13,7 @@ from strandline.streaming import captures
 def stream(spark, d):
     schema = t.table(spark, d, "events").schema
     e = captures.replay(spark, d, "events", schema)
-    return e.select("event_id", F.col("user_id").alias("dom"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return e.select("event_id", F.col("user_id").alias("dom"), t.micros("ts").alias("us"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
 
 
 @query("SELECT us // 900000000 * 900000000 AS segment_start_us, event_type, count(*) AS n FROM ev GROUP BY ALL")

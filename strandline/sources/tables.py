@@ -6,7 +6,7 @@ user is a causal domain: times of two domains are never compared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUSPECT = 32
@@ -18,12 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp without a zone, whatever the session's zone is."""
+    return F.expr(f"unix_date(cast({ts} as date)) * 86400000000L + hour({ts}) * 3600000000L + minute({ts}) * 60000000L + cast(extract(SECOND FROM {ts}) * 1000000 as bigint)")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, dom, us, event_type, cents, day, props) of the event table."""
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.col("user_id").alias("dom"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        micros("ts").alias("us"),
         "event_type",
         F.round(F.col("value") * 100).cast("long").alias("cents"),
         F.date_format("ts", "yyyy-MM-dd").alias("day"),
