@@ -24,7 +24,7 @@ WIDTH = 200
 
 
 def symbols(text: bytes) -> np.ndarray:
-    return np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
+    return np.frombuffer(text, dtype=np.uint8)  # widened chunk by chunk
 
 
 def cutter(text: bytes):
