@@ -70,6 +70,22 @@ def test_words_equal_brute_force(spark, seed, hot):
             assert (got[k].n_words, got[k].n_removed, got[k].kept_sha256) == (len(w), len(g), hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_equal_words_share_a_bucket_whatever_their_blanks(spark, monkeypatch, seed):
+    from strandline.llm import repeats
+
+    monkeypatch.setattr(repeats, "BUCKET_RECORDS", 3)
+    words = corpus(seed, ["a", "b", "Ça", "dd"], most=200)
+    rng = random.Random(seed)
+    texts = ["".join(w + rng.choice([" ", "\n", " \t", "  \r\n"]) for w in t) for t in words]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split = [t.split() for t in texts]
+    got = {r.doc_id: r for r in lempel.lempel_ziv_dedup(docs, 15, block_bytes=3000).collect()}
+    for k, (w, g) in enumerate(zip(split, brute(split, 15), strict=True)):
+        kept = " ".join(x for i, x in enumerate(w) if i not in g).encode()
+        assert (got[k].n_words, got[k].n_removed, got[k].kept_sha256) == (len(w), len(g), hashlib.sha256(kept).hexdigest())
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.substring_dedup(docs).count() == 0
