@@ -15,7 +15,9 @@ links' connected components are found by min-label propagation over written tabl
 components goes on by deviations: let x and y be similar, and x not similar to the centre c. Then y deviates from c less
 than x does, and at least half of what y has more or less than c, x has more or less too. So nodes that have the same
 label that c lacks, or lack the same label that c has, meet in a group of that label, and those that deviate least are
-compared with all others there, if they are in different components so far. Each step is linear in what it reads.
+compared with all others there, if they are in different components so far. These rounds are cheap and choose; buckets
+that still hold several components afterwards go through an exact prefix-filter join on labels and deviations (`lasting`),
+which leaves out no pair of one bucket that can be similar.
 
 Defined cases: a null text or one without words is a class of its own. Repeated rows are copies of each other. The class
 of a document is the smallest id in it. Extra columns are ignored here. An empty table gives an empty result.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import cut, small_batches, stored
@@ -37,10 +39,12 @@ from strandline.llm.lempel import symbols
 from strandline.llm.repeats import mixed
 
 WORDS, SIMILARITY, BANDS, PICKS = 5, 0.8, 20, 4
-#: Rounds of comparing by common deviations, each with other centres; a round without a new link is the last.
+#: First rounds of comparing by common deviations, each with other centres; a round without a new link is the last.
 ROUNDS = 3
-#: Labels of a node that is far from its centre.
+#: Labels of a node that is far from its centre, in these rounds.
 FAR = 8
+#: Of the nodes that ask in the exact rounds, one of so many in each round; 1, the last, is all.
+SHARES = (64, 8, 1)
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 
@@ -168,17 +172,21 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
 
 
 def judged(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """pairs (a, b) with similar, size (labels that only one of them has), far, and these labels, packed, of either."""
+    """pairs (a, b) with similar, size (labels that only one of them has), far, these labels, packed, of either, and n_a, n_b.
+
+    Of a far pair only FAR labels are kept, which the first rounds use; `lasting` does not rely on them.
+    """
 
     def both(x: np.ndarray, y: np.ndarray, a: int, b: int) -> list[tuple]:
         mine, other = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
         size = len(mine) + len(other)
-        far = size > 0.4 * (len(x) + len(other))
+        # Under half of the similarity, with a margin: what is similar to a node that is similar to b is not far from b.
+        far = size > 2 * (1 - similarity) * (len(x) + len(other)) + 1e-6
         if far:
             mine, other = (np.sort(mixed(v))[:FAR] for v in (mine, other))
-        return [(a, b, aligned(x, y, similarity) >= similarity, size, far, mine.tobytes(), other.tobytes())]
+        return [(a, b, aligned(x, y, similarity) >= similarity, size, far, mine.tobytes(), other.tobytes(), len(x), len(y))]
 
-    return compared(pairs, texts, words, both, "a long, b long, similar boolean, size long, far boolean, only_a binary, only_b binary")
+    return compared(pairs, texts, words, both, "a long, b long, similar boolean, size long, far boolean, only_a binary, only_b binary, n_a long, n_b long")
 
 
 def deviations(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -201,6 +209,99 @@ def deviations(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return wanted.join(known, ["a", "b"]).select("node", "c1", "a", "size", "far", "only_a", "only_b").mapInPandas(unpack, "centre long, label long, node long, size long")
 
 
+def spread(found) -> Iterator[pd.DataFrame]:
+    """Frames (p0, p1, ..., label) from pairs ((p0, p1, ...), labels)."""
+    held, size = [], 0
+
+    def frame():
+        counts = [len(x) for _, x in held]
+        table = {f"p{k}": np.repeat(v, counts) for k, v in enumerate(zip(*[p for p, _ in held], strict=True))}
+        return pd.DataFrame(table | {"label": np.concatenate([x for _, x in held]).view(np.int64)})
+
+    for row in found:
+        held.append(row)
+        size += len(row[1])
+        if size > 200_000:
+            yield frame()
+            held, size = [], 0
+    if held:
+        yield frame()
+
+
+def labels_of(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, n, label) of every label of the nodes."""
+
+    def run(batches):
+        for pdf in batches:
+            yield from spread(((node, len(x)), x) for node, x in ((n, shingles(t, words)[1]) for n, t in zip(pdf["node"], pdf["body"], strict=True)))
+
+    return nodes.join(texts, "node").select("node", "body").mapInPandas(run, "p0 long, p1 long, label long").withColumnsRenamed({"p0": "node", "p1": "n"})
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """The rows (centre, label, node, d, need, ...) of each set's prefix: two sets with max(need) labels in common share one.
+
+    The order of labels is from rare to common, so that most of a prefix are labels that no other set has.
+    """
+    counted = sets.groupBy("centre", "label").agg(F.count("*").alias("f")).where("f > 1")
+    met = sets.join(counted, ["centre", "label"])
+    by = Window.partitionBy("centre", "node")
+    placed = met.withColumn("nth", F.row_number().over(by.orderBy("f", F.xxhash64("label"), "label"))).withColumn("shared", F.count("*").over(by))
+    # The d - shared labels that no other set has come first.
+    return placed.where("nth + d - shared <= d - need + 1").drop("f", "nth", "shared")
+
+
+def lasting(placed: DataFrame, known: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(centre, label, node, d, n, asks, answers): any two similar nodes of one open bucket, of which one asks and the other answers, share a group.
+
+    placed: (key, node, c1, root) of the nodes of buckets with several components. Of two similar nodes x, y in
+    different components at most one is similar to the bucket's centre c.
+
+    - Neither is: they have `similarity` of their labels in common, and meet by a prefix of all their labels.
+    - x is, y has too few of c's labels: what x and y have more or less than c are sets X, Y, and |X ^ Y| is the number of
+      labels that only one of x and y has, at most k(x, y) = r (|x| + |y|) with r = (1 - s) / (1 + s). So |X & Y| >=
+      (|X| + |Y| - k(x, y)) / 2, and |Y| > k(y, c) bounds this from below for each of them alone. y is not far from c.
+    - x is, y has c's labels in another order: their deviations may have nothing in common, so that they all meet.
+    """
+    r = (1 - similarity) / (1 + similarity)
+    sides = known.select("a", "b", "similar", "size", "far", "only_a", "only_b", "n_a", "n_b")
+    wanted = placed.where("node <> c1").select("node", "c1", F.least("node", "c1").alias("a"), F.greatest("node", "c1").alias("b")).distinct()
+    seen = cut(
+        wanted.join(sides, ["a", "b"])
+        .select("node", "c1", "a", "similar", "size", "far", "only_a", "only_b", F.when(F.col("node") == F.col("a"), F.col("n_a")).otherwise(F.col("n_b")).alias("n"), F.when(F.col("node") == F.col("a"), F.col("n_b")).otherwise(F.col("n_a")).alias("nc"))
+        .withColumn("unlike", F.col("size") > r * (F.col("n") + F.col("nc")) + 1e-6)
+    )
+    role = [F.col("unlike").alias("asks"), F.col("similar").alias("answers")]
+
+    # Neither is similar to the centre.
+    lone = placed.where("node <> c1").join(seen.where("NOT similar").select("node", "c1"), ["node", "c1"], "left_semi").select("node").distinct()
+    need = F.greatest(F.lit(1), F.ceil(similarity * F.col("n") - 1e-6))
+    own = labels_of(lone, texts, words).select(F.lit(0).cast("long").alias("centre"), "label", "node", F.col("n").alias("d"), need.cast("long").alias("need"), "n", F.lit(True).alias("asks"), F.lit(True).alias("answers"))
+
+    # One is similar to it: only centres that have both kinds, and x with a label more or less than c.
+    pairing = seen.where("similar OR (unlike AND NOT far)")
+    kinds = pairing.groupBy("c1").agg(F.max("similar").alias("s"), F.max("unlike").alias("u")).where("s AND u").select("c1")
+    bound = F.when(F.col("similar"), F.col("size") + r * (F.col("nc") - F.col("n"))).otherwise(F.col("size") - r * (F.col("n") + F.col("nc")) + (1 - r)) / 2
+    need = F.greatest(F.lit(1), F.ceil(bound - 1e-6)).cast("long")
+
+    def unpack(batches):
+        for pdf in batches:
+            sides = [[np.frombuffer(v, dtype=U) for v in ((r.only_a, r.only_b) if r.node == r.a else (r.only_b, r.only_a))] for r in pdf.itertuples()]
+            rows = pdf[["centre", "node", "d", "need", "n", "asks", "answers"]].itertuples(index=False)
+            yield from spread((tuple(r), np.concatenate([more, ~less])) for r, (more, less) in zip(rows, sides, strict=True))
+
+    deviating = pairing.join(kinds, "c1", "left_semi").select(F.col("c1").alias("centre"), "node", F.col("size").alias("d"), need.alias("need"), "n", *role, "a", "only_a", "only_b")
+    deviating = deviating.mapInPandas(unpack, "p0 long, p1 long, p2 long, p3 long, p4 long, p5 boolean, p6 boolean, label long")
+    deviating = deviating.withColumnsRenamed({f"p{k}": c for k, c in enumerate(["centre", "node", "d", "need", "n", "asks", "answers"])})
+
+    # The labels of c in another order.
+    turned = seen.where("NOT similar AND NOT unlike")
+    wild = seen.join(turned.select("c1").distinct(), "c1", "left_semi").where("similar OR NOT unlike")
+    wild = wild.select(F.col("c1").alias("centre"), F.lit(0).cast("long").alias("label"), "node", F.col("size").alias("d"), "n", F.col("similar").alias("answers"), (~F.col("similar")).alias("asks"))
+    columns = ["centre", "label", "node", "d", "n", "asks", "answers"]
+    return prefixes(own).select(*columns).unionByName(prefixes(deviating).select(*columns)).unionByName(wild.select(*columns))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (a, b): the smallest node of its connected component."""
     ends = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
@@ -275,7 +376,32 @@ def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", words:
             break
         tested, links = tested.unionByName(fresh), links.unionByName(found)
         root = components(links)
-    return classed(rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), doc)
+    # What is still apart is compared without a choice of centres: a sample of the asking nodes first, whose links spare
+    # comparisons within a component, all of them last.
+    rooted = lambda df: df.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = rooted(starred.select("key", "node", "c1"))
+    still = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    divided = cut(at.join(still, "key", "left_semi"))
+    if not divided.limit(1).count():
+        return classed(rooted(rows), doc)
+    groups = cut(lasting(divided, known, texts, similarity, words))
+    r = (1 - similarity) / (1 + similarity)
+    for share in SHARES:
+        now = cut(rooted(groups))
+        split = now.groupBy("centre", "label").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("centre", "label")
+        now = now.join(split, ["centre", "label"], "left_semi")
+        asking = now.where(F.col("asks") & (F.pmod(F.xxhash64("node"), F.lit(share)) == 0))
+        x, y = asking.alias("x"), now.where("answers").alias("y")
+        most = r * (F.col("x.n") + F.col("y.n")) + 1e-6
+        near = (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.d") - F.col("y.d")) <= most)
+        same = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.label") == F.col("y.label"))
+        fresh = cut(pairs(x.join(y, same & near).select(F.col("x.node").alias("node"), F.col("y.node").alias("c")), "c").join(tested, ["a", "b"], "left_anti"))
+        found = cut(verified(fresh, texts, similarity, words))
+        tested = tested.unionByName(fresh)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            root = components(links)
+    return classed(rooted(rows), doc)
 
 
 def classed(rows: DataFrame, doc: str) -> DataFrame:

@@ -61,6 +61,48 @@ def test_classes_equal_components_of_brute_force(spark):
     assert len(kept) == len({find(i) for i in range(len(rows))})
 
 
+def pieces(seed, families=20):
+    """Families of near copies that share a middle part; among them pieces of one text, which have nothing that it lacks."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    middle = [word() for _ in range(120)]
+    whole = [word() for _ in range(150)] + middle + [word() for _ in range(150)]
+    texts = [whole]
+    for k in range(families):
+        base = whole[rng.randint(0, 150) : 270 + rng.randint(0, 150)]
+        if k % 2:
+            base = [word() for _ in range(rng.randint(10, 60))] + middle + [word() for _ in range(rng.randint(10, 60))]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(3):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def test_every_pair_of_a_bucket_counts(spark):
+    for seed in (1, 2, 3):
+        texts = pieces(seed)
+        plain = [nc.shingles(t.encode()) for t in texts]
+        keys = [int(nc.sketch(*p, bands=1, picks=1)[0]) for p in plain]
+        root = list(range(len(texts)))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in range(len(texts)):
+            for j in range(i):
+                if keys[i] == keys[j] and nc.aligned(plain[i][1], plain[j][1]) >= 0.8:
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+        got = nc.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=1, picks=1).collect()
+        # Labels of other buckets may link more; no pair of a bucket may be missing.
+        where = {r.doc_id: r.class_id for r in got}
+        assert [k for k in range(len(texts)) if where[k] != where[find(k)]] == []
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert nc.aligned(a, a) == 1
