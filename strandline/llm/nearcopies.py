@@ -3,21 +3,19 @@
 A document is the sequence of its shingles (five words each; a shorter text is one shingle), each labelled with its
 occurrence number, so that labels are unique in a text. A sketch holds, for each of `bands` hash functions, the `picks`
 smallest labelled shingles *in the order of the text*; two texts are candidates if one of these vectors is equal in both.
-With 4 picks and 20 bands a pair of similarity 0.8 is missed with a probability of about (1 - 0.8**4)**20 < 3e-5.
+With 4 picks and 20 bands a pair of similarity 0.8 is missed with a probability of about (1 - 0.8**4)**20 < 3e-5. Texts of
+up to SHORT shingles also have a key for each deletion of one shingle, as few shingles give few different picks.
 
 Candidates are verified by alignment: matching labels within a diagonal band that is wide enough for any pair of the
 asked similarity, and the longest chain of them that is increasing in both texts. Similarity is
 chain / (shingles of a + shingles of b - chain), at least `similarity`.
 
-No group is expanded into pairs. Texts with equal words are one node. In each bucket every node is compared with two
-centres: the most central node (whose buckets hold most nodes, which a copy with few edits has) and one by hash. The
-links' connected components are found by min-label propagation over written tables. A bucket that still holds several
-components goes on by deviations: let x and y be similar, and x not similar to the centre c. Then y deviates from c less
-than x does, and at least half of what y has more or less than c, x has more or less too. So nodes that have the same
-label that c lacks, or lack the same label that c has, meet in a group of that label, and those that deviate least are
-compared with all others there, if they are in different components so far. These rounds are cheap and choose; buckets
-that still hold several components afterwards go through an exact prefix-filter join on labels and deviations (`lasting`),
-which leaves out no pair of one bucket that can be similar.
+No group is expanded into pairs. Texts with equal words are one node. In each bucket every node is compared with the
+most central one (whose buckets hold most nodes, which a copy with few edits has). The links' connected components are
+found by min-label propagation over written tables. In buckets that hold several components, nodes of different
+components meet by what they have more or less than the centre (`meetings`): by prefixes, which leave out no pair, where
+one of them is like the centre, and by sketches of their deviations where neither is. Nothing caps the number of
+partners, rounds or candidates.
 
 Defined cases: a null text or one without words is a class of its own. Repeated rows are copies of each other. The class
 of a document is the smallest id in it. Extra columns are ignored here. An empty table gives an empty result.
@@ -31,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import cut, small_batches, stored
@@ -39,12 +37,12 @@ from strandline.llm.lempel import symbols
 from strandline.llm.repeats import mixed
 
 WORDS, SIMILARITY, BANDS, PICKS = 5, 0.8, 20, 4
-#: First rounds of comparing by common deviations, each with other centres; a round without a new link is the last.
-ROUNDS = 3
-#: Labels of a node that is far from its centre, in these rounds.
-FAR = 8
-#: Of the nodes that ask in the exact rounds, one of so many in each round; 1, the last, is all.
-SHARES = (64, 8, 1)
+#: Bands of two min-hashes of deviations.
+DEVIATION_BANDS = 50
+#: Texts of up to so many shingles have deletion keys.
+SHORT = 15
+#: Over how many tasks the rows of one component are dealt, and rows of one node beyond which it counts as heavy.
+SALTS, HEAVY_ROWS = 16, 10_000
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 
@@ -93,6 +91,23 @@ def sketch(plain: np.ndarray, labelled: np.ndarray, bands: int = BANDS, picks: i
     return value
 
 
+def deletions(plain: np.ndarray, most: int = SHORT) -> np.ndarray:
+    """Keys of a short text's shingles, whole and without each one: texts that differ by one shingle share one.
+
+    Fewer than four shingles have no other similar text than an equal one.
+    """
+    n = len(plain)
+    if not 4 <= n <= most:
+        return np.zeros(0, dtype=U)
+    keys = []
+    for k in range(n + 1):
+        value = np.zeros(1, dtype=U)
+        for x in np.delete(plain, k) if k < n else plain:
+            value = mixed(value * ODD + x)
+        keys.append(value)
+    return np.unique(np.concatenate(keys))
+
+
 def chain(at: np.ndarray, to: np.ndarray) -> int:
     """Longest increasing chain of matches, given in the order of `at`."""
     if len(to) < 2 or (np.diff(to) > 0).all():
@@ -132,7 +147,8 @@ def sketches(docs: DataFrame, text: str, doc: str, words: int, bands: int, picks
                     out.append((None, None))
                     continue
                 node = mixed(np.array([np.bitwise_xor.reduce(mixed(plain + np.arange(1, len(plain) + 1, dtype=U) * ODD))], dtype=U) + U(len(plain)))
-                out.append((int(node.view(np.int64)[0]), sketch(plain, labelled, bands, picks).view(np.int64)))
+                keys = np.concatenate([sketch(plain, labelled, bands, picks), deletions(plain)])
+                out.append((int(node.view(np.int64)[0]), keys.view(np.int64)))
             yield pd.DataFrame({"_doc": pdf["_doc"], "h": pdf["h"], "node": pd.array([x[0] for x in out], dtype="Int64"), "sketch": [x[1] for x in out]})
 
     kind = docs.schema[doc].dataType.simpleString()
@@ -140,7 +156,7 @@ def sketches(docs: DataFrame, text: str, doc: str, words: int, bands: int, picks
 
 
 def compared(pairs: DataFrame, texts: DataFrame, words: int, run, schema: str) -> DataFrame:
-    """`run(labels of a, labels of b, a, b)` gives the rows (a list of tuples) of each pair (a, b)."""
+    """`run(labels of a, labels of b, a, b)` gives the row of each pair (a, b), or None."""
 
     def each(batches):
         known: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -159,7 +175,7 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, run, schema: str) -
 
         names = [x.split()[0] for x in schema.split(", ")]
         for pdf in batches:
-            rows = [r for a, b, s, t in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True) for r in run(labels(a, s), labels(b, t), a, b)]
+            rows = [r for a, b, s, t in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True) if (r := run(labels(a, s), labels(b, t), a, b)) is not None]
             yield pd.DataFrame(rows, columns=names)
 
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a")
@@ -168,74 +184,44 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, run, schema: str) -
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """The pairs (a, b) that are similar."""
-    return compared(pairs, texts, words, lambda x, y, a, b: [(a, b)] if aligned(x, y, similarity) >= similarity else [], "a long, b long")
-
-
-def judged(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """pairs (a, b) with similar, size (labels that only one of them has), far, these labels, packed, of either, and n_a, n_b.
-
-    Of a far pair only FAR labels are kept, which the first rounds use; `lasting` does not rely on them.
-    """
-
-    def both(x: np.ndarray, y: np.ndarray, a: int, b: int) -> list[tuple]:
-        mine, other = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-        size = len(mine) + len(other)
-        # Under half of the similarity, with a margin: what is similar to a node that is similar to b is not far from b.
-        far = size > 2 * (1 - similarity) * (len(x) + len(other)) + 1e-6
-        if far:
-            mine, other = (np.sort(mixed(v))[:FAR] for v in (mine, other))
-        return [(a, b, aligned(x, y, similarity) >= similarity, size, far, mine.tobytes(), other.tobytes(), len(x), len(y))]
-
-    return compared(pairs, texts, words, both, "a long, b long, similar boolean, size long, far boolean, only_a binary, only_b binary, n_a long, n_b long")
+    return compared(pairs, texts, words, lambda x, y, a, b: (a, b) if aligned(x, y, similarity) >= similarity else None, "a long, b long")
 
 
-def deviations(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(centre, label, node, size) for pairs (node, c1) among the judged ones: the labels that only one of the two has.
+def against_centre(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """pairs (node, centre) with what a node deviates from its centre by.
 
-    Labels that the centre has are flipped, so that lacking one is another label than having it. A node that has little
-    to do with the centre gives its FAR smallest labels; nodes similar to each other share one of these.
+    size is the number of labels that only one of them has; `unlike` says that these are too many for the similarity,
+    `far` that they are too many even for a node that is similar to one that is similar to the centre. Labels that the
+    centre has and the node lacks are flipped, so that lacking one is another label than having it. labels are these,
+    if the node is not far; marks is their sketch, if the node is not similar.
     """
+    r = (1 - similarity) / (1 + similarity)
 
-    def unpack(batches):
-        for pdf in batches:
-            out = []
-            for node, c, a, size, far, only_a, only_b in zip(*[pdf[k] for k in ("node", "c1", "a", "size", "far", "only_a", "only_b")], strict=True):
-                more, less = (np.frombuffer(v, dtype=U) for v in ((only_a, only_b) if node == a else (only_b, only_a)))
-                labels = more if far else np.concatenate([more, ~less])
-                out += [(c, v, node, size) for v in labels.view(np.int64).tolist()]
-            yield pd.DataFrame(out, columns=["centre", "label", "node", "size"])
-
-    wanted = pairs.select("node", "c1", F.least("node", "c1").alias("a"), F.greatest("node", "c1").alias("b"))
-    return wanted.join(known, ["a", "b"]).select("node", "c1", "a", "size", "far", "only_a", "only_b").mapInPandas(unpack, "centre long, label long, node long, size long")
-
-
-def spread(found) -> Iterator[pd.DataFrame]:
-    """Frames (p0, p1, ..., label) from pairs ((p0, p1, ...), labels)."""
-    held, size = [], 0
-
-    def frame():
-        counts = [len(x) for _, x in held]
-        table = {f"p{k}": np.repeat(v, counts) for k, v in enumerate(zip(*[p for p, _ in held], strict=True))}
-        return pd.DataFrame(table | {"label": np.concatenate([x for _, x in held]).view(np.int64)})
-
-    for row in found:
-        held.append(row)
-        size += len(row[1])
-        if size > 200_000:
-            yield frame()
-            held, size = [], 0
-    if held:
-        yield frame()
-
-
-def labels_of(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(node, n, label) of every label of the nodes."""
-
-    def run(batches):
-        for pdf in batches:
-            yield from spread(((node, len(x)), x) for node, x in ((n, shingles(t, words)[1]) for n, t in zip(pdf["node"], pdf["body"], strict=True)))
-
-    return nodes.join(texts, "node").select("node", "body").mapInPandas(run, "p0 long, p1 long, label long").withColumnsRenamed({"p0": "node", "p1": "n"})
+    def each(x: np.ndarray, c: np.ndarray, node: int, centre: int) -> tuple:
+        more, less = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+        labels = np.concatenate([more, ~less])
+        size = len(labels)
+        similar = aligned(x, c, similarity) >= similarity
+        unlike = size > r * (len(x) + len(c)) + 1e-6
+        far = size > 2 * (1 - similarity) * (len(x) + len(less)) + 1e-6
+        marks = None if similar else deviation_marks(labels).view(np.int64)
+        return node, centre, similar, unlike, far, size, len(x), len(c), None if far else labels.tobytes(), marks
+
+    schema = "node long, centre long, similar boolean, unlike boolean, far boolean, size long, n long, nc long, labels binary, marks array<long>"
+    return compared(pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")), texts, words, each, schema)
+
+
+def deviation_marks(labels: np.ndarray, bands: int = DEVIATION_BANDS) -> np.ndarray:
+    """Min-hashes of a set of deviations, two to a band."""
+    flip, factor = constants(2 * bands)
+    if not len(labels):
+        return np.zeros(0, dtype=U)
+    step, least = max(1, 1_000_000 // len(labels)), []
+    for k in range(0, 2 * bands, step):
+        order = (labels[None, :] ^ flip[k : k + step]) * factor[k : k + step]
+        least.append((order ^ (order >> U(32))).min(axis=1))
+    least = np.concatenate(least)
+    return mixed(mixed(least[::2] + np.arange(1, bands + 1, dtype=U) * ODD) * ODD + least[1::2])
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -251,67 +237,67 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return placed.where("nth + d - shared <= d - need + 1").drop("f", "nth", "shared")
 
 
-def lasting(placed: DataFrame, known: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(centre, label, node, d, n, asks, answers): any two similar nodes of one open bucket, of which one asks and the other answers, share a group.
+def meetings(seen: DataFrame, similarity: float) -> DataFrame:
+    """(centre, label, node, d, n, asks, answers): groups in which nodes of one bucket that can be similar meet.
 
-    placed: (key, node, c1, root) of the nodes of buckets with several components. Of two similar nodes x, y in
-    different components at most one is similar to the bucket's centre c.
+    seen: rows of `against_centre` of nodes that are not yet in their centre's component, or share a bucket with one
+    that is not. Let x and y be similar, s the similarity and r = (1 - s) / (1 + s). What x and y have more or less than
+    the centre c are sets X and Y, and |X ^ Y|, the labels that only one of x and y has, is at most r (|x| + |y|).
 
-    - Neither is: they have `similarity` of their labels in common, and meet by a prefix of all their labels.
-    - x is, y has too few of c's labels: what x and y have more or less than c are sets X, Y, and |X ^ Y| is the number of
-      labels that only one of x and y has, at most k(x, y) = r (|x| + |y|) with r = (1 - s) / (1 + s). So |X & Y| >=
-      (|X| + |Y| - k(x, y)) / 2, and |Y| > k(y, c) bounds this from below for each of them alone. y is not far from c.
-    - x is, y has c's labels in another order: their deviations may have nothing in common, so that they all meet.
+    - Both are unlike c: |X| > r (|x| + |c|), likewise Y. Then X and Y have a third of their union in common at least, and
+      share one of DEVIATION_BANDS bands of two min-hashes with a probability of 1 - (8/9)**DEVIATION_BANDS or more.
+    - x is not unlike c, y is: |X & Y| >= (|X| + |Y| - r (|x| + |y|)) / 2, and |Y| > r (|y| + |c|) bounds this from below for
+      each of them alone, so that they meet in a prefix filter, which leaves out no pair. y is not far from c.
+    - Neither is unlike c, and x has its labels in another order: their deviations may have nothing in common. Such nodes
+      meet by their centre.
     """
     r = (1 - similarity) / (1 + similarity)
-    sides = known.select("a", "b", "similar", "size", "far", "only_a", "only_b", "n_a", "n_b")
-    wanted = placed.where("node <> c1").select("node", "c1", F.least("node", "c1").alias("a"), F.greatest("node", "c1").alias("b")).distinct()
-    seen = cut(
-        wanted.join(sides, ["a", "b"])
-        .select("node", "c1", "a", "similar", "size", "far", "only_a", "only_b", F.when(F.col("node") == F.col("a"), F.col("n_a")).otherwise(F.col("n_b")).alias("n"), F.when(F.col("node") == F.col("a"), F.col("n_b")).otherwise(F.col("n_a")).alias("nc"))
-        .withColumn("unlike", F.col("size") > r * (F.col("n") + F.col("nc")) + 1e-6)
-    )
-    role = [F.col("unlike").alias("asks"), F.col("similar").alias("answers")]
-
-    # Neither is similar to the centre.
-    lone = placed.where("node <> c1").join(seen.where("NOT similar").select("node", "c1"), ["node", "c1"], "left_semi").select("node").distinct()
-    need = F.greatest(F.lit(1), F.ceil(similarity * F.col("n") - 1e-6))
-    own = labels_of(lone, texts, words).select(F.lit(0).cast("long").alias("centre"), "label", "node", F.col("n").alias("d"), need.cast("long").alias("need"), "n", F.lit(True).alias("asks"), F.lit(True).alias("answers"))
-
-    # One is similar to it: only centres that have both kinds, and x with a label more or less than c.
-    pairing = seen.where("similar OR (unlike AND NOT far)")
-    kinds = pairing.groupBy("c1").agg(F.max("similar").alias("s"), F.max("unlike").alias("u")).where("s AND u").select("c1")
-    bound = F.when(F.col("similar"), F.col("size") + r * (F.col("nc") - F.col("n"))).otherwise(F.col("size") - r * (F.col("n") + F.col("nc")) + (1 - r)) / 2
+    columns = ["centre", "label", "node", "d", "n", "asks", "answers"]
+    yes, no = F.lit(True), F.lit(False)
+    lone = seen.where("unlike").select("centre", F.explode("marks").alias("label"), "node", F.col("size").alias("d"), "n", yes.alias("asks"), yes.alias("answers"))
+
+    # Only centres that have both kinds, and x with a label more or less than c.
+    pairing = seen.where("NOT (unlike AND far) AND size > 0")
+    kinds = pairing.groupBy("centre").agg(F.max("unlike").alias("u"), F.min("unlike").alias("v")).where("u AND NOT v").select("centre")
+    bound = F.when(F.col("unlike"), F.col("size") - r * (F.col("n") + F.col("nc")) + (1 - r)).otherwise(F.col("size") + r * (F.col("nc") - F.col("n"))) / 2
     need = F.greatest(F.lit(1), F.ceil(bound - 1e-6)).cast("long")
 
     def unpack(batches):
         for pdf in batches:
-            sides = [[np.frombuffer(v, dtype=U) for v in ((r.only_a, r.only_b) if r.node == r.a else (r.only_b, r.only_a))] for r in pdf.itertuples()]
-            rows = pdf[["centre", "node", "d", "need", "n", "asks", "answers"]].itertuples(index=False)
-            yield from spread((tuple(r), np.concatenate([more, ~less])) for r, (more, less) in zip(rows, sides, strict=True))
-
-    deviating = pairing.join(kinds, "c1", "left_semi").select(F.col("c1").alias("centre"), "node", F.col("size").alias("d"), need.alias("need"), "n", *role, "a", "only_a", "only_b")
-    deviating = deviating.mapInPandas(unpack, "p0 long, p1 long, p2 long, p3 long, p4 long, p5 boolean, p6 boolean, label long")
-    deviating = deviating.withColumnsRenamed({f"p{k}": c for k, c in enumerate(["centre", "node", "d", "need", "n", "asks", "answers"])})
-
-    # The labels of c in another order.
-    turned = seen.where("NOT similar AND NOT unlike")
-    wild = seen.join(turned.select("c1").distinct(), "c1", "left_semi").where("similar OR NOT unlike")
-    wild = wild.select(F.col("c1").alias("centre"), F.lit(0).cast("long").alias("label"), "node", F.col("size").alias("d"), "n", F.col("similar").alias("answers"), (~F.col("similar")).alias("asks"))
-    columns = ["centre", "label", "node", "d", "n", "asks", "answers"]
-    return prefixes(own).select(*columns).unionByName(prefixes(deviating).select(*columns)).unionByName(wild.select(*columns))
+            sets = [np.frombuffer(v, dtype=np.int64) for v in pdf["labels"]]
+            counts = np.array([len(x) for x in sets], dtype=np.int64)
+            for a in range(0, len(sets), 1_000):
+                rows = pdf.drop(columns="labels").iloc[a : a + 1_000]
+                rows = rows.iloc[np.repeat(np.arange(len(rows)), counts[a : a + 1_000])]
+                yield rows.assign(label=np.concatenate(sets[a : a + 1_000]))
+
+    deviating = pairing.join(kinds, "centre", "left_semi").select("centre", "node", F.col("size").alias("d"), need.alias("need"), "n", F.col("unlike").alias("asks"), (~F.col("unlike")).alias("answers"), "labels")
+    deviating = deviating.mapInPandas(unpack, "centre long, node long, d long, need long, n long, asks boolean, answers boolean, label long")
+
+    # The centre's labels in another order.
+    turned = seen.where("NOT similar AND NOT unlike").select("centre").distinct()
+    wild = seen.where("NOT unlike").join(turned, "centre", "left_semi").select("centre", F.lit(0).cast("long").alias("label"), "node", F.col("size").alias("d"), "n", (~F.col("similar")).alias("asks"), yes.alias("answers"))
+    return lone.select(*columns).unionByName(prefixes(deviating).select(*columns)).unionByName(wild.select(*columns))
+
+
+def spread_key(salts: int) -> Column:
+    """A salt by node, so that the rows of one large component are dealt over several tasks."""
+    return F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(salts))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of links (a, b): the smallest node of its connected component."""
+def components(links: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(node, root) of every node of links (a, b): the smallest node of its connected component.
+
+    Labels go to the neighbours, and every node then takes its root's root, which halves long chains. Only roots that
+    have moved are joined for the second step, once for each salt, as one root may be that of most nodes.
+    """
     ends = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     state = cut(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
     while True:
+        moved = state.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
         offered = ends.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("offer"))
         nearer = state.join(offered, state.node == offered.a, "left").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("root"))
-        # Follow the new root one step, which halves long chains.
-        jump = state.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(nearer.join(jump, "root", "left").select("node", "was", F.least("root", "next").alias("root")))
+        new = cut(nearer.withColumn("salt", spread_key(salts)).join(moved, ["root", "salt"], "left").select("node", "was", F.least("root", "next").alias("root")))
         changed = new.where("root <> was").limit(1).count()
         state = new.select("node", "root")
         if not changed:
@@ -321,14 +307,14 @@ def components(links: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, picks: int = PICKS) -> DataFrame:
     """(doc, h, class_id, keeper): one row for each document; keeper is true on the rows of the class's first document."""
     rows = cut(sketches(docs, text, doc, words, bands, picks))
-    first = F.min(F.when(F.col(doc).isNotNull(), F.struct(F.col(doc).alias("doc"), "h")))
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min_by("sketch", doc).alias("sketch"), first.alias("first")).where("first IS NOT NULL")
+    first = F.min(F.when(F.col(doc).isNotNull(), F.struct(F.col(doc).alias("doc"), "h"))).alias("first")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min_by("sketch", doc).alias("sketch"), first).where("first IS NOT NULL")
     keyed = nodes.select("node", "first", F.explode("sketch").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # (key, node, first, n) of nodes that share a bucket; all later steps work on this.
     shared = cut(keyed.join(buckets, "key").select("key", "node", "first", "n"))
     if not shared.limit(1).count():
-        return classed(rows.withColumn("root", F.col("node")), doc)
+        return classed(rows, None, doc)
     # A node is central if its buckets are full: copies with many edits share few.
     members = cut(shared.groupBy("node").agg(F.sum("n").alias("score"), F.min("first").alias("first")))
     # Rows may have one id and several texts: the hash picks the right one.
@@ -336,80 +322,53 @@ def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", words:
     wanted = members.select("node", F.col("first.doc").alias("d"), F.col("first.h").alias("h"))
     texts = stored(source.join(wanted, ["d", "h"]).select("node", "body").dropDuplicates(["node"]))
     placed = shared.select("key", "node").join(members.select("node", "score"), "node")
-
-    def centred(groups: DataFrame, by: list[str]) -> DataFrame:
-        """(by, node, c1, c2) of each group's nodes: its most central node, and another one by hash."""
-        centres = groups.groupBy(*by).agg(F.max_by("node", F.struct("score", "node")).alias("c1"), F.min_by("node", F.xxhash64("node")).alias("c2"))
-        return groups.select(*by, "node").join(centres, by)
-
-    def pairs(found: DataFrame, *centres: str) -> DataFrame:
-        each = found.select("node", F.explode(F.array(*centres)).alias("other")).where("node <> other")
-        return each.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-    starred = cut(centred(placed, ["key"]))
-    tested = cut(pairs(starred, "c1", "c2"))
-    known = stored(judged(tested, texts, similarity, words))
-    links = cut(known.where("similar").select("a", "b"))
+    centres = placed.groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
+    starred = cut(placed.select("key", "node").join(centres, "key"))
+    seen = stored(against_centre(starred.where("node <> centre").select("node", "centre").distinct(), texts, similarity, words))
+    links = seen.where("similar").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     root = components(links)
-    at = starred.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    apart = cut(at.join(open_, "key", "left_semi").where("node <> c1").select("node", "c1").distinct())
-    # Nodes of one open bucket that deviate from its centre by a common label: only these can be similar to each other
-    # while one of them is not similar to the centre.
-    extra = cut(deviations(apart, known))
-    common = extra.groupBy("centre", "label").agg(F.count("*").alias("n")).where("n > 1").select("centre", "label")
-    met = cut(extra.join(common, ["centre", "label"], "left_semi"))
-    for turn in range(ROUNDS):
-        rooted = members.select("node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        groups = cut(met.join(rooted, "node").select("centre", "label", "node", "size", "root"))
-        # Of two similar nodes of which one is not similar to the centre, the other deviates little, and mostly alike: the
-        # lightest nodes of a label are compared with all that deviate by it, and one more by hash.
-        one = F.struct("node", "root")
-        lightest = lambda k: F.min_by(one, F.struct("size", F.xxhash64("node", "label", F.lit(turn), F.lit(k))))  # noqa: B023, E731
-        centres = groups.groupBy("centre", "label").agg(F.array(lightest(1), lightest(2), F.min_by(one, F.xxhash64("node", "label", F.lit(turn)))).alias("c"))
-        # Nodes of one component need no more links between them.
-        other = F.explode(F.filter("c", lambda x: x["root"] != F.col("root")))
-        across = groups.join(centres, ["centre", "label"]).select("node", other.alias("o")).select("node", F.col("o.node").alias("c"))
-        fresh = cut(pairs(across, "c").join(tested, ["a", "b"], "left_anti"))
-        found = cut(verified(fresh, texts, similarity, words))
-        if not found.limit(1).count():
-            break
-        tested, links = tested.unionByName(fresh), links.unionByName(found)
-        root = components(links)
-    # What is still apart is compared without a choice of centres: a sample of the asking nodes first, whose links spare
-    # comparisons within a component, all of them last.
     rooted = lambda df: df.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    at = rooted(starred.select("key", "node", "c1"))
-    still = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    divided = cut(at.join(still, "key", "left_semi"))
-    if not divided.limit(1).count():
-        return classed(rooted(rows), doc)
-    groups = cut(lasting(divided, known, texts, similarity, words))
-    r = (1 - similarity) / (1 + similarity)
-    for share in SHARES:
-        now = cut(rooted(groups))
-        split = now.groupBy("centre", "label").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("centre", "label")
-        now = now.join(split, ["centre", "label"], "left_semi")
-        asking = now.where(F.col("asks") & (F.pmod(F.xxhash64("node"), F.lit(share)) == 0))
-        x, y = asking.alias("x"), now.where("answers").alias("y")
-        most = r * (F.col("x.n") + F.col("y.n")) + 1e-6
+    at = rooted(starred)
+    divided = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_ = cut(at.join(divided, "key", "left_semi").where("node <> centre").select("node", "centre", "root").distinct())
+    if open_.limit(1).count():
+        # Buckets that hold several components: nodes meet by what they have more or less than the centre.
+        groups = cut(meetings(seen.join(open_.select("node", "centre"), ["node", "centre"]), similarity).join(open_.select("node", "root").distinct(), "node"))
+        split = groups.groupBy("centre", "label").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("centre", "label")
+        now = groups.join(split, ["centre", "label"], "left_semi")
+        x, y = now.where("asks").alias("x"), now.where("answers").alias("y")
+        most = (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + 1e-6
         near = (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.d") - F.col("y.d")) <= most)
+        # Two that both ask meet once.
+        once = (F.col("x.node") < F.col("y.node")) | ~(F.col("y.asks") & F.col("x.answers"))
         same = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.label") == F.col("y.label"))
-        fresh = cut(pairs(x.join(y, same & near).select(F.col("x.node").alias("node"), F.col("y.node").alias("c")), "c").join(tested, ["a", "b"], "left_anti"))
-        found = cut(verified(fresh, texts, similarity, words))
-        tested = tested.unionByName(fresh)
+        met = x.join(y, same & near & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        found = cut(verified(met, texts, similarity, words))
         if found.limit(1).count():
-            links = links.unionByName(found)
-            root = components(links)
-    return classed(rooted(rows), doc)
-
-
-def classed(rows: DataFrame, doc: str) -> DataFrame:
-    """Class of each row from its root (null without words)."""
-    first = F.min(F.when(F.col(doc).isNotNull(), F.struct(F.col(doc).alias("doc"), "h"))).alias("first")
-    least = rows.where("root IS NOT NULL").groupBy("root").agg(first)
+            root = components(links.unionByName(found))
+    return classed(rows, root, doc)
+
+
+def classed(rows: DataFrame, root: DataFrame | None, doc: str) -> DataFrame:
+    """Class of each row from its node's root (null without words)."""
+    each = F.min(F.when(F.col(doc).isNotNull(), F.struct(F.col(doc).alias("doc"), "h"))).alias("first")
+    # Roots and classes are found on nodes, of which equal texts are one.
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(each, F.count("*").alias("n"))
+    if root is not None:
+        joined = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = joined.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("linked"))
+        # A node without links is its own class; the others' roots are salted.
+        salted = least.where("linked > 1").select("root", F.col("first").alias("least"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        nodes = joined.withColumn("salt", spread_key(SALTS)).join(salted, ["root", "salt"], "left").withColumn("first", F.coalesce("least", "first"))
+    nodes = cut(nodes.select("node", "first", "n"))
+    # At most 1,000 nodes have this many rows: they are broadcast, so that no node's rows meet in one task.
+    heavy = F.greatest(F.lit(HEAVY_ROWS), F.lit(int((nodes.agg(F.sum("n")).first()[0] or 0) / 1_000)))
+    many = F.broadcast(nodes.where(F.col("n") > heavy).select("node", F.col("first").alias("of_many")))
+    source = rows.select(doc, "h", "node").join(many, "node", "left")
+    few = nodes.where(F.col("n") <= heavy).select("node", F.col("first").alias("of_few"))
+    light = source.where("of_many IS NULL").join(few, "node", "left").withColumn("first", F.col("of_few"))
+    joined = light.select(doc, "h", "first").unionByName(source.where("of_many IS NOT NULL").select(doc, "h", F.col("of_many").alias("first")))
     alone = F.col("first").isNull()
-    joined = rows.select(doc, "h", "root").join(least, "root", "left")
     keeper = alone | ((F.col("first.doc") == F.col(doc)) & (F.col("first.h") == F.col("h")))
     return joined.select(doc, "h", F.when(alone, F.col(doc)).otherwise(F.col("first.doc")).alias("class_id"), F.coalesce(keeper, F.lit(False)).alias("keeper"))
 
