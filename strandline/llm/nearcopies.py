@@ -37,8 +37,9 @@ from strandline.llm.lempel import symbols
 from strandline.llm.repeats import mixed
 
 WORDS, SIMILARITY, BANDS, PICKS = 5, 0.8, 20, 4
-#: Bands of two min-hashes of deviations.
-DEVIATION_BANDS = 50
+#: Bands of two min-hashes of deviations, 64-bit words of one bit from each min-hash, and how many standard deviations of
+#: the differing bits a pair may be beyond what its similarity asks for.
+DEVIATION_BANDS, BIT_WORDS, MARGIN = 50, 8, 3.5
 #: Texts of up to so many shingles have deletion keys.
 SHORT = 15
 #: Over how many tasks the rows of one component are dealt, and rows of one node beyond which it counts as heavy.
@@ -204,24 +205,25 @@ def against_centre(pairs: DataFrame, texts: DataFrame, similarity: float, words:
         similar = aligned(x, c, similarity) >= similarity
         unlike = size > r * (len(x) + len(c)) + 1e-6
         far = size > 2 * (1 - similarity) * (len(x) + len(less)) + 1e-6
-        marks = None if similar else deviation_marks(labels).view(np.int64)
+        marks = None if similar else deviation_sketch(labels).view(np.int64)
         return node, centre, similar, unlike, far, size, len(x), len(c), None if far else labels.tobytes(), marks
 
     schema = "node long, centre long, similar boolean, unlike boolean, far boolean, size long, n long, nc long, labels binary, marks array<long>"
     return compared(pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")), texts, words, each, schema)
 
 
-def deviation_marks(labels: np.ndarray, bands: int = DEVIATION_BANDS) -> np.ndarray:
-    """Min-hashes of a set of deviations, two to a band."""
-    flip, factor = constants(2 * bands)
+def deviation_sketch(labels: np.ndarray, bands: int = DEVIATION_BANDS, words: int = BIT_WORDS) -> np.ndarray:
+    """Of the min-hashes of a set of deviations: `bands` numbers of two each, then one bit of each in `words` numbers."""
     if not len(labels):
-        return np.zeros(0, dtype=U)
+        return np.zeros(bands + words, dtype=U)
+    flip, factor = constants(64 * words)
     step, least = max(1, 1_000_000 // len(labels)), []
-    for k in range(0, 2 * bands, step):
+    for k in range(0, 64 * words, step):
         order = (labels[None, :] ^ flip[k : k + step]) * factor[k : k + step]
         least.append((order ^ (order >> U(32))).min(axis=1))
     least = np.concatenate(least)
-    return mixed(mixed(least[::2] + np.arange(1, bands + 1, dtype=U) * ODD) * ODD + least[1::2])
+    pairs = mixed(mixed(least[: 2 * bands : 2] + np.arange(1, bands + 1, dtype=U) * ODD) * ODD + least[1 : 2 * bands : 2])
+    return np.concatenate([pairs, np.packbits((mixed(least) & U(1)).astype(np.uint8)).view(U)])
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -245,16 +247,19 @@ def meetings(seen: DataFrame, similarity: float) -> DataFrame:
     the centre c are sets X and Y, and |X ^ Y|, the labels that only one of x and y has, is at most r (|x| + |y|).
 
     - Both are unlike c: |X| > r (|x| + |c|), likewise Y. Then X and Y have a third of their union in common at least, and
-      share one of DEVIATION_BANDS bands of two min-hashes with a probability of 1 - (8/9)**DEVIATION_BANDS or more.
+        share one of DEVIATION_BANDS bands of two min-hashes with a probability of 1 - (8/9)**DEVIATION_BANDS or more. Their
+      bits tell the share in common more closely (Li and Konig, 2010); `agreeing` leaves out what is far below.
     - x is not unlike c, y is: |X & Y| >= (|X| + |Y| - r (|x| + |y|)) / 2, and |Y| > r (|y| + |c|) bounds this from below for
       each of them alone, so that they meet in a prefix filter, which leaves out no pair. y is not far from c.
     - Neither is unlike c, and x has its labels in another order: their deviations may have nothing in common. Such nodes
       meet by their centre.
     """
     r = (1 - similarity) / (1 + similarity)
+    bits = [f"bits{k}" for k in range(BIT_WORDS)]
     columns = ["centre", "label", "node", "d", "n", "asks", "answers"]
-    yes, no = F.lit(True), F.lit(False)
-    lone = seen.where("unlike").select("centre", F.explode("marks").alias("label"), "node", F.col("size").alias("d"), "n", yes.alias("asks"), yes.alias("answers"))
+    yes, none = F.lit(True), [F.lit(None).cast("long").alias(c) for c in bits]
+    words = [F.element_at("marks", DEVIATION_BANDS + 1 + k).alias(c) for k, c in enumerate(bits)]
+    lone = seen.where("unlike").select("centre", F.explode(F.slice("marks", 1, DEVIATION_BANDS)).alias("label"), "node", F.col("size").alias("d"), "n", yes.alias("asks"), yes.alias("answers"), *words)
 
     # Only centres that have both kinds, and x with a label more or less than c.
     pairing = seen.where("NOT (unlike AND far) AND size > 0")
@@ -277,7 +282,18 @@ def meetings(seen: DataFrame, similarity: float) -> DataFrame:
     # The centre's labels in another order.
     turned = seen.where("NOT similar AND NOT unlike").select("centre").distinct()
     wild = seen.where("NOT unlike").join(turned, "centre", "left_semi").select("centre", F.lit(0).cast("long").alias("label"), "node", F.col("size").alias("d"), "n", (~F.col("similar")).alias("asks"), yes.alias("answers"))
-    return lone.select(*columns).unionByName(prefixes(deviating).select(*columns)).unionByName(wild.select(*columns))
+    return lone.unionByName(prefixes(deviating).select(*columns, *none)).unionByName(wild.select(*columns, *none))
+
+
+def agreeing(most: Column) -> Column:
+    """Of two rows x and y of `meetings` with bits: whether their deviations can have enough in common; true without bits.
+
+    Of 64 * BIT_WORDS bits (1 - J) / 2 differ on average, if J is the share in common.
+    """
+    both = F.col("x.d") + F.col("y.d")
+    differ = sum((F.bit_count(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}"))) for k in range(1, BIT_WORDS)), F.bit_count(F.col("x.bits0").bitwiseXOR(F.col("y.bits0"))))
+    share = most / (both + most)
+    return F.coalesce(differ <= 64 * BIT_WORDS * share + MARGIN * 4 * BIT_WORDS**0.5, F.lit(True))
 
 
 def spread_key(salts: int) -> Column:
@@ -342,7 +358,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", words:
         # Two that both ask meet once.
         once = (F.col("x.node") < F.col("y.node")) | ~(F.col("y.asks") & F.col("x.answers"))
         same = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.label") == F.col("y.label"))
-        met = x.join(y, same & near & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        met = x.join(y, same & near & once & agreeing(most)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         found = cut(verified(met, texts, similarity, words))
         if found.limit(1).count():
             root = components(links.unionByName(found))
