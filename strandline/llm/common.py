@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Use the cluster's checkpoint folder; only where none is named, as in tests, one of our own."""
+    """Use the cluster's checkpoint folder; only where none is named, as in tests, one in the warehouse, which is shared too."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="strandline-")).as_uri())
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/strandline-checkpoints")
     return spark
 
 
@@ -30,13 +28,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows of one Arrow batch: they carry whole texts, and ten thousand long ones would not fit a worker.
-BATCH_ROWS = 1_000
+#: Rows and bytes of one Arrow batch: rows carry whole texts, and ten thousand long ones would not fit a worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after making Arrow batches of this session small enough for rows with whole texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """df, after making Arrow batches of this session small enough for rows with whole texts.
+
+    Spark reads these settings when it runs a plan, so that they have to stay; both only ever get smaller.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(key).rstrip("bB"))
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
     return df
 
 
@@ -56,3 +61,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Buckets of one table at most; a bucket then holds several blocks.
+MOST_BUCKETS = 20_000
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Like stored, bucketed by key: groups and joins by it read the rows where they lie, and do not shuffle them again."""
+    spark = with_checkpoints(df.sparkSession)
+    name, n = f"blocks_{uuid.uuid4().hex}", min(buckets, MOST_BUCKETS)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)

@@ -1,23 +1,24 @@
-"""Which fixed-length windows of symbols occur more than once in a corpus, without shuffling every window.
+"""Which fixed-length windows of symbols occur more than once in a corpus, without sending every window.
 
-Symbols are bytes (substring dedup) or words (Lempel-Ziv dedup); a window is `width` symbols of one document. The plan
-is sparse sampling first, exact comparison of what is left second:
+Symbols are bytes (substring dedup) or words (Lempel-Ziv dedup); a window is `width` symbols of one document. Anchors
+select what can be repeated; the operator's own exact method (`Method.matches`: suffix sort or Lempel-Ziv parse) decides.
 
 1. *Anchors.* In the middle of every window the position with the smallest hash is the window's anchor (winnowing).
    The choice depends on the window alone, so that equal windows have equal anchors at equal offsets. Windows that
    follow each other mostly share their anchor; such a run is one *entry*: document, first window, number of windows,
    a hash of the anchor's surroundings that all windows of any entry with this anchor contain (the core), and an
    independent hash of the whole run with the anchor's place in it (the full).
-2. *Classes.* Entries meet by core. A core that occurs once has no repeated window. Entries with the same core and the
-   same full are repeated entirely. What is left are cores with several fulls: the edges of repeated passages.
-3. *Edges.* One representative of each full is sent, with its symbols, to the operator's own exact method, which finds
-   the repeated windows among them. A core with more than `hot` fulls (a passage that a large part of all documents
-   embeds) is not sent to one task: its windows are counted one by one, by hash, at most one of each kind from a block.
+2. *Candidates.* Entries meet by core. A core that occurs once has no repeated window and goes no further. Entries with
+   the same core and full look alike: they are one class, of which two members are sent and all others wait for the
+   verdict. Any other entry whose core occurs again is sent itself. Of a core with more than `hot` fulls (a passage that a
+   large part of all documents embeds) only windows whose hashes occur again are sent, as classes of their own.
+3. *Verdicts.* What is sent is range-partitioned by sampled splitters over leading symbols, and the exact method says in
+   each bucket which windows occur again. A class's verdict goes to all its members.
 4. *Documents.* The spans come back to the documents' blocks, and are merged there.
 
-Documents are dealt into blocks by a hash of their id; the block exchange is the same in steps 1, 3 and 4, so that Spark
-writes it once and reads it three times. Entries travel as packed arrays, one binary value for a pair of block and
-bucket. No step gathers more in a task than a block of documents or a bucket of entries, and both are sized by bytes.
+Documents are dealt into blocks by a hash of their id, and stored once as a table that is bucketed by block: all steps read
+them where they lie, and texts are shuffled once. Entries travel as packed arrays, one binary value for a pair of block
+and bucket. No step gathers more in a task than a block of documents or a bucket of entries, and both are sized by bytes.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import blocks_for, cut
+from strandline.llm.common import blocks_for, bucketed, cut
 
 U = np.uint64
 #: Symbols of one chunk that is hashed at once; positions take the low bits of the anchors' order.
@@ -49,8 +50,14 @@ SPLITTER_SAMPLE = 50_000
 
 ENTRY = np.dtype([("core", "<u8"), ("full", "<u8"), ("doc", "<i4"), ("at", "<u4"), ("offset", "<u2"), ("more", "<u2")])
 SPAN = np.dtype([("doc", "<i4"), ("start", "<u4"), ("end", "<u4")])
-ASK = np.dtype([("core", "<u8"), ("h", "<u8"), ("doc", "<i4"), ("at", "<u4"), ("whole", "<u2")])
-EDGE = np.dtype([("core", "<u8"), ("doc", "<i4"), ("at", "<u4"), ("offset", "<u2"), ("more", "<u2"), ("whole", "<u2")])
+#: One window of a hot core, and a place that waits for a class's verdict.
+WINDOW = np.dtype([("core", "<u8"), ("h", "<u8"), ("doc", "<i4"), ("at", "<u4")])
+MEMBER = np.dtype([("id", "<u8"), ("block", "<i4"), ("doc", "<i4"), ("at", "<u4")])
+VERDICT = np.dtype([("id", "<u8"), ("start", "<u4"), ("end", "<u4")])
+#: What is sent: role SELF speaks for itself, FIRST for its class, SECOND only lets FIRST be found; `own` ones are dealt by
+#: their first symbols and not by those around the anchor.
+SENT = np.dtype([("core", "<u8"), ("id", "<u8"), ("meet", "<i4"), ("doc", "<i4"), ("at", "<u4"), ("offset", "<u2"), ("more", "<u2"), ("role", "u1"), ("own", "u1")])
+SELF, FIRST, SECOND = 0, 1, 2
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +85,9 @@ class Hasher:
     def __init__(self, symbols: np.ndarray, base: int):
         power, self.inverse = powers(base)
         self.sums = np.zeros(len(symbols) + 1, dtype=U)
-        np.cumsum(mixed(symbols + U(base >> 8)) * power[: len(symbols)], out=self.sums[1:])
+        # Bytes are looked up in a table of 256 hashes.
+        values = mixed(np.arange(256, dtype=U) + U(base >> 8))[symbols] if symbols.dtype == np.uint8 else mixed(symbols + U(base >> 8))
+        np.cumsum(values * power[: len(symbols)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
@@ -122,7 +131,7 @@ def entries_of(symbols: np.ndarray, bounds: np.ndarray, g: Geometry) -> tuple[np
     # Position of the anchor of the window at p, for all p.
     last = n - g.width
     anchor = (sliding_min(order[g.margin : last + g.margin + g.region], g.region) & U(CHUNK - 1)).astype(np.int64)
-    doc = np.searchsorted(bounds, np.arange(last + 1), side="right") - 1
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: last + 1]
     valid = np.arange(last + 1) + g.width <= bounds[doc + 1]
     change = np.ones(last + 2, dtype=bool)
     change[1:-1] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])
@@ -186,18 +195,48 @@ def by_key(rows: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]
         yield int(key[a]), rows[order[a:b]]
 
 
-def classify(rows: np.ndarray, block: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the ENTRY rows of one bucket: (order, repeated entirely, representative of an edge class, of a hot one), in that order."""
+def candidates(rows: np.ndarray, block: np.ndarray, meet: int, hot: int) -> tuple[np.ndarray, ...]:
+    """Of the ENTRY rows of bucket `meet`: (members, their blocks, sent ones, their blocks, hot ones, their blocks)."""
     order = np.lexsort((rows["at"], rows["doc"], block, rows["full"], rows["core"]))
-    core, full = rows["core"][order], rows["full"][order]
-    new_core = np.concatenate([[True], core[1:] != core[:-1]])
-    new_full = new_core | np.concatenate([[True], full[1:] != full[:-1]])
+    rows, block = rows[order], block[order]
+    new_core = np.concatenate([[True], rows["core"][1:] != rows["core"][:-1]])
+    new_full = new_core | np.concatenate([[True], rows["full"][1:] != rows["full"][:-1]])
     group, kind = np.cumsum(new_core) - 1, np.cumsum(new_full) - 1
-    members, fulls = np.bincount(kind), np.bincount(group, weights=new_full).astype(np.int64)
-    twice = members[kind] > 1
-    mixed_core = fulls[group] > 1
-    heavy = fulls[group] > hot
-    return order, twice, new_full & mixed_core & ~heavy, new_full & heavy
+    fulls = np.bincount(group, weights=new_full).astype(np.int64)[group]
+    class_ = np.bincount(kind)[kind] > 1
+    second = np.concatenate([[False], new_full[:-1]]) & ~new_full
+    heavy = fulls > hot
+    member = as_members(rows[class_], block[class_], mixed(rows["core"][class_] ^ mixed(rows["full"][class_])))
+    pick = (class_ & (new_full | second)) | (~class_ & (fulls > 1) & ~heavy)
+    sent = np.zeros(int(pick.sum()), dtype=SENT)
+    for c in ("core", "doc", "at", "offset", "more"):
+        sent[c] = rows[c][pick]
+    sent["id"], sent["meet"] = mixed(sent["core"] ^ mixed(rows["full"][pick])), meet
+    sent["role"] = np.where(~class_, SELF, np.where(new_full, FIRST, SECOND))[pick]
+    sent["own"] = heavy[pick]
+    return member, block[class_], sent, block[pick], rows[new_full & heavy], block[new_full & heavy]
+
+
+def as_members(rows: np.ndarray, block: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows), dtype=MEMBER)
+    out["id"], out["block"], out["doc"], out["at"] = ids, block, rows["doc"], rows["at"]
+    return out
+
+
+def same_windows(rows: np.ndarray, block: np.ndarray, meet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the WINDOW rows of one bucket those whose hashes occur again: (members, sent ones, their blocks)."""
+    order = np.lexsort((rows["at"], rows["doc"], block, rows["h"], rows["core"]))
+    rows, block = rows[order], block[order]
+    new = np.concatenate([[True], (rows["core"][1:] != rows["core"][:-1]) | (rows["h"][1:] != rows["h"][:-1])])
+    kind = np.cumsum(new) - 1
+    again = np.bincount(kind)[kind] > 1
+    second = np.concatenate([[False], new[:-1]]) & ~new
+    ids = mixed(rows["core"] ^ mixed(rows["h"]))
+    pick = again & (new | second)
+    sent = np.zeros(int(pick.sum()), dtype=SENT)
+    sent["id"], sent["meet"], sent["doc"], sent["at"], sent["own"] = ids[pick], meet, rows["doc"][pick], rows["at"][pick], 1
+    sent["role"] = np.where(new, FIRST, SECOND)[pick]
+    return as_members(rows[again], block[again], ids[again]), sent, block[pick]
 
 
 @dataclass(frozen=True)
@@ -226,8 +265,7 @@ def repeated_spans(docs: DataFrame, method: Method, text: str, doc: str, finish:
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_blocks = blocks_for(total, block_bytes)
     rows = docs.select(F.col(doc).alias("_doc"), F.col(text).cast("binary").alias("_text"), F.xxhash64(text).alias("_h"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("_doc"), F.lit(n_blocks)).cast("int"))
-    grouped = rows.groupBy("block")
+    grouped = bucketed(rows.withColumn("block", F.pmod(F.xxhash64("_doc"), F.lit(n_blocks)).cast("int")), "block", n_blocks).groupBy("block")
     every = max(1, int(total / max(1, g.region) * 2 / SPLITTER_SAMPLE))
 
     def anchors(key, pdf):
@@ -253,90 +291,101 @@ def repeated_spans(docs: DataFrame, method: Method, text: str, doc: str, finish:
         block = np.repeat(pdf["block"].to_numpy(dtype=np.int32), [len(x) for x in blobs])
         out = []
         if len(rows):
-            order, twice, edge, heavy = classify(rows, block, hot)
-            rows, block = rows[order], block[order]
-            spans = np.zeros(int(twice.sum()), dtype=SPAN)
-            spans["doc"], spans["start"] = rows["doc"][twice], rows["at"][twice]
-            spans["end"] = rows["at"][twice] + rows["more"][twice] + width
-            out += [("span", b, r.tobytes(), len(r)) for b, r in by_key(spans, block[twice])]
-            for name, flag in (("edge", edge), ("hot", heavy)):
-                marks = np.zeros(int(flag.sum()), dtype=EDGE)
-                for c in ("core", "doc", "at", "offset", "more"):
-                    marks[c] = rows[c][flag]
-                marks["whole"] = twice[flag]
-                out += [(name, b, r.tobytes(), len(r)) for b, r in by_key(marks, block[flag])]
+            members, _, sent, at, heavy, heavy_at = candidates(rows, block, int(key[0]), hot)
+            out += [("member", int(key[0]), members.tobytes(), len(members))] * bool(len(members))
+            out += [("sent", b, r.tobytes(), len(r)) for b, r in by_key(sent, at)]
+            out += [("hot", b, r.tobytes(), len(r)) for b, r in by_key(heavy, heavy_at)]
             leads = {x[k : k + 8]: x[k + 8 : k + 8 + method.lead] for x in pdf["leads"] for k in range(0, len(x), 8 + method.lead)}
-            cores, counts = np.unique(rows["core"][edge], return_counts=True)
+            cores, counts = np.unique(sent["core"], return_counts=True)
             for c, n in zip(cores, counts, strict=True):
                 lead = leads.get(int(c).to_bytes(8, "little"))
                 if lead is not None:
                     out.append(("lead", -1, lead, int(n)))
-        return pd.DataFrame(out, columns=["kind", "block", "packed", "n"])
+        return pd.DataFrame(out, columns=["kind", "at", "packed", "n"])
 
     entries = grouped.applyInPandas(anchors, "bucket int, block int, entries binary, leads binary")
-    marks = cut(entries.groupBy("bucket").applyInPandas(meet, "kind string, block int, packed binary, n long"))
+    marks = cut(entries.groupBy("bucket").applyInPandas(meet, "kind string, at int, packed binary, n long"))
 
-    # Splitters: quantiles of the sampled leading symbols of edge cores, by their number of records.
+    # Splitters: quantiles of the sampled leading symbols of what is sent, by the number of records.
     sizes = {r["kind"]: r["n"] for r in marks.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    n_edges = sizes.get("edge", 0)
-    n_hot = blocks_for(sizes["hot"] * g.region / 2, BUCKET_WINDOWS) if sizes.get("hot") else 0
-    n_buckets = blocks_for(n_edges, BUCKET_RECORDS)
+    if sizes.get("hot"):
+        n_hot = blocks_for(sizes["hot"] * g.region / 2, BUCKET_WINDOWS)
+
+        def split(key, left, right):
+            left = in_order(left)
+            rows = np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in right["packed"]]) if len(right) and len(left) else np.zeros(0, dtype=ENTRY)
+            found = single_windows(rows, left["_text"], method)
+            return pd.DataFrame([(b, int(key[0]), r.tobytes()) for b, r in by_key(found, found["h"] % U(n_hot))], columns=["bucket", "block", "packed"])
+
+        def again(key, pdf):
+            blobs = [np.frombuffer(x, dtype=WINDOW) for x in pdf["packed"]]
+            rows, block = np.concatenate(blobs), np.repeat(pdf["block"].to_numpy(dtype=np.int32), [len(x) for x in blobs])
+            members, sent, at = same_windows(rows, block, n_blocks + int(key[0]))
+            out = [("member", n_blocks + int(key[0]), members.tobytes(), len(members))] * bool(len(members))
+            return pd.DataFrame(out + [("sent", b, r.tobytes(), len(r)) for b, r in by_key(sent, at)], columns=["kind", "at", "packed", "n"])
+
+        windows = grouped.cogroup(marks.where("kind = 'hot'").groupBy(F.col("at").alias("block"))).applyInPandas(split, "bucket int, block int, packed binary")
+        more = cut(windows.groupBy("bucket").applyInPandas(again, "kind string, at int, packed binary, n long"))
+        sizes["sent"] = sizes.get("sent", 0) + (more.where("kind = 'sent'").agg(F.sum("n")).first()[0] or 0)
+        marks = marks.unionByName(more)
+    n_buckets = blocks_for(sizes.get("sent", 0), BUCKET_RECORDS)
     sample = marks.where("kind = 'lead'").select("packed", "n").toPandas().sort_values("packed")
     weight = sample["n"].cumsum().to_numpy()
     at = np.searchsorted(weight, np.arange(1, n_buckets) * (weight[-1] / n_buckets)) if len(weight) else []
     splitters = np.unique(np.array([bytes(x) for x in sample["packed"].iloc[at]], dtype=f"S{method.lead}")) if len(at) else np.zeros(0, dtype=f"S{method.lead}")
 
-    def contexts(wanted: str):
-        def run(key, left, right):
-            left = in_order(left)
-            texts = left["_text"]
-            out = []
-            rows = np.concatenate([np.frombuffer(x, dtype=EDGE) for x in right["packed"]]) if len(right) else np.zeros(0, dtype=EDGE)
-            for d, mine in by_key(rows, rows["doc"]):
-                cutter = method.cutter(texts[d] or b"")
-                for r in mine:
-                    s, e = int(r["at"]), int(r["at"]) + int(r["more"]) + width
-                    out.append((r["core"].astype(np.int64), int(key[0]), d, s, int(r["offset"]), int(r["more"]), bool(r["whole"]), cutter(s, e), cutter(s + int(r["offset"]) - g.margin, s + int(r["offset"]) + g.margin)))
-            pdf = pd.DataFrame(out, columns=["core", "block", "doc", "at", "offset", "more", "whole", "payload", "center"])
-            if wanted == "edge":
-                lead = np.array([x[: method.lead] for x in pdf["center"]], dtype=f"S{method.lead}")
-                pdf["bucket"] = np.searchsorted(splitters, lead, side="right").astype(np.int32)
-                return pdf[["bucket", "core", "block", "doc", "at", "whole", "payload"]]
-            return local_windows(int(key[0]), pdf, method, n_hot)
-
-        return run
-
-    def joined(name: str, schema: str):
-        side = marks.where(F.col("kind") == name).select("block", "packed").groupBy("block")
-        return grouped.cogroup(side).applyInPandas(contexts(name), schema)
+    def payloads(key, left, right):
+        left = in_order(left)
+        out = []
+        rows = np.concatenate([np.frombuffer(x, dtype=SENT) for x in right["packed"]]) if len(right) and len(left) else np.zeros(0, dtype=SENT)
+        for d, mine in by_key(rows, rows["doc"]):
+            cutter = method.cutter(left["_text"][d] or b"")
+            for r in mine:
+                s, a = int(r["at"]), int(r["at"]) + int(r["offset"])
+                payload = cutter(s, s + int(r["more"]) + width)
+                out.append((payload[: method.lead] if r["own"] else cutter(a - g.margin, a + g.margin)[: method.lead], r.tobytes(), int(key[0]), payload))
+        pdf = pd.DataFrame(out, columns=["lead", "sent", "block", "payload"])
+        pdf["bucket"] = np.searchsorted(splitters, np.array(pdf["lead"].tolist(), dtype=f"S{method.lead}"), side="right").astype(np.int32)
+        return pdf[["bucket", "block", "sent", "payload"]]
 
     def resolve(key, pdf):
-        pdf = pdf.sort_values(["core", "block", "doc", "at"], ignore_index=True)
+        rows = np.frombuffer(b"".join(pdf["sent"]), dtype=SENT)
+        order = np.lexsort((rows["at"], rows["doc"], pdf["block"], rows["core"]))
+        rows, pdf = rows[order], pdf.iloc[order]
         flags = method.matches(pdf["payload"].tolist(), width)
-        out = []
-        for block, d, at, whole, flag in zip(pdf["block"], pdf["doc"], pdf["at"], pdf["whole"], flags, strict=True):
-            if not whole:
+        spans, verdicts = [], []
+        for r, block, flag in zip(rows, pdf["block"].tolist(), flags, strict=True):
+            if r["role"] != SECOND and flag.any():
                 a, b = runs(flag)
-                out += [(block, d, at + x, at + y - 1 + width) for x, y in zip(a, b, strict=True)]
-        return packed_spans(out)
-
-    out_schema = "block int, packed binary"
-    edges = joined("edge", "bucket int, core long, block int, doc int, at int, whole boolean, payload binary").groupBy("bucket").applyInPandas(resolve, out_schema)
-    found = marks.where("kind = 'span'").select("block", "packed").unionByName(edges)
-    if n_hot:
-        asked = cut(joined("hot", "kind string, bucket int, block int, packed binary"))
-
-        def count(key, pdf):
-            blobs = [np.frombuffer(x, dtype=ASK) for x in pdf["packed"]]
-            rows, block = np.concatenate(blobs), np.repeat(pdf["block"].to_numpy(), [len(x) for x in blobs])
-            order = np.lexsort((rows["h"], rows["core"]))
-            rows, block = rows[order], block[order]
-            again = twice(rows) & (rows["whole"] == 0)
-            rows, block = rows[again], block[again]
-            return packed_spans(np.stack([block, rows["doc"], rows["at"], rows["at"].astype(np.int64) + width], axis=1) if len(rows) else [])
-
-        found = found.unionByName(asked.where("kind = 'done'").select("block", "packed"))
-        found = found.unionByName(asked.where("kind = 'ask'").groupBy("bucket").applyInPandas(count, out_schema))
+                if r["role"] == SELF:
+                    spans += [(block, r["doc"], int(r["at"]) + x, int(r["at"]) + y - 1 + width) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                else:
+                    verdicts += [(r["id"], r["meet"], x, y - 1 + width) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        found = np.zeros(len(verdicts), dtype=VERDICT)
+        for k, name in ((0, "id"), (2, "start"), (3, "end")):
+            found[name] = [v[k] for v in verdicts]
+        told = [("verdict", m, r.tobytes()) for m, r in by_key(found, np.array([v[1] for v in verdicts], dtype=np.int64))]
+        return pd.DataFrame(told + [("span", b, x) for b, x in packed_spans(spans)], columns=["kind", "at", "packed"])
+
+    def inform(key, left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=["at", "packed"])
+        members = np.concatenate([np.frombuffer(x, dtype=MEMBER) for x in left["packed"]])
+        verdicts = np.concatenate([np.frombuffer(x, dtype=VERDICT) for x in right["packed"]])
+        members, verdicts = members[np.argsort(members["id"], kind="stable")], verdicts[np.argsort(verdicts["id"], kind="stable")]
+        first, after = (np.searchsorted(members["id"], verdicts["id"], side=x) for x in ("left", "right"))
+        count = after - first
+        which = np.repeat(np.arange(len(verdicts)), count)
+        place = members[np.arange(count.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count)]
+        spans = np.zeros(len(place), dtype=SPAN)
+        spans["doc"], spans["start"], spans["end"] = place["doc"], place["at"] + verdicts["start"][which], place["at"] + verdicts["end"][which]
+        return pd.DataFrame([(b, r.tobytes()) for b, r in by_key(spans, place["block"])], columns=["at", "packed"])
+
+    sent = grouped.cogroup(marks.where("kind = 'sent'").groupBy(F.col("at").alias("block"))).applyInPandas(payloads, "bucket int, block int, sent binary, payload binary")
+    resolved = cut(sent.groupBy("bucket").applyInPandas(resolve, "kind string, at int, packed binary"))
+    members, verdicts = marks.where("kind = 'member'").select("at", "packed"), resolved.where("kind = 'verdict'").select("at", "packed")
+    informed = members.groupBy("at").cogroup(verdicts.groupBy("at")).applyInPandas(inform, "at int, packed binary")
+    found = resolved.where("kind = 'span'").select("at", "packed").unionByName(informed)
 
     def merge(key, left, right):
         left = in_order(left)
@@ -347,45 +396,32 @@ def repeated_spans(docs: DataFrame, method: Method, text: str, doc: str, finish:
         return pd.DataFrame(out, columns=names)
 
     names = ["_doc", *[x.split()[0] for x in schema.split(", ")]]
-    return grouped.cogroup(found.groupBy("block")).applyInPandas(merge, f"_doc {kind}, {schema}").withColumnRenamed("_doc", doc)
+    return grouped.cogroup(found.groupBy(F.col("at").alias("block"))).applyInPandas(merge, f"_doc {kind}, {schema}").withColumnRenamed("_doc", doc)
 
 
-def packed_spans(rows: list[tuple]) -> pd.DataFrame:
+def packed_spans(rows: list[tuple]) -> list[tuple[int, bytes]]:
     """(block, SPAN rows) from (block, doc, start, end)."""
     table = np.array(rows, dtype=np.int64).reshape(-1, 4)
     spans = np.zeros(len(table), dtype=SPAN)
     spans["doc"], spans["start"], spans["end"] = table[:, 1], table[:, 2], table[:, 3]
-    return pd.DataFrame([(b, r.tobytes()) for b, r in by_key(spans, table[:, 0])], columns=["block", "packed"])
-
-
-def twice(rows: np.ndarray) -> np.ndarray:
-    """Which of the rows, sorted by core and h, have a neighbour with the same."""
-    same = (rows["core"][1:] == rows["core"][:-1]) & (rows["h"][1:] == rows["h"][:-1])
-    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(rows) else np.zeros(0, dtype=bool)
-
-
-def local_windows(block: int, pdf: pd.DataFrame, method: Method, n_buckets: int) -> pd.DataFrame:
-    """Windows of a block's hot records: `done` are spans of those that occur twice in the block, `ask` one of each window."""
-    parts = []
-    for r in pdf.itertuples():
-        symbols = method.symbols(r.payload)
-        at = np.arange(len(symbols) - method.width + 1)
-        part = np.zeros(len(at), dtype=ASK)
-        part["core"] = mixed(np.full(len(at), r.core, dtype=np.int64).view(U) + (r.offset - at).astype(U) * U(BASES[1]))
-        part["h"] = Hasher(symbols, BASES[1])(at, at + method.width)
-        part["doc"], part["at"], part["whole"] = r.doc, r.at + at, r.whole
-        parts.append(part)
-    rows = np.concatenate(parts) if parts else np.zeros(0, dtype=ASK)
-    rows = rows[np.lexsort((rows["h"], rows["core"]))]
-    again = twice(rows)
-    head = np.concatenate([[True], (rows["core"][1:] != rows["core"][:-1]) | (rows["h"][1:] != rows["h"][:-1])]) if len(rows) else np.zeros(0, dtype=bool)
-    mine = rows[again & (rows["whole"] == 0)]
-    done = packed_spans(np.stack([np.full(len(mine), block), mine["doc"], mine["at"], mine["at"].astype(np.int64) + method.width], axis=1) if len(mine) else [])
-    asked = rows[head].copy()
-    asked["whole"] |= again[head]  # nothing more has to be told about these
-    out = [("done", -1, b, p) for b, p in zip(done["block"], done["packed"], strict=True)]
-    out += [("ask", b, block, r.tobytes()) for b, r in by_key(asked, asked["h"] % U(n_buckets))]
-    return pd.DataFrame(out, columns=["kind", "bucket", "block", "packed"])
+    return [(b, r.tobytes()) for b, r in by_key(spans, table[:, 0])]
+
+
+def single_windows(rows: np.ndarray, texts: pd.Series, method: Method) -> np.ndarray:
+    """The windows of a block's ENTRY rows, one by one; core takes in the anchor's place in the window."""
+    parts = [np.zeros(0, dtype=WINDOW)]
+    for d, mine in by_key(rows, rows["doc"]):
+        cutter = method.cutter(texts[d] or b"")
+        for r in mine:
+            start, n = int(r["at"]), int(r["more"]) + 1
+            symbols = method.symbols(cutter(start, start + n - 1 + method.width))
+            at = np.arange(n)
+            part = np.zeros(n, dtype=WINDOW)
+            part["core"] = mixed(np.full(n, r["core"], dtype=U) + (int(r["offset"]) - at).astype(U) * U(BASES[1]))
+            part["h"] = Hasher(symbols, BASES[1])(at, at + method.width)
+            part["doc"], part["at"] = d, start + at
+            parts.append(part)
+    return np.concatenate(parts)
 
 
 def coverage(n: int, spans: np.ndarray) -> np.ndarray:
