@@ -74,3 +74,20 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
+
+
+#: Rows of one key beyond which it counts as heavy, and how many heavy keys there can be at most.
+HEAVY_ROWS, HEAVY_KEYS = 2_000, 1_000
+
+
+def joined(rows: DataFrame, keyed: DataFrame, by: list[str], n: str = "n") -> DataFrame:
+    """rows joined with keyed, which has one row for each key and how many of `rows` have it (`n`, which is dropped).
+
+    Keys with more than HEAVY_ROWS rows, and more than 1 / HEAVY_KEYS of all, are broadcast, so that no task gets all rows
+    of one key; there are at most HEAVY_KEYS of them, whatever the input. All other keys meet in a plain join.
+    """
+    keyed = cut(keyed)
+    most = max(HEAVY_ROWS, (keyed.agg(F.sum(n)).first()[0] or 0) // HEAVY_KEYS)
+    heavy = keyed.where(F.col(n) > most).drop(n)
+    light = rows.join(F.broadcast(heavy.select(*by)), by, "left_anti").join(keyed.where(F.col(n) <= most).drop(n), by)
+    return light.unionByName(rows.join(F.broadcast(heavy), by))

@@ -2,10 +2,12 @@
 
 Lines with a word are numbered in a document; each has a 64-bit hash. In every window of `run` lines the smallest hash is
 selected (the leftmost of equal ones), so that two equal runs of `run` lines or more are guaranteed to share a
-fingerprint at the same place. Fingerprints that occur once are dropped by a partially aggregated count. For the
-others the windows that they were selected from are joined on their whole content, and their first place in the
-corpus is kept; a match is extended both ways as the windows before and behind it match too. Every line of a window
-that occurs earlier is deleted; the first occurrence stays. "Earlier" is by document id, then by line.
+fingerprint at the same place. Only fingerprints travel: the place, the hashes of the `run - 1` lines on either side, and
+which of the windows around it have selected it. Fingerprints that occur once are dropped by a partially aggregated
+count. The others' places are joined, and a match is extended both ways over these neighbours: every window of a
+fingerprint whose lines all agree is a match, and longer runs go on at the next fingerprint. Of equal windows the first
+place in the corpus stays, and every line of the later ones is deleted. "Earlier" is by document id, then by line.
+Fingerprints and windows that very many documents have are joined by broadcast (`joined`), as there can only be few.
 
 Defined cases: a null or blank text has no lines and stays as it is. Lines without a word are never deleted. Runs shorter
 than `run` stay, so that a document of fewer lines stays whole. Rows with the same id and the same text have the same
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, small_batches
+from strandline.llm.common import cut, joined, small_batches
 
 RUN = 3
 
@@ -43,44 +45,51 @@ def selected(hashes: np.ndarray, run: int) -> np.ndarray:
     return view.argmin(axis=1) + np.arange(len(view))
 
 
-def windows(docs: DataFrame, text: str, doc: str, run: int) -> DataFrame:
-    """(doc, h, line, mark, w1, w2): every window of run lines, its fingerprint's hash and the window's."""
+def fingerprints(docs: DataFrame, text: str, doc: str, run: int) -> DataFrame:
+    """(_doc, h, line, mark, around, chosen): every selected line, the hashes of it and its run - 1 neighbours on either side
+    (0 beyond the text), and a bit for each of its windows, by their first line from the leftmost on, that selected it."""
     kind = docs.schema[doc].dataType.simpleString()
 
     def emit(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
-            out, counts, keep = [], [], []
+            at, marks, around, chosen, counts, keep = [], [], [], [], [], []
             for place, t in enumerate(pdf["_text"]):
                 lines = numbered(t)
-                n = len(lines) - run + 1
-                if n < 1:
+                if len(lines) < run:
                     continue
                 each = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64)
-                other = np.array([xxhash.xxh64_intdigest(x) for x in lines], dtype=np.uint64)
-                first, second = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-                for k in range(run):
-                    first = (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + each[k : k + n]
-                    second = (second ^ (second >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + other[k : k + n]
-                out.append(np.stack([np.arange(n), each[selected(each, run)].view(np.int64), first.view(np.int64), second.view(np.int64)], axis=1))
-                counts.append(n)
+                pick = selected(each, run)
+                lines_at = np.unique(pick)
+                bits = np.zeros(len(each), dtype=np.int64)
+                start = np.arange(len(pick))
+                np.bitwise_or.at(bits, pick, np.left_shift(1, start - pick + run - 1))
+                padded = np.concatenate([np.zeros(run - 1, dtype=np.uint64), each, np.zeros(run - 1, dtype=np.uint64)])
+                at.append(lines_at)
+                marks.append(each[lines_at])
+                around.append(np.lib.stride_tricks.sliding_window_view(padded, 2 * run - 1)[lines_at])
+                chosen.append(bits[lines_at])
+                counts.append(len(lines_at))
                 keep.append(place)
-            if out:
-                table = np.concatenate(out)
+            if at:
                 rows = pdf[["_doc", "h"]].iloc[np.repeat(keep, counts)].reset_index(drop=True)
-                yield rows.assign(line=table[:, 0].astype(np.int32), mark=table[:, 1], w1=table[:, 2], w2=table[:, 3])
+                yield rows.assign(line=np.concatenate(at).astype(np.int32), mark=np.concatenate(marks).view(np.int64), around=list(np.concatenate(around).view(np.int64)), chosen=np.concatenate(chosen).astype(np.int32))
 
     source = small_batches(docs).select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("_text"))
-    return source.mapInPandas(emit, f"_doc {kind}, h long, line int, mark long, w1 long, w2 long")
+    return source.mapInPandas(emit, f"_doc {kind}, h long, line int, mark long, around array<long>, chosen int")
 
 
 def later_windows(docs: DataFrame, text: str, doc: str, run: int) -> DataFrame:
     """(_doc, h, lines): places of windows that occur earlier."""
-    found = cut(windows(docs, text, doc, run))
-    marks = found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    candidates = found.join(marks, "mark", "left_semi")
+    found = cut(fingerprints(docs, text, doc, run))
+    marks = found.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
+    met = joined(found, marks, ["mark"])
+    # The windows of a fingerprint, as far as they have selected it: their first line, and their lines' hashes.
+    shift = F.explode(F.filter(F.sequence(F.lit(0), F.lit(run - 1)), lambda k: F.call_function("shiftright", F.col("chosen"), k).bitwiseAND(F.lit(1)) == 1))
+    windows = met.select("_doc", "h", "line", "around", shift.alias("k"))
+    windows = cut(windows.select("_doc", "h", (F.col("line") + F.col("k") - (run - 1)).alias("line"), F.slice("around", F.col("k") + 1, F.lit(run)).alias("lines")))
     place = F.struct("_doc", "h", "line")
-    first = candidates.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
-    later = candidates.join(first, ["w1", "w2"]).where(place > F.col("first"))
+    first = windows.groupBy("lines").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = joined(windows, first, ["lines"]).where(place > F.col("first"))
     # At most as many places as the document has lines.
     return later.groupBy("_doc", "h").agg(F.collect_set("line").alias("lines"))
 
@@ -92,7 +101,7 @@ def line_dedup(docs: DataFrame, run: int = RUN, text: str = "text", doc: str = "
     # Deleting never reads the text's own columns under another name, so the names below cannot clash.
     places = later_windows(docs.select(doc, text), text, doc, run)
     hashed = docs.select(*[F.col(f"`{c}`") for c in carried], F.xxhash64(text).alias("_h"))
-    joined = hashed.join(places.select(F.col("_doc"), F.col("h").alias("_p"), F.col("lines").alias("_lines")), F.col(f"`{doc}`").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_p")), "left").drop("_doc", "_p", "_h")
+    placed = hashed.join(places.select(F.col("_doc"), F.col("h").alias("_p"), F.col("lines").alias("_lines")), F.col(f"`{doc}`").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_p")), "left").drop("_doc", "_p", "_h")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
 
     def delete(batches):
@@ -103,7 +112,7 @@ def line_dedup(docs: DataFrame, run: int = RUN, text: str = "text", doc: str = "
                 pdf[name] = [x[k] for x in out]
             yield pdf
 
-    return joined.mapInPandas(delete, f"{schema}, n_lines long, n_removed long, n_spans long, kept_sha256 string")
+    return placed.mapInPandas(delete, f"{schema}, n_lines long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept(text: str | None, places, run: int) -> tuple[str | None, int, int, int, str]:
