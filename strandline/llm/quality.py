@@ -152,34 +152,44 @@ class LabelModel:
     accuracy: dict[str, float]  # P(a vote is right | the rule votes)
 
 
+#: What is assumed of a rule before any document is seen: how often it is right on good texts, on its own kind of bad
+#: texts, and approves of other kinds of bad texts; this counts as much as PULL of all documents. A rule objects to at
+#: most WRONG of the good texts: else EM lets the good kind take in a frequent kind of bad text.
+RIGHT, OWN, OTHER, PULL, WRONG = 0.998, 0.95, 0.95, 0.25, 0.02
+
+
 def fit(codes: np.ndarray, n: np.ndarray, rounds: int = 500) -> LabelModel:
     """EM over pattern counts. At most 3**len(RULES) patterns exist, whatever the number of documents.
 
     Bad texts are of several kinds that have little in common (all capitals, symbol soup, repeated lines), so the bad
-    side of the model is a mixture with one kind for each rule. The start says that a text with bad votes belongs to
-    the kinds of these rules. An abstention says nothing. Without documents every pattern keeps its start.
+    side of the model is a mixture with one kind for each rule. Rules are better than chance: their accuracies have a
+    prior that pulls the first kind to approval by all rules, and every other kind to a bad vote of its rule, with a weight
+    in proportion to the documents, so that small and large corpora are fitted alike, and no kind can change places with
+    the good one. An abstention says nothing. Without documents every pattern keeps its start.
     """
     every = np.arange(3 ** len(RULES))
     votes = np.array([pattern(int(k)) for k in every], dtype=np.int64)
     up, down = (votes == 1).astype(float), (votes == -1).astype(float)
     weight = np.zeros(len(every))
     weight[codes.astype(int)] = n
-    none = down.sum(axis=1) == 0
-    p = np.concatenate([np.where(none, 0.98, 0.02)[:, None], np.where(none[:, None], 0.02 / len(RULES), 0.98 * down / np.maximum(down.sum(axis=1), 1)[:, None])], axis=1)
-    classes, approve = p.mean(axis=0), np.full((p.shape[1], len(RULES)), 0.5)
+    prior = np.full((len(RULES) + 1, len(RULES)), OTHER)
+    prior[0] = RIGHT
+    prior[np.arange(1, len(RULES) + 1), np.arange(len(RULES))] = 1 - OWN
+    pull = max(1.0, PULL * weight.sum())
+    start = np.append(0.8, np.full(len(RULES), 0.2 / len(RULES)))
+    classes, approve, p = start, prior, None
     for _ in range(rounds):
-        if not weight.any():
-            break
-        w = weight[:, None] * p
-        classes = (w.sum(axis=0) + 1) / (weight.sum() + p.shape[1])
-        approve = (w.T @ up + 0.5) / (w.T @ (up + down) + 1)
         score = np.log(classes) + up @ np.log(approve).T + down @ np.log1p(-approve).T
         new = np.exp(score - score.max(axis=1, keepdims=True))
         new /= new.sum(axis=1, keepdims=True)
-        done = np.abs(new - p)[weight > 0].max() < 1e-9
+        done = p is not None and np.abs(new - p)[weight > 0].max(initial=0) < 1e-9
         p = new
-        if done:
+        if done or not weight.any():
             break
+        w = weight[:, None] * p
+        classes = (w.sum(axis=0) + pull * start) / (weight.sum() + pull)
+        approve = (w.T @ up + pull * prior) / (w.T @ (up + down) + pull)
+        approve[0] = np.maximum(approve[0], 1 - WRONG)
     good = weight * p[:, 0]
     right = (good @ up + (weight - good) @ down) / np.maximum(weight @ (up + down), 1e-9)
     return LabelModel(classes, approve, p[:, 0], dict(zip(RULES, np.round(right, 4).tolist(), strict=True)))
