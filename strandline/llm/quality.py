@@ -165,7 +165,7 @@ def fit(codes: np.ndarray, n: np.ndarray, rounds: int = 500) -> LabelModel:
     side of the model is a mixture with one kind for each rule. Rules are better than chance: their accuracies have a
     prior that pulls the first kind to approval by all rules, and every other kind to a bad vote of its rule, with a weight
     in proportion to the documents, so that small and large corpora are fitted alike, and no kind can change places with
-    the good one. An abstention says nothing. Without documents every pattern keeps its start.
+    the good one. An abstention says nothing, but that a text is not of the kind that its rule would object to. Without documents every pattern keeps its start.
     """
     every = np.arange(3 ** len(RULES))
     votes = np.array([pattern(int(k)) for k in every], dtype=np.int64)
@@ -174,12 +174,15 @@ def fit(codes: np.ndarray, n: np.ndarray, rounds: int = 500) -> LabelModel:
     weight[codes.astype(int)] = n
     prior = np.full((len(RULES) + 1, len(RULES)), OTHER)
     prior[0] = RIGHT
-    prior[np.arange(1, len(RULES) + 1), np.arange(len(RULES))] = 1 - OWN
+    rules = np.arange(len(RULES))
+    kinds = rules + 1
+    prior[kinds, rules] = 1 - OWN
     pull = max(1.0, PULL * weight.sum())
     start = np.append(0.8, np.full(len(RULES), 0.2 / len(RULES)))
     classes, approve, p = start, prior, None
     for _ in range(rounds):
         score = np.log(classes) + up @ np.log(approve).T + down @ np.log1p(-approve).T
+        score[:, 1:] += (1 - up - down) * np.log(approve[kinds, rules])
         new = np.exp(score - score.max(axis=1, keepdims=True))
         new /= new.sum(axis=1, keepdims=True)
         done = p is not None and np.abs(new - p)[weight > 0].max(initial=0) < 1e-9
@@ -188,7 +191,9 @@ def fit(codes: np.ndarray, n: np.ndarray, rounds: int = 500) -> LabelModel:
             break
         w = weight[:, None] * p
         classes = (w.sum(axis=0) + pull * start) / (weight.sum() + pull)
-        approve = (w.T @ up + pull * prior) / (w.T @ (up + down) + pull)
+        silent = np.zeros_like(prior)
+        silent[kinds, rules] = (w[:, 1:] * (1 - up - down)).sum(axis=0)
+        approve = (w.T @ up + silent + pull * prior) / (w.T @ (up + down) + silent + pull)
         approve[0] = np.maximum(approve[0], 1 - WRONG)
     good = weight * p[:, 0]
     right = (good @ up + (weight - good) @ down) / np.maximum(weight @ (up + down), 1e-9)

@@ -129,7 +129,40 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN sums USING (doc_id) LEFT JOIN starts USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL}
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i : i + 9], ' ') AS phrase
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM phrases),
+places AS (
+  SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)
+),
+hits AS (SELECT DISTINCT doc_id, n, i, item_id FROM places JOIN phrases USING (n, phrase)),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::varchar AS id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+repeated AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM windows JOIN repeated USING (w)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d),
+kept AS (
+  SELECT doc_id, count(g.k) AS n_removed, string_agg(word, ' ' ORDER BY words.k) FILTER (g.k IS NULL) AS kept
+  FROM words LEFT JOIN gone g USING (doc_id, k) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_decontamination": OP6_SQL, "op10_lempel_ziv_dedup": OP10_SQL}
+
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -52,10 +52,12 @@ def vector_shards(docs: DataFrame, shards: int, text: str = "text", order: str =
     """docs without the text, with size, n_tokens, text_crc32, shard and slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
     added = {"size", "n_tokens", "text_crc32", "shard", "slot"}
-    carried = [c for c in docs.columns if c != text and c not in added]
+    names = {c: f"_carried{k}" for k, c in enumerate(c for c in docs.columns if c != text and c not in added)}
+    # Under names of our own, so that no input column clashes with one of the plan's.
+    carried = list(names.values())
     body = F.col(text)
     rows = cut(docs.select(
-        *[F.col(f"`{c}`") for c in carried],
+        *[F.col(f"`{c}`").alias(k) for c, k in names.items()],
         (F.coalesce(F.octet_length(body), F.lit(0)) + overhead).cast("long").alias("size"),
         F.coalesce(F.regexp_count(body, F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_tokens"),
         F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
@@ -63,7 +65,7 @@ def vector_shards(docs: DataFrame, shards: int, text: str = "text", order: str =
     ))
     total = rows.agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).first()
     if not total["rows"]:
-        return rows.drop("h1", "h2").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
+        return rows.drop("h1", "h2").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).withColumnsRenamed({k: c for c, k in names.items()})
     capacity = np.array([max(total[d], 1) / shards for d in DIMS])
     groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     share = F.greatest(*[F.col(d) / F.lit(float(c)) for d, c in zip(DIMS, capacity, strict=True)])
@@ -98,14 +100,13 @@ def vector_shards(docs: DataFrame, shards: int, text: str = "text", order: str =
         return pdf[["h1", "h2"]].assign(piece=np.int32(0), parts=np.int32(1), shard=place(w, room))
 
     packed = light.withColumn("block", F.pmod(F.xxhash64("h1"), F.lit(n_blocks))).groupBy("block").applyInPandas(pack, "h1 long, h2 long, piece int, parts int, shard int")
-    split = heavy_df.where("parts > 1")
-    # Heavy groups are a bounded number of rows, so that side may be broadcast; the light ones meet in a plain join.
-    spread = rows.join(F.broadcast(split.select("h1", "h2", "parts").distinct()), ["h1", "h2"], "left")
-    spread = spread.withColumn("piece", F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (carried or ["h1"])]), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    where = F.broadcast(heavy_df.select("h1", "h2", "piece", F.col("shard").alias("heavy_shard")))
-    spread = spread.join(where, ["h1", "h2", "piece"], "left").join(packed.select("h1", "h2", "shard"), ["h1", "h2"], "left")
-    spread = spread.withColumn("shard", F.coalesce("heavy_shard", "shard")).drop("heavy_shard", "h1", "h2", "piece")
-    return with_slots(cut(spread), order, blocks_for(total["rows"], block_groups))
+    # Heavy groups are a bounded number of rows, so that they are broadcast and their rows never meet in one task.
+    parts = F.broadcast(heavy_df.select("h1", "h2", "parts").distinct())
+    of_heavy = rows.join(parts, ["h1", "h2"]).withColumn("piece", F.pmod(F.xxhash64(*[F.col(c) for c in (carried or ["h1"])]), F.col("parts")).cast("int"))
+    of_heavy = of_heavy.join(F.broadcast(heavy_df.drop("parts")), ["h1", "h2", "piece"]).drop("parts", "piece")
+    of_light = rows.join(parts.select("h1", "h2"), ["h1", "h2"], "left_anti").join(packed.select("h1", "h2", "shard"), ["h1", "h2"])
+    placed = cut(of_light.unionByName(of_heavy).drop("h1", "h2"))
+    return with_slots(placed, names[order], blocks_for(total["rows"], block_groups)).withColumnsRenamed({k: c for c, k in names.items()})
 
 
 def with_slots(rows: DataFrame, order: str, blocks: int) -> DataFrame:

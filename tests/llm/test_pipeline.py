@@ -72,7 +72,7 @@ def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got = registry.queries()[name](spark, DATA)
     cursor = con.execute(registry.oracle_sql()[name])
