@@ -178,7 +178,7 @@ def fit(codes: np.ndarray, n: np.ndarray, rounds: int = 500) -> LabelModel:
     kinds = rules + 1
     prior[kinds, rules] = 1 - OWN
     pull = max(1.0, PULL * weight.sum())
-    start = np.append(0.8, np.full(len(RULES), 0.2 / len(RULES)))
+    start = np.append(0.95, np.full(len(RULES), 0.05 / len(RULES)))
     classes, approve, p = start, prior, None
     for _ in range(rounds):
         score = np.log(classes) + up @ np.log(approve).T + down @ np.log1p(-approve).T
