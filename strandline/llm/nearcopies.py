@@ -242,8 +242,8 @@ def prefixes(sets: DataFrame) -> DataFrame:
 def meetings(seen: DataFrame, similarity: float) -> DataFrame:
     """(centre, label, node, d, n, asks, answers): groups in which nodes of one bucket that can be similar meet.
 
-    seen: rows of `against_centre` of nodes that are not yet in their centre's component, or share a bucket with one
-    that is not. Let x and y be similar, s the similarity and r = (1 - s) / (1 + s). What x and y have more or less than
+    seen: rows of `against_centre`, with roots, of nodes that are not yet in their centre's component, or share a bucket with
+    one that is not. Let x and y be similar, s the similarity and r = (1 - s) / (1 + s). What x and y have more or less than
     the centre c are sets X and Y, and |X ^ Y|, the labels that only one of x and y has, is at most r (|x| + |y|).
 
     - Both are unlike c: |X| > r (|x| + |c|), likewise Y. Then X and Y have a third of their union in common at least, and
@@ -256,10 +256,10 @@ def meetings(seen: DataFrame, similarity: float) -> DataFrame:
     """
     r = (1 - similarity) / (1 + similarity)
     bits = [f"bits{k}" for k in range(BIT_WORDS)]
-    columns = ["centre", "label", "node", "d", "n", "asks", "answers"]
+    columns = ["centre", "label", "node", "root", "d", "n", "asks", "answers"]
     yes, none = F.lit(True), [F.lit(None).cast("long").alias(c) for c in bits]
     words = [F.element_at("marks", DEVIATION_BANDS + 1 + k).alias(c) for k, c in enumerate(bits)]
-    lone = seen.where("unlike").select("centre", F.explode(F.slice("marks", 1, DEVIATION_BANDS)).alias("label"), "node", F.col("size").alias("d"), "n", yes.alias("asks"), yes.alias("answers"), *words)
+    lone = seen.where("unlike").select("centre", F.explode(F.slice("marks", 1, DEVIATION_BANDS)).alias("label"), "node", "root", F.col("size").alias("d"), "n", yes.alias("asks"), yes.alias("answers"), *words)
 
     # Only centres that have both kinds, and x with a label more or less than c.
     pairing = seen.where("NOT (unlike AND far) AND size > 0")
@@ -276,12 +276,12 @@ def meetings(seen: DataFrame, similarity: float) -> DataFrame:
                 rows = rows.iloc[np.repeat(np.arange(len(rows)), counts[a : a + 1_000])]
                 yield rows.assign(label=np.concatenate(sets[a : a + 1_000]))
 
-    deviating = pairing.join(kinds, "centre", "left_semi").select("centre", "node", F.col("size").alias("d"), need.alias("need"), "n", F.col("unlike").alias("asks"), (~F.col("unlike")).alias("answers"), "labels")
-    deviating = deviating.mapInPandas(unpack, "centre long, node long, d long, need long, n long, asks boolean, answers boolean, label long")
+    deviating = pairing.join(kinds, "centre", "left_semi").select("centre", "node", "root", F.col("size").alias("d"), need.alias("need"), "n", F.col("unlike").alias("asks"), (~F.col("unlike")).alias("answers"), "labels")
+    deviating = deviating.mapInPandas(unpack, "centre long, node long, root long, d long, need long, n long, asks boolean, answers boolean, label long")
 
     # The centre's labels in another order.
     turned = seen.where("NOT similar AND NOT unlike").select("centre").distinct()
-    wild = seen.where("NOT unlike").join(turned, "centre", "left_semi").select("centre", F.lit(0).cast("long").alias("label"), "node", F.col("size").alias("d"), "n", (~F.col("similar")).alias("asks"), yes.alias("answers"))
+    wild = seen.where("NOT unlike").join(turned, "centre", "left_semi").select("centre", F.lit(0).cast("long").alias("label"), "node", "root", F.col("size").alias("d"), "n", (~F.col("similar")).alias("asks"), yes.alias("answers"))
     return lone.unionByName(prefixes(deviating).select(*columns, *none)).unionByName(wild.select(*columns, *none))
 
 
@@ -349,10 +349,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", words:
     open_ = cut(at.join(divided, "key", "left_semi").where("node <> centre").select("node", "centre", "root").distinct())
     if open_.limit(1).count():
         # Buckets that hold several components: nodes meet by what they have more or less than the centre.
-        groups = cut(meetings(seen.join(open_.select("node", "centre"), ["node", "centre"]), similarity).join(open_.select("node", "root").distinct(), "node"))
-        split = groups.groupBy("centre", "label").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("centre", "label")
-        now = groups.join(split, ["centre", "label"], "left_semi")
-        x, y = now.where("asks").alias("x"), now.where("answers").alias("y")
+        groups = cut(meetings(seen.join(open_, ["node", "centre"]), similarity))
+        x, y = groups.where("asks").alias("x"), groups.where("answers").alias("y")
         most = (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + 1e-6
         near = (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.d") - F.col("y.d")) <= most)
         # Two that both ask meet once.
