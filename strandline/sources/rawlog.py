@@ -6,13 +6,16 @@ are big-endian. The format is fixed; a file is one partition. In audit mode a ba
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import json
 import os
+import re
 import struct
+import time
+import uuid
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -78,36 +81,44 @@ class Segment(InputPartition):
         self.path = path
 
 
+def store_of(path: str):
+    """(file system, path in it) of a folder: a local path or a URI of any store that pyarrow reaches."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else os.path.abspath(path))
+
+
+def sealed(folder: str) -> list[str]:
+    """Sealed segments in the order of their names."""
+    store, path = store_of(folder)
+    return sorted(x.path for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.path.endswith(".rawlog"))
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.audit = options["path"], options.get("audit", "false") == "true"
 
     def partitions(self):
-        return [Segment(p) for p in sorted(glob.glob(f"{self.path}/*.rawlog")) or [""]]
+        return [Segment(p) for p in sealed(self.path) or [""]]
 
     def read(self, partition):
         if partition.path:
-            with open(partition.path, "rb") as f:
-                yield from rows_of(os.path.basename(partition.path), f.read(), self.audit)
+            with store_of(self.path)[0].open_input_stream(partition.path, compression=None) as f:
+                yield from rows_of(partition.path.rsplit("/", 1)[-1], f.read(), self.audit)
 
 
 class StreamReader(DataSourceStreamReader):
-    """Sealed segments in name order; an offset is the number of segments read."""
+    """Sealed segments in name order; an offset is the last name read. Names are given at the seal and only grow."""
 
     def __init__(self, options: dict):
         self.path, self.audit = options["path"], options.get("audit", "false") == "true"
 
-    def _files(self) -> list[str]:
-        return sorted(glob.glob(f"{self.path}/*.rawlog"))
-
     def initialOffset(self):
-        return {"segments": 0}
+        return {"last": ""}
 
     def latestOffset(self):
-        return {"segments": len(self._files())}
+        return {"last": max((p.rsplit("/", 1)[-1] for p in sealed(self.path)), default="")}
 
     def partitions(self, start, end):
-        return [Segment(p) for p in self._files()[start["segments"] : end["segments"]]] or [Segment("")]
+        return [Segment(p) for p in sealed(self.path) if start["last"] < p.rsplit("/", 1)[-1] <= end["last"]] or [Segment("")]
 
     read = Reader.read
 
@@ -121,39 +132,42 @@ class Committed(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    """One segment for each partition; it appears under its name when the job commits."""
+    """One segment for each partition; it gets its name when the job commits, after all that are there. Nothing is replaced."""
 
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.job = options["path"], uuid.uuid4().hex
 
     def write(self, rows):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name, n = f"{self.path}/seg-{context.partitionId():05d}.{context.taskAttemptId()}.part", 0
-        with open(name, "wb") as f:
+        store, path = store_of(self.path)
+        store.create_dir(path)
+        name, n = f"{path}/{self.job}-{context.partitionId():05d}-{context.taskAttemptId()}.part", 0
+        with store.open_output_stream(name, compression=None) as f:
             for r in rows:
                 meta = {k: r[k] for k in META} | {"schema_version": 1, "capture_flags": sorted(set(r["capture_flags"] or []))}
                 f.write(encode(meta, bytes(r["payload"])))
                 n += 1
-            f.flush()
-            os.fsync(f.fileno())
         return Committed(name, n)
 
     def commit(self, messages):
-        for m in messages:
-            if m is None:
+        store, path = store_of(self.path)
+        for m in sorted((m for m in messages if m is not None), key=lambda m: m.path):
+            if not m.n:
+                store.delete_file(m.path)
                 continue
-            if m.n:
-                os.replace(m.path, m.path.rsplit(".", 2)[0] + ".rawlog")
-            else:
-                os.remove(m.path)
+            last = max((int(p.rsplit("/seg-", 1)[1][:20]) for p in sealed(self.path) if re.search(r"/seg-\d{20}-", p)), default=0)
+            final = f"{path}/seg-{max(time.time_ns(), last + 1):020d}-{self.job}.rawlog"
+            if store.get_file_info(final).type != fs.FileType.NotFound:
+                raise FileExistsError(final)
+            store.move(m.path, final)
 
     def abort(self, messages):
+        store, _ = store_of(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and store.get_file_info(m.path).type != fs.FileType.NotFound:
+                store.delete_file(m.path)
 
 
 class RawLog(DataSource):
@@ -193,14 +207,18 @@ def audit(frames: DataFrame) -> DataFrame:
 
 
 def recover(path: str) -> str:
-    """Cut an incomplete tail off a segment; a corrupt one is left alone. Gives the tail's state."""
-    with open(path, "rb") as f:
-        last = ("CLEAN", 0)
-        for at, _, _, state in records(f.read()):
-            last = (state, at)
+    """Cut an incomplete tail off a segment; a corrupt one is left alone. Gives the tail's state.
+
+    The whole records are written beside it and moved over it, so that a second crash loses nothing.
+    """
+    store, name = store_of(path)
+    with store.open_input_stream(name, compression=None) as f:
+        data = f.read()
+    last = ("CLEAN", 0)
+    for at, _, _, state in records(data):
+        last = (state, at)
     if last[0] == "INCOMPLETE":
-        with open(path, "r+b") as f:
-            f.truncate(last[1])
-            f.flush()
-            os.fsync(f.fileno())
+        with store.open_output_stream(f"{name}.part", compression=None) as f:
+            f.write(data[: last[1]])
+        store.move(f"{name}.part", name)
     return last[0]

@@ -89,7 +89,13 @@ def test_statistics_constants():
     assert [statistics.power_count(a, z_alpha=1.959963984540054) for a in (0.55, 0.54)] == [783, 1225]
     assert statistics.upper_tail(3, 4) == Decimal(5) / 16 and statistics.upper_tail(0, 4) == 1
     assert statistics.grid_125(2, 100) == [2, 5, 10, 20, 50, 100] and statistics.next_125(20) == 50
-    assert statistics.solve([[0, 2], [1, 1]], [4, 3]) == [1, 2]
+    assert statistics.solve([[4, 2], [2, 3]], [8, 8]) == [1, 2] and statistics.solve([], []) == []
+    with pytest.raises(ValueError):
+        statistics.solve([[1, 2], [2, 1]], [1, 1])
+    for k, n in ((1_010, 2_001), (900, 2_001), (2_001, 2_001), (0, 2_001), (2_002, 2_001)):
+        exact = sum(statistics.math.comb(n, j) for j in range(k, n + 1)) / 2**n
+        assert abs(float(statistics.upper_tail(k, n)) - exact) <= 1e-9 * exact
+    assert 0.49 < statistics.upper_tail(5_000_001, 10_000_001) < 0.51
     assert statistics.buffered_count(783, "0.868") == 903
 
 
@@ -171,6 +177,28 @@ def test_raw_log(spark, tmp_path):
     assert rawlog.raw_frames(spark, str(tmp_path / "copy")).count() == 5
 
 
+def test_two_appends_keep_both_and_streams_read_each_once(spark, tmp_path):
+    spark.dataSource.register(rawlog.RawLog)
+    folder = str(tmp_path / "log")
+
+    def append(k):
+        (tmp_path / f"in{k}").mkdir()
+        (tmp_path / f"in{k}" / "x.rawlog").write_bytes(rawlog.encode(*frame("a", k, {"n": k})))
+        rawlog.raw_frames(spark, str(tmp_path / f"in{k}")).withColumn("tail_state", F.lit("CLEAN")).write.format("rawlog").mode("append").save(folder)
+
+    def seen():
+        query = spark.readStream.format("rawlog").load(folder).select("ingest_seq").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(r.ingest_seq for r in spark.read.schema("ingest_seq long").parquet(str(tmp_path / "out")).collect())
+
+    append(1)
+    append(2)
+    assert sorted(r.ingest_seq for r in rawlog.raw_frames(spark, folder).collect()) == [1, 2] == seen()
+    append(3)
+    assert seen() == [1, 2, 3]
+    assert len(rawlog.sealed(folder)) == 3 and not [p for p in (tmp_path / "log").iterdir() if p.name.endswith(".part")]
+
+
 def test_archives(spark, tmp_path):
     lines = ["exchange,symbol,timestamp,local_timestamp,id,side,price,amount", "v,S,1704067200000000,1704067200000001,a,buy,100.5,2", "v,S,1704067200000000,1704067200000000,b,sell,101,0.1"]
     with gzip.open(tmp_path / "t.csv.gz", "wt") as f:
