@@ -105,17 +105,22 @@ WITH lines AS (
   SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
 ),
 worded AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
 triples AS (
-  SELECT doc_id, k, line AS l1, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3 FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+  SELECT doc_id, k, n, line AS l1, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3, lead(n, 1) OVER w AS n2 FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+),
+windows AS (
+  SELECT doc_id, k, size, l1, CASE WHEN size > 1 THEN l2 END AS l2, CASE WHEN size > 2 THEN l3 END AS l3
+  FROM (SELECT *, CASE WHEN n >= 20 THEN 1 WHEN n + n2 >= 20 THEN 2 WHEN l3 IS NOT NULL THEN 3 END AS size FROM triples) WHERE size IS NOT NULL
 ),
 later AS (
-  SELECT doc_id, k FROM (
-    SELECT doc_id, k, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, k) AS nth FROM triples WHERE l3 IS NOT NULL
+  SELECT doc_id, k, size FROM (
+    SELECT doc_id, k, size, row_number() OVER (PARTITION BY size, l1, l2, l3 ORDER BY doc_id, k) AS nth FROM windows
   ) WHERE nth > 1
 ),
-dead AS (SELECT DISTINCT doc_id, k + i AS k FROM later, (VALUES (0), (1), (2)) AS o(i)),
+dead AS (SELECT DISTINCT doc_id, k + i AS k FROM later, (VALUES (0), (1), (2)) AS o(i) WHERE i < size),
 marked AS (
   SELECT l.doc_id, l.pos, l.line, w.k, d.k IS NOT NULL AS gone
   FROM lines l LEFT JOIN worded w USING (doc_id, pos) LEFT JOIN dead d ON d.doc_id = l.doc_id AND d.k = w.k

@@ -234,18 +234,25 @@ def test_label_model_finds_kinds_of_bad_texts():
 # -- lines --------------------------------------------------------------------------------------------------------
 
 
-def test_line_dedup_equals_brute_force(spark):
+def window_at(w, k, run=3, least=20):
+    """The fewest lines from k on with `least` words, at most `run`; None beyond the end."""
+    n = next((m for m in range(1, run + 1) if sum(len(x.encode().split()) for x in w[k : k + m]) >= least), run)
+    return tuple(w[k : k + n]) if k + n <= len(w) else None
+
+
+@pytest.mark.parametrize("choice", [["a", "b", "c", "", " ", "dd"], ["a", "b " * 9, "c " * 11, "", "d " * 19, "e " * 20, *(f"{k} " * 12 for k in range(40))]])
+def test_line_dedup_equals_brute_force(spark, choice):
     rng = random.Random(11)
-    texts = ["\n".join(rng.choice(["a", "b", "c", "", " ", "dd"]) for _ in range(rng.randint(0, 25))) for _ in range(40)]
+    texts = ["\n".join(rng.choice(choice) for _ in range(rng.randint(0, 25))) for _ in range(40)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     worded = [[x for x in t.split("\n") if x.strip()] for t in texts]
     seen, gone = set(), defaultdict(set)
     for d, w in enumerate(worded):
-        for k in range(len(w) - 2):
-            key = tuple(w[k : k + 3])
+        for k in range(len(w)):
+            key = window_at(w, k)
             if key in seen:
-                gone[d].update(range(k, k + 3))
-            seen.add(key)
+                gone[d].update(range(k, k + len(key)))
+            seen |= {key} - {None}
     for r in lines.line_dedup(docs).collect():
         k, out = -1, []
         for x in texts[r.doc_id].split("\n"):
@@ -259,8 +266,16 @@ def test_line_dedup_equals_brute_force(spark):
 def test_fingerprints_are_guaranteed():
     rng = np.random.default_rng(8)
     x = rng.integers(0, 5, 200).astype(np.uint64)
-    marks = lines.selected(x, 4)
-    assert all(p <= m < p + 4 and x[m] == x[p : p + 4].min() for p, m in enumerate(marks))
+    size = lines.window_sizes(rng.integers(1, 9, 200), 4, 12)
+    marks = lines.selected(x, size)
+    assert set(size) == {0, 2, 3, 4} and all(p <= m < p + n and x[m] == x[p : p + n].min() for p, (m, n) in enumerate(zip(marks, size)) if n)
+
+
+def test_short_runs_of_many_words_go(spark):
+    long = " ".join(f"w{k}" for k in range(50))
+    texts = [long, f"own line\n{long}\nlast line", "own line\nlast line", "\n".join([long[:60], long[60:]]), "\n".join(["x", long[:60], long[60:], "y"]), long]
+    got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: long, 1: "own line\nlast line", 2: texts[2], 3: texts[3], 4: "x\ny", 5: ""}
 
 
 # -- WARC ---------------------------------------------------------------------------------------------------------

@@ -8,6 +8,8 @@ import pytest
 import corpus_pipeline
 from strandline.llm import fmindex, quality, registry
 
+from .test_operators import window_at
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
@@ -45,10 +47,11 @@ def test_stages(spark, tmp_path):
             for d in sorted(before):
                 w = [x for x in before[d].split("\n") if x.strip()]
                 gone = set()
-                for i in range(len(w) - 2):
-                    if tuple(w[i : i + 3]) in seen:
-                        gone.update(range(i, i + 3))
-                    seen.add(tuple(w[i : i + 3]))
+                for i in range(len(w)):
+                    key = window_at(w, i)
+                    if key in seen:
+                        gone.update(range(i, i + len(key)))
+                    seen |= {key} - {None}
                 left = [x for i, x in enumerate(w) if i not in gone]
                 assert [x for x in after.get(d, "").split("\n") if x.strip()] == left
         elif name == "MinHash near-dedup":
