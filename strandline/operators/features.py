@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import prices
 from strandline.operators.asof import asof_join
+from strandline.operators.scan import DAY, scanned, with_predecessors
 
 
 def last_per_time(df: DataFrame, by: Sequence[str], time: str, order: str) -> DataFrame:
@@ -17,12 +18,11 @@ def last_per_time(df: DataFrame, by: Sequence[str], time: str, order: str) -> Da
     return df.groupBy(*by, time).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select(*by, time, "_row.*")
 
 
-def running_flow(trades: DataFrame, by: Sequence[str], time: str = "us") -> DataFrame:
+def running_flow(trades: DataFrame, by: Sequence[str], time: str = "us", width: int = DAY) -> DataFrame:
     """(by, time, buy, sell, unknown): sizes so far, one row for each time with a trade."""
     amount = lambda side: F.sum(F.when(F.col("side") == side, F.col("size")).otherwise(0))
     each = trades.groupBy(*by, time).agg(*[amount(s).alias(s) for s in ("buy", "sell", "unknown")])
-    so_far = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return each.select(*by, time, *[F.sum(s).over(so_far).alias(s) for s in ("buy", "sell", "unknown")])
+    return scanned(each, by, [time], sums={s: F.col(s) for s in ("buy", "sell", "unknown")}, width=width)
 
 
 def trade_flow(decisions: DataFrame, trades: DataFrame, by: Sequence[str], key: str, time: str, lookback: int) -> DataFrame:
@@ -75,10 +75,13 @@ def missing_counts(rows: DataFrame, features: Sequence[str], by: Sequence[str] =
     return long.select(*by, "_f.feature", (F.col("_n") - F.col("_f.present")).alias("missing"), F.col("_f.present").alias("present"))
 
 
-def autocorrelation(df: DataFrame, by: Sequence[str], order: Sequence[str], bit: str, lags: int) -> DataFrame:
-    """(by, lag, n, ones, pairs, product): integer sums from which the biased autocorrelation of a 0/1 series follows exactly."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    lagged = df.select(*by, F.col(bit).alias("_x"), *[F.lag(bit, k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
+def autocorrelation(df: DataFrame, by: Sequence[str], order: Sequence[str], bit: str, lags: int, width: int = DAY) -> DataFrame:
+    """(by, lag, n, ones, pairs, product): integer sums from which the biased autocorrelation of a 0/1 series follows exactly.
+
+    The first column of `order` is an integer that the series is cut by; each cell gets the last rows of its predecessors.
+    """
+    before = with_predecessors(df.select(*by, *order, F.col(bit).alias("_x")), by, order, F.col("_x"), lags, "_before", width)
+    lagged = before.select(*by, "_x", *[F.get("_before", F.lit(k - 1)).alias(f"_l{k}") for k in range(1, lags + 1)])
     sums = [F.struct(F.lit(k).alias("lag"), F.count(f"_l{k}").alias("pairs"), F.coalesce(F.sum(F.col("_x") * F.col(f"_l{k}")), F.lit(0)).alias("product"), F.coalesce(F.sum(F.when(F.col(f"_l{k}").isNotNull(), F.col("_x") + F.col(f"_l{k}"))), F.lit(0)).alias("both")) for k in range(1, lags + 1)]
     wide = lagged.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_x").alias("ones"), F.array(*sums).alias("_s"))
     out = wide.select(*by, "n", "ones", F.explode("_s").alias("_s")).select(*by, "n", "ones", "_s.*")

@@ -1,65 +1,67 @@
-"""Fixed-horizon windows over the rows of a domain. Which rows start a window depends on where the last one ended, so that
-rules A and B walk each group in numpy; rule C is a plain forward as-of join.
+"""Fixed-horizon windows over the rows of a domain.
 
-A group is one domain and day (windows never cross a day), which bounds what a task holds.
+Every row's exit is the first later row at or after its time plus the horizon: one forward as-of join. Which rows start a
+window depends on where the last one ended; so each row also points to where the next window would start, and the rows
+that are reached from a domain's first one are the windows (pointers.py). No domain is walked in one task.
+
+A domain is whatever `by` says. Where windows may not cross days, the day belongs to `by`. Keys are unique in a domain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.asof import asof_join
+from strandline.operators.pointers import reached
+from strandline.operators.scan import DAY, scanned
+from strandline.operators.spans import bad_gaps
+from strandline.sources.checkpoints import cut
+
+#: Horizons that make one cell: a walk through a cell has at most so many windows, and a cell about one entry in so many rows.
+CELL_HORIZONS = 64
+
+
+def _exits(rows: DataFrame, by: list[str], time: str, key: str, horizon: int, values: Sequence[str], bucket: int) -> DataFrame:
+    """rows with exit_time, exit_key and exit_<value>s of the first row at or after time + horizon, or nulls."""
+    target = rows.withColumn("_target", F.col(time) + horizon)
+    right = rows.select(*by, F.col(time).alias("_rt"), F.col(key).alias("_rk"), *values)
+    found = asof_join(target, right, by, "_target", "_rt", ["_rt", "_rk", *values], ties=["_rk"], prefix="exit_", forward=True, bucket=bucket)
+    return found.drop("_target").withColumnsRenamed({"exit__rt": "exit_time", "exit__rk": "exit_key"})
 
 
-def greedy(df: DataFrame, by: Sequence[str], time: str, key: str, horizon: int, most_step: int) -> DataFrame:
+def greedy(df: DataFrame, by: Sequence[str], time: str, key: str, horizon: int, most_step: int, width: int | None = None, bucket: int = DAY) -> DataFrame:
     """Rule A. (by, entry_key, entry_time, exit_key, exit_time, has_gap): exit is the first later row at or after
     entry + horizon; the next entry is the row after the exit. A last entry without exit is kept with nulls, and ends it.
+    has_gap: a step over most_step lies between entry and exit.
     """
-    fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([f"`{b}` {fields[b]}" for b in by] + [f"entry_key {fields[key]}, entry_time long, exit_key {fields[key]}, exit_time long, has_gap boolean"])
-
-    def walk(group, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, key], kind="stable")
-        t, k = pdf[time].to_numpy(), pdf[key].to_numpy()
-        bad = np.concatenate([[0], np.cumsum(np.diff(t) > most_step)])
-        out, i = [], 0
-        while i < len(t):
-            j = max(i + 1, int(np.searchsorted(t, t[i] + horizon)))
-            if j >= len(t):
-                out.append((*group, k[i], t[i], None, None, None))
-                break
-            out.append((*group, k[i], t[i], k[j], t[j], bool(bad[j] > bad[i])))
-            i = j + 1
-        frame = pd.DataFrame(out, columns=[*by, "entry_key", "entry_time", "exit_key", "exit_time", "has_gap"])
-        return frame.astype({"exit_key": "Int64", "exit_time": "Int64", "has_gap": "boolean"})
-
-    return df.select(*by, time, key).groupBy(*by).applyInPandas(walk, schema)
-
-
-def touching(df: DataFrame, by: Sequence[str], time: str, key: str, horizon: int, tolerance: int) -> DataFrame:
+    by = list(by)
+    rows = bad_gaps(df.select(*by, time, key), by, time, most_step, [key], width=bucket, keep=True)
+    rows = cut(scanned(rows, by, [time, key], leads={"_after": F.struct(F.col(time).alias("t"), F.col(key).alias("k"))}, width=bucket))
+    ends = _exits(rows, by, time, key, horizon, ["_after", "bad_before"], bucket)
+    pointed = ends.select(*by, time, key, "bad_before", "exit_time", "exit_key", "exit_bad_before", F.col("exit__after.t").alias("_next_time"), F.col("exit__after.k").alias("_next_key"))
+    kept = reached(pointed, by, time, key, "_next_time", "_next_key", width or CELL_HORIZONS * horizon)
+    gap = F.when(F.col("exit_time").isNotNull(), F.col("exit_bad_before") > F.col("bad_before"))
+    return kept.select(*by, F.col(key).alias("entry_key"), F.col(time).alias("entry_time"), "exit_key", "exit_time", gap.alias("has_gap"))
+
+
+def touching(df: DataFrame, by: Sequence[str], time: str, key: str, horizon: int, tolerance: int, width: int | None = None, bucket: int = DAY) -> DataFrame:
     """Rule B. (by, entry_key, entry_time, exit_key, exit_time, excluded): the next entry is the exit itself; if the exit
     overshoots by more than `tolerance`, the window is excluded and the next row is tried. No terminal row.
     """
-    fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([f"`{b}` {fields[b]}" for b in by] + [f"entry_key {fields[key]}, entry_time long, exit_key {fields[key]}, exit_time long, excluded boolean"])
-
-    def walk(group, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, key], kind="stable")
-        t, k = pdf[time].to_numpy(), pdf[key].to_numpy()
-        out, i = [], 0
-        while i < len(t) and t[i] + horizon <= t[-1]:
-            j = max(i + 1, int(np.searchsorted(t, t[i] + horizon)))
-            over = bool(t[j] - (t[i] + horizon) > tolerance)
-            out.append((*group, k[i], t[i], k[j], t[j], over))
-            i = i + 1 if over else j
-        return pd.DataFrame(out, columns=[*by, "entry_key", "entry_time", "exit_key", "exit_time", "excluded"])
-
-    return df.select(*by, time, key).groupBy(*by).applyInPandas(walk, schema)
+    by = list(by)
+    rows = cut(scanned(df.select(*by, time, key), by, [time, key], leads={"_after": F.struct(F.col(time).alias("t"), F.col(key).alias("k"))}, width=bucket))
+    over = F.col("exit_time") - (F.col(time) + horizon) > tolerance
+    ends = _exits(rows, by, time, key, horizon, [], bucket).where("exit_time IS NOT NULL").withColumn("excluded", over)
+    pointed = ends.select(
+        *by, time, key, "exit_time", "exit_key", "excluded",
+        F.when(F.col("excluded"), F.col("_after.t")).otherwise(F.col("exit_time")).alias("_next_time"), F.when(F.col("excluded"), F.col("_after.k")).otherwise(F.col("exit_key")).alias("_next_key"),
+    )
+    # A pointer to a row without an exit leads nowhere: such rows are not there.
+    kept = reached(pointed, by, time, key, "_next_time", "_next_key", width or CELL_HORIZONS * horizon)
+    return kept.select(*by, F.col(key).alias("entry_key"), F.col(time).alias("entry_time"), "exit_key", "exit_time", "excluded")
 
 
 def overlapping(df: DataFrame, by: Sequence[str], time: str, key: str, horizon: int, values: Sequence[str] = ()) -> DataFrame:
@@ -69,7 +71,7 @@ def overlapping(df: DataFrame, by: Sequence[str], time: str, key: str, horizon:
     return found.drop("_target").withColumnRenamed("exit__rt", "exit_time")
 
 
-def halves(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "half") -> DataFrame:
+def halves(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "half", width: int = DAY) -> DataFrame:
     """EARLY for the first n div 2 rows, LATE for the others; an odd one more is late."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(name, F.when(F.row_number().over(w.orderBy(*order)) <= F.floor(F.count("*").over(w) / 2), "EARLY").otherwise("LATE"))
+    counted = scanned(df, by, order, sums={"_place": F.lit(1)}, totals={"_n": F.lit(1)}, width=width)
+    return counted.withColumn(name, F.when(F.col("_place") <= F.expr("_n div 2"), "EARLY").otherwise("LATE")).drop("_place", "_n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import prices, statistics
 from strandline.operators import horizons, lifecycle, quantiles
+from strandline.operators.spans import stepped
 from strandline.plans.core import query
 from strandline.plans.market import SHORT
 from strandline.sources import tables as t
@@ -77,9 +78,9 @@ def scaled_decimals(spark, d):
 @query("SELECT event_id, us - lag(us) OVER (PARTITION BY dom ORDER BY us, event_id) AS elapsed_us, CASE WHEN event_id % 4 <> 0 THEN event_id % 1000 END AS apparent_lag_us, (us - lag(us) OVER (PARTITION BY dom ORDER BY us, event_id)) // 21600000000 AS windows FROM ev")
 def clock_spans(spark, d):
     """PRJ-16, PRJ-17, WIN-21: elapsed time in a domain, null-safe apparent lag, whole windows in a span."""
-    elapsed = F.col("us") - F.lag("us").over(Window.partitionBy("dom").orderBy("us", "event_id"))
     exchange = F.when(F.col("event_id") % 4 != 0, F.col("us") - F.col("event_id") % 1000)
-    return t.events(spark, d).withColumn("elapsed_us", elapsed).select("event_id", "elapsed_us", (F.col("us") - exchange).alias("apparent_lag_us"), F.expr(f"elapsed_us div {SHORT}").alias("windows"))
+    e = stepped(t.events(spark, d).select("event_id", "dom", "us"), ["dom"], "us", ["event_id"]).withColumnRenamed("step", "elapsed_us")
+    return e.select("event_id", "elapsed_us", (F.col("us") - exchange).alias("apparent_lag_us"), F.expr(f"elapsed_us div {SHORT}").alias("windows"))
 
 
 @query("SELECT event_id, sum_bps, sum_bps * 45.0::DOUBLE / 10000.0::DOUBLE AS cost FROM (SELECT event_id, cents AS sum_bps FROM ev WHERE event_type = 'purchase')")
@@ -174,11 +175,10 @@ SELECT CASE WHEN us <= edge THEN 'DEV_A' ELSE 'DEV_B' END AS part, count(*) AS n
 def chrono_split(spark, d):
     """WIN-15: chronological halves; rows with the time of the last row of the first half all go to DEV_A.
 
-    The edge is a rank of counted times, so that no global row order is needed.
+    The edge is a rank that ranges of times are searched for, so that no global row order is needed.
     """
-    q = t.events(spark, d).where("event_type = 'view'").select(F.lit(0).alias("g"), "us")
-    ranks = quantiles.ranked(q, ["g"], "us")
-    edge = ranks.where((F.col("below") < F.expr("n div 2")) & (F.expr("n div 2") <= F.col("upto"))).select(F.col("us").alias("edge"))
+    q = t.events(spark, d).where("event_type = 'view'").select("us")
+    edge = quantiles.chronological_edge(q, "us")
     part = F.when(F.col("us") <= F.col("edge"), "DEV_A").otherwise("DEV_B")
     return q.crossJoin(F.broadcast(edge)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))  # one edge
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from strandline.functions import prices
 from strandline.operators import features, horizons, quantiles, spans
 from strandline.operators.asof import asof_join, dual_clock_asof
+from strandline.operators.scan import scanned
 from strandline.plans.core import query
 from strandline.sources import tables as t
 
 H = t.HOUR
 LOOKBACK, STALE, SHORT, LONG = 24 * H, 12 * H, 6 * H, 36 * H
+IDS = 1 << 20  # width of a cell of ids, where rows are in the order of the file
 
 
 def good(df: DataFrame) -> DataFrame:
@@ -102,8 +104,7 @@ def running_flow(spark, d):
 FROM (SELECT dom, us, lag(us) OVER (PARTITION BY dom ORDER BY event_id) AS prev FROM ev) GROUP BY dom""")
 def reversals(spark, d):
     """AGG-23, WIN-04: rows whose time runs back against file order."""
-    prev = F.lag("us").over(Window.partitionBy("dom").orderBy("event_id"))
-    e = t.events(spark, d).select("dom", "us", prev.alias("prev"))
+    e = scanned(t.events(spark, d).select("dom", "us", "event_id"), ["dom"], ["event_id"], lags={"prev": F.col("us")}, width=IDS)
     return e.groupBy("dom").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.when(F.col("us") < F.col("prev"), 1)).alias("reversals"))
 
 
@@ -193,6 +194,18 @@ def windows_exit_plus_one(spark, d):
     return horizons.greedy(t.events(spark, d), ["dom"], "us", "event_id", LONG, STALE)
 
 
+@query(f"""WITH o AS (SELECT dom, day, event_id, us, row_number() OVER (PARTITION BY dom, day ORDER BY us, event_id) AS rn FROM ev),
+w(dom, day, rn) AS (SELECT dom, day, CAST(1 AS BIGINT) FROM o WHERE rn = 1
+  UNION ALL SELECT w.dom, w.day, x.rn + 1 FROM w JOIN o s ON s.dom = w.dom AND s.day = w.day AND s.rn = w.rn, LATERAL (SELECT min(rn) AS rn FROM o e WHERE e.dom = w.dom AND e.day = w.day AND e.rn > w.rn AND e.us >= s.us + {H}) x WHERE x.rn IS NOT NULL),
+p AS (SELECT w.dom, w.day, s.rn, s.event_id, s.us, (SELECT min(rn) FROM o e WHERE e.dom = w.dom AND e.day = w.day AND e.rn > w.rn AND e.us >= s.us + {H}) AS ex FROM w JOIN o s ON s.dom = w.dom AND s.day = w.day AND s.rn = w.rn)
+SELECT p.dom, p.day, p.event_id AS entry_key, p.us AS entry_time, e.event_id AS exit_key, e.us AS exit_time,
+  CASE WHEN p.ex IS NOT NULL THEN (SELECT count(*) > 0 FROM o a JOIN o b ON a.dom = b.dom AND a.day = b.day AND b.rn = a.rn + 1 WHERE a.dom = p.dom AND a.day = p.day AND a.rn >= p.rn AND b.rn <= p.ex AND b.us - a.us > {H // 2}) END AS has_gap
+FROM p LEFT JOIN o e ON e.dom = p.dom AND e.day = p.day AND e.rn = p.ex""")
+def windows_within_days(spark, d):
+    """WIN-09: greedy windows of one hour that never cross a day: the day is part of the domain."""
+    return horizons.greedy(t.events(spark, d), ["dom", "day"], "us", "event_id", H, H // 2)
+
+
 @query(f"""WITH o AS (SELECT dom, event_id, us, row_number() OVER (PARTITION BY dom ORDER BY us, event_id) AS rn, max(us) OVER (PARTITION BY dom) AS last FROM ev),
 w(dom, rn, nxt, ex, over) AS (
   SELECT dom, rn, CASE WHEN over THEN rn + 1 ELSE ex END, ex, over FROM (SELECT s.dom, s.rn, x.rn AS ex, x.us - s.us - {LONG} > {2 * H} AS over FROM o s, LATERAL (SELECT rn, us FROM o e WHERE e.dom = s.dom AND e.rn > s.rn AND e.us >= s.us + {LONG} ORDER BY rn LIMIT 1) x WHERE s.rn = 1 AND s.us + {LONG} <= s.last)

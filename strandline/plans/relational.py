@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import prices, text
 from strandline.operators import normalize, publish
+from strandline.operators.scan import scanned
 from strandline.plans.core import query
 from strandline.sources import tables as t
 
@@ -39,9 +40,8 @@ def expected_kinds(spark, d):
 @query("SELECT dom, count(*) FILTER (us > pu AND wall < pw) AS anomalies FROM (SELECT dom, us, us + (event_id % 7 - 3) * 60000000 AS wall, lag(us) OVER w AS pu, lag(us + (event_id % 7 - 3) * 60000000) OVER w AS pw FROM ev WINDOW w AS (PARTITION BY dom ORDER BY us, event_id)) GROUP BY dom")
 def clock_anomalies(spark, d):
     """AGG-06: one clock forward while the other runs back."""
-    w = Window.partitionBy("dom").orderBy("us", "event_id")
-    e = t.events(spark, d).withColumn("wall", F.col("us") + (F.col("event_id") % 7 - 3) * 60_000_000)
-    e = e.select("dom", "us", "wall", F.lag("us").over(w).alias("pu"), F.lag("wall").over(w).alias("pw"))
+    e = t.events(spark, d).select("dom", "us", "event_id", (F.col("us") + (F.col("event_id") % 7 - 3) * 60_000_000).alias("wall"))
+    e = scanned(e, ["dom"], ["us", "event_id"], lags={"pu": F.col("us"), "pw": F.col("wall")})
     return e.groupBy("dom").agg(F.count(F.when((F.col("us") > F.col("pu")) & (F.col("wall") < F.col("pw")), 1)).alias("anomalies"))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from strandline.functions import prices, statistics
 from strandline.operators import features, horizons, models, quantiles, simulate
 from strandline.operators.asof import asof_join
+from strandline.operators.scan import scanned
 from strandline.plans.core import query
-from strandline.plans.market import LOOKBACK, SHORT, STALE
+from strandline.plans.market import IDS, LOOKBACK, SHORT, STALE
 from strandline.sources import tables as t
 
 OPPORTUNITIES = f"""WITH o AS (SELECT e.event_id, e.dom, e.day, e.us, e.bid AS entry_bid, e.ask AS entry_ask, e.bid_sz, e.ask_sz, e.flags, x.event_id AS exit_id, x.us AS exit_us, x.bid AS exit_bid, x.ask AS exit_ask, x.flags AS exit_flags
@@ -179,16 +180,17 @@ SELECT event_type, CAST(lag AS INTEGER) AS lag, count(*) AS n, CAST(sum(x) AS BI
 def autocorrelation(spark, d):
     """WIN-12, MTH-10: integer sums of lagged products of a 0/1 series."""
     o = t.events(spark, d).select("event_type", "event_id", (F.col("cents") % 2).alias("x"))
-    return features.autocorrelation(o, ["event_type"], ["event_id"], "x", 3).select("event_type", "lag", "n", "ones", "pairs", "product")
+    return features.autocorrelation(o, ["event_type"], ["event_id"], "x", 3, IDS).select("event_type", "lag", "n", "ones", "pairs", "product")
 
 
 @query("""WITH s AS (SELECT dom, us, event_id, sign(cents - lag(cents) OVER (PARTITION BY dom ORDER BY us, event_id)) AS s FROM ev), z AS (SELECT dom, s, lag(s) OVER (PARTITION BY dom ORDER BY us, event_id) AS p FROM s WHERE s <> 0)
 SELECT (SELECT count(*) FROM s WHERE s = 0) AS zero_moves, count(*) FILTER (p IS NOT NULL) AS adjacent, count(*) FILTER (s = p) AS agreeing FROM z""")
 def sign_agreement(spark, d):
     """AGG-41, PRJ-03, PRJ-04: moves of zero and agreement of neighbouring signs."""
-    w = Window.partitionBy("dom").orderBy("us", "event_id")
-    s = t.events(spark, d).select("dom", "us", "event_id", F.signum(F.col("cents") - F.lag("cents").over(w)).alias("s"))
-    z = s.where("s <> 0").withColumn("p", F.lag("s").over(w))
+    order = ["us", "event_id"]
+    s = scanned(t.events(spark, d).select("dom", "us", "event_id", "cents"), ["dom"], order, lags={"before": F.col("cents")}, keep=True)
+    s = s.withColumn("s", F.signum(F.col("cents") - F.col("before")))
+    z = scanned(s.where("s <> 0"), ["dom"], order, lags={"p": F.col("s")})
     pairs = z.agg(F.count("p").alias("adjacent"), F.count(F.when(F.col("s") == F.col("p"), 1)).alias("agreeing"))
     return s.agg(F.count(F.when(F.col("s") == 0, 1)).alias("zero_moves")).crossJoin(F.broadcast(pairs))  # one row each
 
