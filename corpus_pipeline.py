@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,28 +11,44 @@ from strandline.llm import fmindex, lines, nearcopies, packing, quality
 from strandline.llm.common import stored, table
 
 
-def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents for texts that have changed; documents without a word left are gone."""
-    if "n_chars" in columns:
+def keeping_columns(stage):
+    """stage, whose result has the columns of its documents, each with its own values under its own name."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        aside = {c: f"_column{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in docs.columns]), sf_dir)
+        return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+    return run
+
+
+def with_words(docs: DataFrame) -> DataFrame:
+    """Documents whose texts have changed, with their lengths; those without a word left are gone."""
+    if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.length("text").cast("long"))
-    return docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*columns)
+    return docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
+@keeping_columns
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.quality_filter(docs).where("kept").select(*docs.columns)
+    return quality.quality_filter(docs).where("kept")
 
 
+@keeping_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_text(lines.line_dedup(docs), docs.columns)
+    return with_words(lines.line_dedup(docs))
 
 
+@keeping_columns
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.keep_one(docs).select(*docs.columns)
+    return nearcopies.keep_one(docs)
 
 
+@keeping_columns
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = fmindex.decontaminate(docs, table(spark, sf_dir, "benchmark"), with_text=True)
-    return with_text(clean.withColumn("text", F.col("clean_text")), docs.columns)
+    return with_words(clean.withColumn("text", F.col("clean_text")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
