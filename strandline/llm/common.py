@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +66,32 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parameters that name a column of the documents.
+ROLES = ("text", "doc", "url")
+
+
+def apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """operator, which gets all columns that none of its parameters names under names that its plan does not use.
+
+    They come back under their own names, whatever these are (dots too), except where the operator adds a column of that
+    name, which replaces it.
+    """
+    signature = inspect.signature(operator)
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        bound = signature.bind(docs, *args, **options)
+        bound.apply_defaults()
+        named = {bound.arguments[r] for r in ROLES if r in bound.arguments}
+        aside = {c: f"_carried{k}" for k, c in enumerate(docs.columns) if c not in named}
+        out = operator(docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in docs.columns]), *args, **options)
+        own = {k: c for c, k in aside.items()}
+        made = set(out.columns) - set(own)
+        return out.select(*[F.col(k).alias(own.get(k, k)) for k in out.columns if own.get(k) not in made])
+
+    return run
+
+
 #: Buckets of one table at most; a bucket then holds several blocks.
 MOST_BUCKETS = 20_000
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import small_batches
+from strandline.llm.common import apart, small_batches
 
 WIDTH = 10
 #: Words of one shard.
@@ -247,6 +247,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
+@apart
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", most_items: int = BLOCK_ITEMS, with_text: bool = False) -> DataFrame:
     """docs (without the text) with n_words, n_hit, item_ids (sorted as strings) and spans (hit runs of words); with_text: and clean_text."""
     added = {"n_words", "n_hit", "item_ids", "spans", "clean_text"}

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, joined, small_batches
+from strandline.llm.common import apart, cut, joined, small_batches
 
 #: Lines of a window at most (up to 7), and words that fewer lines must hold.
 RUN, WORDS = 3, 20
@@ -111,11 +111,11 @@ def later_windows(docs: DataFrame, text: str, doc: str, run: int, least: int) ->
     return later.groupBy("_doc", "h").agg(F.flatten(F.collect_set(each)).alias("lines"))
 
 
+@apart
 def line_dedup(docs: DataFrame, run: int = RUN, words: int = WORDS, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """docs with the text replaced by what is kept, and n_lines, n_removed, n_spans, kept_sha256."""
     added = {"n_lines", "n_removed", "n_spans", "kept_sha256"}
     carried = [c for c in docs.columns if c not in added]
-    # Deleting never reads the text's own columns under another name, so the names below cannot clash.
     places = later_windows(docs.select(doc, text), text, doc, run, words)
     hashed = docs.select(*[F.col(f"`{c}`") for c in carried], F.xxhash64(text).alias("_h"))
     placed = hashed.join(places.select(F.col("_doc"), F.col("h").alias("_p"), F.col("lines").alias("_lines")), F.col(f"`{doc}`").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_p")), "left").drop("_doc", "_p", "_h")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, small_batches, stored
+from strandline.llm.common import apart, cut, small_batches, stored
 from strandline.llm.lempel import symbols
 from strandline.llm.repeats import mixed
 
@@ -387,6 +387,7 @@ def classed(rows: DataFrame, root: DataFrame | None, doc: str) -> DataFrame:
     return joined.select(doc, "h", F.when(alone, F.col(doc)).otherwise(F.col("first.doc")).alias("class_id"), F.coalesce(keeper, F.lit(False)).alias("keeper"))
 
 
+@apart
 def keep_one(docs: DataFrame, text: str = "text", doc: str = "doc_id", **options) -> DataFrame:
     """docs with one document of each class, the one with the smallest id. Rows without words all stay."""
     keepers = near_copies(docs, text, doc, **options).where("keeper").select(F.col(doc).alias("_d"), F.col("h").alias("_h")).distinct()

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import small_batches
+from strandline.llm.common import apart, small_batches
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -206,6 +206,7 @@ def learn(docs: DataFrame, text: str = "text", thresholds: Thresholds = Threshol
     return fit(found["code"].to_numpy(), found["n"].to_numpy())
 
 
+@apart
 def judge(docs: DataFrame, model: LabelModel, text: str = "text", thresholds: Thresholds = Thresholds(), keep_at: float = 0.5) -> DataFrame:
     """docs with COUNTS, base_failed, votes, quality (posterior) and kept. No shuffle."""
     posterior = model.posterior

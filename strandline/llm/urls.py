@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import blocks_for
+from strandline.llm.common import apart, blocks_for
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8
@@ -75,6 +75,7 @@ def bloom(listed: DataFrame, key: str, bits_per_key: float = 16.0) -> tuple[Data
     return listed.groupBy(block_of(F.col(key), blocks).alias("block")).agg(*words), blocks
 
 
+@apart
 def listed_pages(pages: DataFrame, listed: DataFrame, url: str = "url", key: str = "canonical", broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """pages with host, path, canonical, possible (passed the filter) and listed (exact)."""
     entries = listed.select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct()
@@ -82,7 +83,9 @@ def listed_pages(pages: DataFrame, listed: DataFrame, url: str = "url", key: str
     added = {"host", "path", "canonical", "possible", "listed"}
     host, path = parts_of(F.col(url))
     rows = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in added], host.alias("host"), path.alias("path"), canonical(F.col(url)).alias("canonical"))
-    probe = rows.withColumn("_block", block_of(F.col("canonical"), blocks))
+    # Pages without a canonical form meet no block; numbers below 0 keep them from being one key.
+    nowhere = -1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(blocks))
+    probe = rows.withColumn("_block", F.when(F.col("canonical").isNull(), nowhere).otherwise(block_of(F.col("canonical"), blocks)))
     table = F.broadcast(table) if blocks <= broadcast_blocks else table
     hit = F.lit(True)
     for k in range(WORDS):
@@ -94,6 +97,7 @@ def listed_pages(pages: DataFrame, listed: DataFrame, url: str = "url", key: str
     return exact.unionByName(probed.where("NOT possible").withColumn("listed", F.lit(False)))
 
 
+@apart
 def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule and verdict: the rule's, else block for listed URLs and allow for others."""
     rows = listed_pages(pages.drop("rule", "verdict"), listed, url)

@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import contentsort, infill, lexical
+import corpus_pipeline
+from strandline.llm import contentsort, fmindex, infill, lexical, lines, nearcopies, quality, urls
 
 LONG = "\n".join(f"line {k} of a long text é{k % 7}" for k in range(5_000))
 ODD = [
@@ -216,3 +217,24 @@ def test_clashing_names(spark):
         rows = out.collect()
         assert len(rows) == 40 and all(r[c] == own[c][r.doc_id] for r in rows for c in NAMES if c not in added)
     assert lexical.search(lexical.build_index(docs), docs.withColumn("item_id", F.col("doc_id")).limit(2), 3).count() == 6
+
+
+CLASHES = ["_h", "_words", "_lines", "_doc", "_p", "_bytes", "_items", "_hit", "_k", "_d", "block", "word0", "_key", "_block", "a.b", "kept", "n_words", "canonical"]
+
+
+def test_no_operator_or_stage_touches_other_columns(spark, tmp_path):
+    """The names of inner columns, dots, and the names of added columns; a stage of the pipeline keeps these too."""
+    rows = [(k, f"text number {k} has some words of its own, {' '.join(f'w{k}x{j}' for j in range(12))} end", f"http://h{k}/p", *[f"{c}{k}" for c in CLASHES]) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    listed = docs.where("doc_id < 5").select(urls.canonical(F.col("url")).alias("canonical"))
+    items = spark.createDataFrame([(1, "w3x1 w3x2 w3x3 w3x4")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    outs = {"line": lines.line_dedup(docs), "near": nearcopies.keep_one(docs), "quality": quality.quality_filter(docs), "decontaminate": fmindex.decontaminate(docs, items, with_text=True), "urls": urls.judge_urls(docs, listed)}
+    added = {"quality": {"n_words", "kept"}, "decontaminate": {"n_words"}, "urls": {"canonical"}}
+    outs |= {name: stage(spark, docs, str(tmp_path)) for name, stage in corpus_pipeline.STAGES[:4]}
+    for name, out in outs.items():
+        got = out.collect()
+        assert (len(got) == 30 or name == "quality rules" and got) and len(set(out.columns)) == len(out.columns), name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHES if c not in added.get(name, ())), name
+        if name in dict(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns
