@@ -51,18 +51,3 @@ def asof_join(
 def fresh(value: Column, at: Column, source: Column, tolerance: int) -> Column:
     """value if its source time is at most `tolerance` before `at`; a stale match is null and not searched further."""
     return F.when(at - source <= tolerance, value)
-
-
-def dual_clock_asof(left: DataFrame, right: DataFrame, by: Sequence[str], mono: str, wall: str, right_mono: str, right_wall: str, values: Sequence[str], ties: Sequence[str], lookback: int, prefix: str = "r_") -> DataFrame:
-    """Latest right row, by (mono, wall, ties), with both clocks at or before the left row's, at most `lookback` back in mono.
-
-    Wall order may disagree with mono order, so that the nearest row in mono may be barred. Left rows meet the two mono
-    buckets of width `lookback` that their range touches; only rows of these are compared.
-    """
-    by = list(by)
-    keyed = left.withColumn("_id", F.monotonically_increasing_id())
-    cells = keyed.select("_id", *by, F.col(mono).alias("_m"), F.col(wall).alias("_w"), F.explode(F.array(*[(F.floor(F.col(mono) / lookback) - k).cast("long") for k in (0, 1)])).alias("_cell"))
-    r = right.select(*by, F.floor(F.col(right_mono) / lookback).cast("long").alias("_cell"), F.col(right_mono).alias("_rm"), F.col(right_wall).alias("_rw"), F.struct(*ties).alias("_ties"), F.struct(*values).alias("_value"))
-    near = cells.join(r, [*by, "_cell"]).where("_rm <= _m AND _rw <= _w").where(F.col("_m") - F.col("_rm") <= lookback)
-    best = near.groupBy("_id").agg(F.max_by("_value", F.struct("_rm", "_rw", "_ties")).alias("_best"))
-    return keyed.join(best, "_id", "left").select(*left.columns, *[F.col(f"_best.{v}").alias(f"{prefix}{v}") for v in values])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import prices
 from strandline.operators import features, horizons, quantiles, spans
-from strandline.operators.asof import asof_join, dual_clock_asof
+from strandline.operators.asof import asof_join
+from strandline.operators.dominance import dual_clock_asof
 from strandline.operators.scan import scanned
 from strandline.plans.core import query
 from strandline.sources import tables as t
@@ -169,6 +170,18 @@ def asof_dual_clock(spark, d):
     return dual_clock_asof(left, right, ["dom"], "us", "wall", "rus", "rwall", ["rid", "bid"], ["rid"], LOOKBACK).select("event_id", "dom", "us", "r_rid", "r_bid")
 
 
+@query("""WITH l AS (SELECT event_id, dom, us, us + (event_id % 5 - 2) * 3600000000 AS wall FROM q),
+r AS (SELECT event_id AS rid, dom, us AS rus, us + (event_id % 7 - 3) * 36000000000 AS rwall FROM rq)
+SELECT l.event_id, l.dom, l.us, arg_max(rid, (rus, rwall, rid)) AS r_rid, l.us - arg_max(rus, (rus, rwall, rid)) AS age_us FROM l LEFT JOIN r ON l.dom = r.dom AND rus <= us AND rwall <= wall GROUP BY l.event_id, l.dom, l.us""")
+def asof_dual_clock_unbounded(spark, d):
+    """JOIN-08, JOIN-09: however far back the last row is that both clocks allow; reference clocks run apart by up to 30 hours."""
+    e = F.col("event_id")
+    left = t.quotes(spark, d).select("event_id", "dom", "us", (F.col("us") + (e % 5 - 2) * H).alias("wall"))
+    right = t.quotes(spark, d, "click").select(e.alias("rid"), "dom", F.col("us").alias("rus"), (F.col("us") + (e % 7 - 3) * 10 * H).alias("rwall"))
+    found = dual_clock_asof(left, right, ["dom"], "us", "wall", "rus", "rwall", ["rid", "rus"], ["rid"])
+    return found.select("event_id", "dom", "us", "r_rid", (F.col("us") - F.col("r_rus")).alias("age_us"))
+
+
 @query(f"""WITH s AS (SELECT e.event_id, e.dom, e.us, sum(CASE WHEN side = 'buy' THEN size ELSE 0 END) AS b, sum(CASE WHEN side = 'sell' THEN size ELSE 0 END) AS s, sum(CASE WHEN side = 'unknown' THEN size ELSE 0 END) AS u, count(tr.event_id) AS n
   FROM q e LEFT JOIN tr ON tr.dom = e.dom AND tr.us > e.us - {LOOKBACK} AND tr.us <= e.us GROUP BY e.event_id, e.dom, e.us)
 SELECT event_id, dom, us, CASE WHEN u = 0 AND n > 0 THEN CAST(b AS BIGINT) END AS buy, CASE WHEN u = 0 AND n > 0 THEN CAST(s AS BIGINT) END AS sell, CASE WHEN u = 0 AND n > 0 THEN (b - s)::DOUBLE / (b + s)::DOUBLE END AS flow FROM s""")

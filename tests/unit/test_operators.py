@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import prices, statistics, text
 from strandline.operators import features, horizons, models, normalize, publish, quantiles, simulate, spans
-from strandline.operators.asof import asof_join, dual_clock_asof
+from strandline.operators.asof import asof_join
+from strandline.operators.dominance import dual_clock_asof
 from strandline.sources import archives, rawlog
 
 

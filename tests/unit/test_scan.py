@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import features, horizons, quantiles, spans
+from strandline.operators.dominance import dual_clock_asof
 from strandline.operators.pointers import reached
 from strandline.operators.scan import CELL, Cells, scanned, with_predecessors
 
@@ -187,3 +188,20 @@ def test_ranks_of_large_groups(spark, most):
     whole = sorted(v for vs in groups.values() for v in vs)
     assert quantiles.chronological_edge(df, "v", most).first().edge == whole[len(whole) // 2 - 1]
     assert quantiles.chronological_edge(df.where("g = 'one'"), "v").isEmpty()
+
+
+@pytest.mark.parametrize(("width", "most", "lookback"), [(3, 4, None), (10, 1000, 60), (10**9, 1000, None)])
+def test_two_clocks_equal_brute_force(spark, width, most, lookback):
+    """Walls that run far back, equal clocks, a domain with nine tenths of all rows, cells of several levels."""
+    rng = random.Random(6)
+    domain = lambda: "big" if rng.random() < 0.9 else rng.choice(["small", "left"])
+    right = [(k, domain().replace("left", "right"), m := rng.randint(-50, 900), m + rng.choice([0, 0, 5, 300, -40, 2000])) for k in range(300)] + [(900, "big", None, 5), (901, "big", 5, None)]
+    left = [(k, domain(), m := rng.randint(-60, 1000), rng.choice([m, m, m - 700, m + 10])) for k in range(300)] + [(800, "big", None, 3), (801, "big", 3, None)]
+    lf, rf = spark.createDataFrame(left, "l long, d string, m long, w long"), spark.createDataFrame(right, "r long, d string, rm long, rw long")
+    rows = dual_clock_asof(lf, rf, ["d"], "m", "w", "rm", "rw", ["r", "rm"], ["r"], lookback, width=width, most=most).collect()
+    assert len(rows) == len(left)
+    got = {r.l: r.r_r for r in rows}
+    for k, d, m, w in left:
+        ok = [(rm, rw, r) for r, e, rm, rw in right if e == d and None not in (rm, rw, m, w) and rm <= m and rw <= w]
+        best = max(ok, default=None)
+        assert got[k] == (best[2] if best and (lookback is None or m - best[0] <= lookback) else None)
