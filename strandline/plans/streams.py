@@ -22,12 +22,12 @@ def stream_segments(spark, d):
     return captures.drain(captures.segments(stream(spark, d), "ts", "15 minutes", ["event_type"]), "complete")
 
 
-@query("SELECT feed, count(*) AS n, min(us) AS first, max(us) AS last FROM (SELECT us, 'primary' AS feed FROM q UNION ALL SELECT us, 'reference' FROM rq) GROUP BY feed")
+@query("SELECT feed, count(*) AS n, count(DISTINCT dom) AS domains, min(us) AS first, max(us) AS last FROM (SELECT dom, us, 'primary' AS feed FROM q UNION ALL SELECT dom, us, 'reference' FROM rq) GROUP BY feed")
 def stream_multiplex(spark, d):
     """STM-01, STM-05, SET-01: two feeds as one stream and its running state."""
     e = stream(spark, d)
     both = captures.multiplex(("primary", e.where("event_type = 'view'")), ("reference", e.where("event_type = 'click'")))
-    return captures.drain(captures.observed(both, ["feed"], "us", "dom"), "complete").drop("domains")
+    return captures.drain(captures.observed(both, ["feed"], "us", "dom"), "complete")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 13 * 1000000 > 10000000 THEN 'LATE_BACKFILL' ELSE 'LIVE_CAPTURE' END AS availability FROM ev")

@@ -7,11 +7,15 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.operators.scan import scanned
+
 PRICE = "decimal(38,18)"
+#: Rows of a file that are looked at together; the last one before is carried into the next.
+ROWS = 1_000_000
 PREFIX = {"exchange": "string", "symbol": "string", "timestamp": "long", "local_timestamp": "long"}
 #: Columns of the three archive kinds.
 COLUMNS = {
@@ -32,12 +36,14 @@ def plain(name: str) -> str:
 def read_archive(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Typed rows of gzipped CSV archives with source_row_number (file order, from 0). A text that its type cannot hold fails the query.
 
-    A gzip file is one task, so that the order of its rows is the order of ids made in it.
+    A gzip file is one task, so that the order of its rows is the order of ids made in it. Other files may be split, and
+    their rows have no number that could be known: such a file fails the query.
     """
     raw = spark.read.csv(path, header=True, schema=text_schema(kind), mode="FAILFAST", enforceSchema=False)
     raw = raw.select("*", F.col("_metadata.file_path").alias("_file")).withColumn("_id", F.monotonically_increasing_id())
     first = raw.groupBy("_file").agg(F.min("_id").alias("_first"))
-    numbered = raw.join(F.broadcast(first), "_file").withColumn("source_row_number", F.col("_id") - F.col("_first"))
+    number = F.when(F.col("_file").endswith(".gz"), F.col("_id") - F.col("_first")).otherwise(F.raise_error(F.concat(F.col("_file"), F.lit(" is not gzipped"))))
+    numbered = raw.join(first, "_file").withColumn("source_row_number", number.cast("long"))
     typed = [F.col(f"`{c}`").cast(t).alias(plain(c)) for c, t in COLUMNS[kind].items()]
     out = numbered.select("source_row_number", *typed)
     return out.withColumnsRenamed({"timestamp": "exchange_timestamp_us", "local_timestamp": "local_timestamp_us", "id": "trade_id"})
@@ -63,8 +69,7 @@ def views(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def archive_stats(rows: DataFrame, day: str) -> DataFrame:
     """(n, first_us, last_us, reversals, outside): reversals run against row order; outside the UTC day there must be none."""
-    order = Window.partitionBy("symbol", F.floor(F.col("source_row_number") / 1_000_000)).orderBy("source_row_number")
-    stepped = rows.withColumn("_prev", F.lag("local_timestamp_us").over(order))
+    stepped = scanned(rows, ["symbol"], ["source_row_number"], lags={"_prev": F.col("local_timestamp_us")}, width=ROWS)
     t = F.col("local_timestamp_us")
     inside = F.date_format(F.timestamp_micros(t), "yyyy-MM-dd") == day
     return stepped.agg(F.count("*").alias("n"), F.min(t).alias("first_us"), F.max(t).alias("last_us"), F.count(F.when(t < F.col("_prev"), 1)).alias("reversals"), F.count(F.when(~inside, 1)).alias("outside"))

@@ -15,17 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from strandline.sources.checkpoints import checkpoint_folder
 from strandline.sources.rawlog import RawLog
 
 
 def folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='strandline-')}")
-    return f"{context._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def replay(spark: SparkSession, sf_dir: str, name: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -70,8 +66,8 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def observed(stream: DataFrame, by: Sequence[str], time: str, domain: str) -> DataFrame:
-    """Running state of a capture: rows, domains and span of each source."""
-    return stream.groupBy(*by).agg(F.count("*").alias("n"), F.approx_count_distinct(domain).alias("domains"), F.min(time).alias("first"), F.max(time).alias("last"))
+    """Running state of a capture: rows, domains (exact: their set is the state) and span of each source."""
+    return stream.groupBy(*by).agg(F.count("*").alias("n"), F.size(F.collect_set(domain)).cast("long").alias("domains"), F.min(time).alias("first"), F.max(time).alias("last"))
 
 
 def segments(stream: DataFrame, event: str, width: str, by: Sequence[str]) -> DataFrame:
