@@ -13,9 +13,9 @@ chain / (shingles of a + shingles of b - chain), at least `similarity`.
 No group is expanded into pairs. Texts with equal words are one node. In each bucket every node is compared with the
 most central one (whose buckets hold most nodes, which a copy with few edits has). The links' connected components are
 found by min-label propagation over written tables. In buckets that hold several components, nodes of different
-components meet by what they have more or less than the centre (`meetings`): by prefixes, which leave out no pair, where
-one of them is like the centre, and by sketches of their deviations where neither is. Nothing caps the number of
-partners, rounds or candidates.
+components meet by what they have more or less than the centre, or by their own rarest labels (`meetings`): by prefixes,
+which leave out no pair; texts with the same labels in another order meet by sketches that follow the order. Of those that
+meet, pairs whose finer sketches disagree are not aligned. Nothing caps the number of partners, rounds or candidates.
 
 Defined cases: a null text or one without words is a class of its own. Repeated rows are copies of each other. The class
 of a document is the smallest id in it. Extra columns are ignored here. An empty table gives an empty result.
@@ -37,9 +37,13 @@ from strandline.llm.lempel import symbols
 from strandline.llm.repeats import mixed
 
 WORDS, SIMILARITY, BANDS, PICKS = 5, 0.8, 20, 4
-#: Bands of two min-hashes of deviations, 64-bit words of one bit from each min-hash, and how many standard deviations of
-#: the differing bits a pair may be beyond what its similarity asks for.
-DEVIATION_BANDS, BIT_WORDS, MARGIN = 50, 8, 3.5
+#: A finer sketch of nodes that meet again: bands, of each of which 8 bits are kept, and how many must agree. A pair at the
+#: limit agrees in a band with 0.33 (in short texts) to 0.41, in 64 bands 21 times or more on average; AGREE is 3.5 standard
+#: deviations below that.
+FINE_BANDS, AGREE = 64, 8
+BIT_WORDS = FINE_BANDS // 8
+#: Picks of a band where texts may have the same shingles in another order: chance agreement is one in 8! then.
+TURN_PICKS = 8
 #: Texts of up to so many shingles have deletion keys.
 SHORT = 15
 #: Over how many tasks the rows of one component are dealt, and rows of one node beyond which it counts as heavy.
@@ -194,7 +198,7 @@ def against_centre(pairs: DataFrame, texts: DataFrame, similarity: float, words:
     size is the number of labels that only one of them has; `unlike` says that these are too many for the similarity,
     `far` that they are too many even for a node that is similar to one that is similar to the centre. Labels that the
     centre has and the node lacks are flipped, so that lacking one is another label than having it. labels are these,
-    if the node is not far; marks is their sketch, if the node is not similar.
+    if the node is not far; marks is the node's own finer sketch.
     """
     r = (1 - similarity) / (1 + similarity)
 
@@ -205,95 +209,101 @@ def against_centre(pairs: DataFrame, texts: DataFrame, similarity: float, words:
         similar = aligned(x, c, similarity) >= similarity
         unlike = size > r * (len(x) + len(c)) + 1e-6
         far = size > 2 * (1 - similarity) * (len(x) + len(less)) + 1e-6
-        marks = None if similar else deviation_sketch(labels).view(np.int64)
+        marks = sketch(x, x, FINE_BANDS).astype(np.uint8).view(np.int64)
         return node, centre, similar, unlike, far, size, len(x), len(c), None if far else labels.tobytes(), marks
 
     schema = "node long, centre long, similar boolean, unlike boolean, far boolean, size long, n long, nc long, labels binary, marks array<long>"
     return compared(pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")), texts, words, each, schema)
 
 
-def deviation_sketch(labels: np.ndarray, bands: int = DEVIATION_BANDS, words: int = BIT_WORDS) -> np.ndarray:
-    """Of the min-hashes of a set of deviations: `bands` numbers of two each, then one bit of each in `words` numbers."""
-    if not len(labels):
-        return np.zeros(bands + words, dtype=U)
-    flip, factor = constants(64 * words)
-    step, least = max(1, 1_000_000 // len(labels)), []
-    for k in range(0, 64 * words, step):
-        order = (labels[None, :] ^ flip[k : k + step]) * factor[k : k + step]
-        least.append((order ^ (order >> U(32))).min(axis=1))
-    least = np.concatenate(least)
-    pairs = mixed(mixed(least[: 2 * bands : 2] + np.arange(1, bands + 1, dtype=U) * ODD) * ODD + least[1 : 2 * bands : 2])
-    return np.concatenate([pairs, np.packbits((mixed(least) & U(1)).astype(np.uint8)).view(U)])
-
-
 def prefixes(sets: DataFrame) -> DataFrame:
     """The rows (centre, label, node, d, need, ...) of each set's prefix: two sets with max(need) labels in common share one.
 
-    The order of labels is from rare to common, so that most of a prefix are labels that no other set has.
+    The order of labels is from rare to common, so that most of a prefix are labels that no other set has. place is the
+    label's place in its set's order: what two sets have in common from their first common label on is at most what is left
+    of either.
     """
     counted = sets.groupBy("centre", "label").agg(F.count("*").alias("f")).where("f > 1")
     met = sets.join(counted, ["centre", "label"])
     by = Window.partitionBy("centre", "node")
     placed = met.withColumn("nth", F.row_number().over(by.orderBy("f", F.xxhash64("label"), "label"))).withColumn("shared", F.count("*").over(by))
     # The d - shared labels that no other set has come first.
-    return placed.where("nth + d - shared <= d - need + 1").drop("f", "nth", "shared")
+    return placed.withColumn("place", F.col("nth") + F.col("d") - F.col("shared")).where("place <= d - need + 1").drop("f", "nth", "shared")
+
+
+def unpacked(sets: DataFrame) -> DataFrame:
+    """One row (label) for each of the 64-bit numbers in `labels`."""
+    names = [c for c in sets.columns if c != "labels"]
+
+    def run(batches):
+        for pdf in batches:
+            each = [np.frombuffer(v, dtype=np.int64) for v in pdf["labels"]]
+            counts = np.array([len(x) for x in each], dtype=np.int64)
+            for a in range(0, len(each), 1_000):
+                rows = pdf[names].iloc[a : a + 1_000]
+                rows = rows.iloc[np.repeat(np.arange(len(rows)), counts[a : a + 1_000])]
+                yield rows.assign(label=np.concatenate(each[a : a + 1_000]))
+
+    return sets.select(*names, "labels").mapInPandas(run, ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in names) + ", label long")
 
 
-def meetings(seen: DataFrame, similarity: float) -> DataFrame:
-    """(centre, label, node, d, n, asks, answers): groups in which nodes of one bucket that can be similar meet.
+def of_texts(nodes: DataFrame, texts: DataFrame, words: int, numbers) -> DataFrame:
+    """nodes (node, ...) with labels: `numbers` of their texts' labels, as bytes."""
+    names = nodes.columns
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[names].assign(labels=[numbers(shingles(t, words)[1]).tobytes() for t in pdf["body"]])
+
+    schema = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in names) + ", labels binary"
+    return nodes.join(texts, "node").select(*names, "body").mapInPandas(run, schema)
+
+
+def meetings(seen: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(centre, label, node, root, d, n, asks, answers, place): groups in which nodes of one bucket that can be similar meet.
 
     seen: rows of `against_centre`, with roots, of nodes that are not yet in their centre's component, or share a bucket with
     one that is not. Let x and y be similar, s the similarity and r = (1 - s) / (1 + s). What x and y have more or less than
     the centre c are sets X and Y, and |X ^ Y|, the labels that only one of x and y has, is at most r (|x| + |y|).
 
-    - Both are unlike c: |X| > r (|x| + |c|), likewise Y. Then X and Y have a third of their union in common at least, and
-        share one of DEVIATION_BANDS bands of two min-hashes with a probability of 1 - (8/9)**DEVIATION_BANDS or more. Their
-      bits tell the share in common more closely (Li and Konig, 2010); `agreeing` leaves out what is far below.
+    - Both are unlike their centres: then these say little, and all such nodes meet by their own labels, in a prefix filter
+      (centre 0). The rarest labels come first, so that texts that share all but what is their own do not meet.
     - x is not unlike c, y is: |X & Y| >= (|X| + |Y| - r (|x| + |y|)) / 2, and |Y| > r (|y| + |c|) bounds this from below for
       each of them alone, so that they meet in a prefix filter, which leaves out no pair. y is not far from c.
     - Neither is unlike c, and x has its labels in another order: their deviations may have nothing in common. Such nodes
-      meet by their centre.
+      meet by FINE_BANDS bands of TURN_PICKS picks in the order of the text, which other orders hardly ever share, and two
+      texts of this similarity do with 1 - (1 - s**8)**64 or more, all but 1e-5.
     """
     r = (1 - similarity) / (1 + similarity)
-    bits = [f"bits{k}" for k in range(BIT_WORDS)]
-    columns = ["centre", "label", "node", "root", "d", "n", "asks", "answers"]
-    yes, none = F.lit(True), [F.lit(None).cast("long").alias(c) for c in bits]
-    words = [F.element_at("marks", DEVIATION_BANDS + 1 + k).alias(c) for k, c in enumerate(bits)]
-    lone = seen.where("unlike").select("centre", F.explode(F.slice("marks", 1, DEVIATION_BANDS)).alias("label"), "node", "root", F.col("size").alias("d"), "n", yes.alias("asks"), yes.alias("answers"), *words)
+    columns = ["centre", "label", "node", "root", "d", "n", "asks", "answers", "place"]
+    yes, long = F.lit(True), lambda k: F.lit(k).cast("long")
+    alone = seen.where("unlike").select("node", "root", "n").distinct()
+    own = of_texts(alone.select(long(0).alias("centre"), "node", "root", F.col("n").alias("d"), F.ceil(F.col("n") * similarity - 1e-6).cast("long").alias("need"), "n"), texts, words, lambda x: x)
+    lone = prefixes(unpacked(own)).select("centre", "label", "node", "root", "d", "n", yes.alias("asks"), yes.alias("answers"), "place")
 
     # Only centres that have both kinds, and x with a label more or less than c.
     pairing = seen.where("NOT (unlike AND far) AND size > 0")
     kinds = pairing.groupBy("centre").agg(F.max("unlike").alias("u"), F.min("unlike").alias("v")).where("u AND NOT v").select("centre")
     bound = F.when(F.col("unlike"), F.col("size") - r * (F.col("n") + F.col("nc")) + (1 - r)).otherwise(F.col("size") + r * (F.col("nc") - F.col("n"))) / 2
     need = F.greatest(F.lit(1), F.ceil(bound - 1e-6)).cast("long")
-
-    def unpack(batches):
-        for pdf in batches:
-            sets = [np.frombuffer(v, dtype=np.int64) for v in pdf["labels"]]
-            counts = np.array([len(x) for x in sets], dtype=np.int64)
-            for a in range(0, len(sets), 1_000):
-                rows = pdf.drop(columns="labels").iloc[a : a + 1_000]
-                rows = rows.iloc[np.repeat(np.arange(len(rows)), counts[a : a + 1_000])]
-                yield rows.assign(label=np.concatenate(sets[a : a + 1_000]))
-
     deviating = pairing.join(kinds, "centre", "left_semi").select("centre", "node", "root", F.col("size").alias("d"), need.alias("need"), "n", F.col("unlike").alias("asks"), (~F.col("unlike")).alias("answers"), "labels")
-    deviating = deviating.mapInPandas(unpack, "centre long, node long, root long, d long, need long, n long, asks boolean, answers boolean, label long")
 
     # The centre's labels in another order.
     turned = seen.where("NOT similar AND NOT unlike").select("centre").distinct()
-    wild = seen.where("NOT unlike").join(turned, "centre", "left_semi").select("centre", F.lit(0).cast("long").alias("label"), "node", "root", F.col("size").alias("d"), "n", (~F.col("similar")).alias("asks"), yes.alias("answers"))
-    return lone.unionByName(prefixes(deviating).select(*columns, *none)).unionByName(wild.select(*columns, *none))
+    wild = seen.where("NOT unlike").join(turned, "centre", "left_semi").select("centre", "node", "root", F.col("size").alias("d"), "n", (~F.col("similar")).alias("asks"), yes.alias("answers"))
+    wild = unpacked(of_texts(wild, texts, words, lambda x: sketch(x, x, FINE_BANDS, TURN_PICKS))).withColumn("place", F.lit(None).cast("long"))
+    return lone.unionByName(prefixes(unpacked(deviating)).select(*columns)).unionByName(wild.select(*columns))
 
 
-def agreeing(most: Column) -> Column:
-    """Of two rows x and y of `meetings` with bits: whether their deviations can have enough in common; true without bits.
-
-    Of 64 * BIT_WORDS bits (1 - J) / 2 differ on average, if J is the share in common.
-    """
-    both = F.col("x.d") + F.col("y.d")
-    differ = sum((F.bit_count(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}"))) for k in range(1, BIT_WORDS)), F.bit_count(F.col("x.bits0").bitwiseXOR(F.col("y.bits0"))))
-    share = most / (both + most)
-    return F.coalesce(differ <= 64 * BIT_WORDS * share + MARGIN * 4 * BIT_WORDS**0.5, F.lit(True))
+def agreeing() -> Column:
+    """Of two rows x and y with marks: whether enough of the finer sketches' bytes are equal. Short texts have too few picks."""
+    differ = F.lit(0)
+    for k in range(BIT_WORDS):
+        bits = F.get("x.marks", F.lit(k)).bitwiseXOR(F.get("y.marks", F.lit(k)))
+        for shift in (4, 2, 1):
+            bits = bits.bitwiseOR(F.call_function("shiftrightunsigned", bits, F.lit(shift)))
+        differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    return (F.least("x.n", "y.n") <= SHORT) | (FINE_BANDS - differ >= AGREE)
 
 
 def spread_key(salts: int) -> Column:
@@ -349,14 +359,21 @@ def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", words:
     open_ = cut(at.join(divided, "key", "left_semi").where("node <> centre").select("node", "centre", "root").distinct())
     if open_.limit(1).count():
         # Buckets that hold several components: nodes meet by what they have more or less than the centre.
-        groups = cut(meetings(seen.join(open_, ["node", "centre"]), similarity))
+        met_again = cut(seen.join(open_, ["node", "centre"]))
+        marks = met_again.select("node", "marks").dropDuplicates(["node"])
+        groups = meetings(met_again, texts, similarity, words)
+        # A label that one node has alone joins nothing.
+        several = groups.groupBy("centre", "label").agg(F.count("*").alias("c")).where("c > 1").select("centre", "label")
+        groups = cut(groups.join(several, ["centre", "label"]).join(marks, "node"))
         x, y = groups.where("asks").alias("x"), groups.where("answers").alias("y")
         most = (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + 1e-6
         near = (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.d") - F.col("y.d")) <= most)
         # Two that both ask meet once.
         once = (F.col("x.node") < F.col("y.node")) | ~(F.col("y.asks") & F.col("x.answers"))
         same = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.label") == F.col("y.label"))
-        met = x.join(y, same & near & once & agreeing(most)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        # Two sets meet at their first common label, if anywhere: that and what is left of them must be enough in common.
+        enough = F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place")) + 1 >= (F.col("x.d") + F.col("y.d") - most) / 2
+        met = x.join(y, same & near & once & F.coalesce(enough, F.lit(True)) & agreeing()).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         found = cut(verified(met, texts, similarity, words))
         if found.limit(1).count():
             root = components(links.unionByName(found))

@@ -126,3 +126,45 @@ def test_empty(spark):
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.root) for r in nc.components(links).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+
+
+def verified_pairs(spark, monkeypatch, texts):
+    """(number of pairs that are aligned after the stars, classes by id)."""
+    seen = []
+    real = nc.verified
+
+    def counting(pairs, *args):
+        seen.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(nc, "verified", counting)
+    rows = nc.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return sum(seen), {r.doc_id: r.class_id for r in rows}
+
+
+def test_reordered_blocks_are_not_all_compared(spark, monkeypatch):
+    rng = random.Random(3)
+    blocks = [" ".join(f"b{k}w{j}" for j in range(12)) for k in range(20)]
+    texts = [" ".join(rng.sample(blocks, 20)) for _ in range(200)]
+    texts += [f"{t} tail end" for t in texts[:20]]
+    n, classes = verified_pairs(spark, monkeypatch, texts)
+    assert n <= 3 * len(texts)  # of 24,090 pairs
+    assert all(classes[200 + k] == classes[k] for k in range(20)) and len(set(classes.values())) == 200
+
+
+def test_variants_just_below_the_limit_are_not_all_compared(spark, monkeypatch):
+    """A family in which every text has edits of its own, so that no two are similar, though each shares most with all."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for v in range(150):
+        t = list(base)
+        for at in rng.sample(range(0, 150, 8), 5):
+            t[at] = f"v{v}x{at}"
+        texts.append(" ".join(t))
+    texts += [f"{t} z{k}" for k, t in enumerate(texts[:30])]
+    n, classes = verified_pairs(spark, monkeypatch, texts)
+    labels = [set(nc.shingles(t.encode())[1].tolist()) for t in texts]
+    similar = lambda a, b: len(labels[a] & labels[b]) >= 0.8 * len(labels[a] | labels[b])
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if similar(a, b)]
+    assert all(classes[a] == classes[b] for a, b in links) and n <= 5 * len(texts)
