@@ -1,7 +1,7 @@
 """Write-once datasets that are named by their content.
 
-A digest is a sum over row hashes, so that neither partitioning nor row order changes it, and equal content has the same
-digest whatever files Spark wrote.
+A table's digest is a sum over row hashes, so that neither partitioning nor row order changes it, and equal content has the
+same digest whatever files Spark wrote. Where the order of rows counts, the digest is the root of a tree.
 """
 
 from __future__ import annotations
@@ -10,17 +10,48 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PRIME = 1_000_000_007
+from strandline.operators.scan import DAY, scanned
+
+#: Children of one node of a digest tree.
+FAN = 1_024
+
+
+def row_digest(columns: Sequence[str]) -> Column:
+    """SHA-256 of a row's columns as text joined by |; null is the empty text."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
 
 
 def content_digest(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(by, n, digest) of the rows' columns as text joined by |; null is the empty text."""
-    body = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    row = F.conv(F.substring(F.md5(body), 1, 15), 16, 10).cast("long") % PRIME
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(row).alias("digest"))
+    """(by, n, digest) of a set of rows, in any order: four 64-bit lanes of the rows' digests, each summed modulo 2**64."""
+    rows = df.select(*by, row_digest(columns).alias("_row"))
+    lane = lambda k: F.sum(F.conv(F.substring("_row", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")) % F.lit(str(2**64)).cast("decimal(20,0)")
+    text = lambda c: F.lpad(F.lower(F.conv(c.cast("decimal(20,0)").cast("string"), 10, 16)), 16, "0")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.concat(*[text(lane(k)) for k in range(4)]).alias("digest"))
+
+
+def ordered_digest(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], fan: int = FAN, width: int = DAY) -> DataFrame:
+    """(by, n, digest) of a sequence of rows: the root of a tree over their digests in the order of `order`.
+
+    A node is the SHA-256 of its up to `fan` children's digests, one after the other; a lone node is the root. Where a row
+    stands is counted in cells of the order's first column, an integer, so that neither partitions nor files matter; no
+    node sees more than `fan` rows. `order` is total. An empty sequence has no row.
+    """
+    by = list(by)
+    rows = df.select(*by, *order, row_digest(columns).alias("_digest"))
+    level = scanned(rows, by, order, sums={"_place": F.lit(1)}, totals={"n": F.lit(1)}, width=width).select(*by, "n", (F.col("_place") - 1).alias("_place"), "_digest")
+    most, done = level.agg(F.max("n")).first()[0] or 0, 1
+    level, nodes = level.withColumn("_nodes", F.col("n")), most
+    while nodes > 1 or done == 1 and nodes:
+        children = F.transform(F.array_sort(F.collect_list(F.struct("_place", "_digest"))), lambda x: x["_digest"])
+        up = level.groupBy(*by, "n", "_nodes", F.expr(f"_place div {fan}").alias("_above")).agg(F.array_join(children, "").alias("_text"), F.first("_digest").alias("_own"))
+        # A root stays what it is while other groups' trees grow on; single rows become a node once.
+        root = F.col("_nodes") == 1 if done > 1 else F.lit(False)
+        level = up.select(*by, "n", F.col("_above").alias("_place"), F.when(root, F.col("_own")).otherwise(F.sha2("_text", 256)).alias("_digest"), F.expr(f"(_nodes + {fan - 1}) div {fan}").alias("_nodes"))
+        nodes, done = -(-nodes // fan), done + 1
+    return level.select(*by, "n", F.col("_digest").alias("digest"))
 
 
 def storage_audit(manifest: DataFrame, files: DataFrame, key: str, expected: str = "expected", found: str = "found") -> DataFrame:

@@ -106,12 +106,25 @@ def control_random(spark, d):
     return t.events(spark, d).select("event_id", text.coin(F.lit(7), F.col("event_id")).alias("action"))
 
 
-@query("SELECT event_type, count(*) AS n, sum(('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|' || CAST(us AS VARCHAR) || '|' || CAST(cents AS VARCHAR)), 1, 15))::BIGINT % 1000000007)::BIGINT AS digest FROM ev GROUP BY event_type")
+ROW_SHA = "sha256(CAST(event_id AS VARCHAR) || '|' || CAST(us AS VARCHAR) || '|' || CAST(cents AS VARCHAR))"
+LANES = " || ".join(f"lower(lpad(to_hex((sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT::HUGEINT) % 18446744073709551616)::UBIGINT), 16, '0'))" for k in range(4))
+
+
+@query(f"SELECT event_type, count(*) AS n, {LANES} AS digest FROM (SELECT event_type, {ROW_SHA} AS h FROM ev) GROUP BY event_type")
 def content_digest(spark, d):
-    """CAN-02, CAN-03, SNK-11: a digest of a row set that does not depend on its order."""
+    """CAN-02, SNK-11: 256 bits of a row set, whatever its order."""
     return publish.content_digest(t.events(spark, d), ["event_type"], ["event_id", "us", "cents"])
 
 
+@query(f"""WITH r AS (SELECT event_type, {ROW_SHA} AS h, row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) - 1 AS i FROM ev),
+a AS (SELECT event_type, i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, count(*) AS n FROM r GROUP BY event_type, i // 1024),
+b AS (SELECT event_type, i // 1024 AS i, CASE WHEN count(*) = 1 AND max(i) = 0 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, sum(n) AS n FROM a GROUP BY event_type, i // 1024)
+SELECT event_type, CAST(n AS BIGINT) AS n, h AS digest FROM b""")
+def sequence_digest(spark, d):
+    """CAN-03, CAN-04, SUP-20: 256 bits of a sequence; two rows that change places change it. (The oracle's tree holds a million rows.)"""
+    return publish.ordered_digest(t.events(spark, d), ["event_type"], ["us", "event_id"], ["event_id", "us", "cents"])
+
+
 # -- sets and joins -----------------------------------------------------------------------------------------------
 
 

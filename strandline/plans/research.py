@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import prices, statistics
-from strandline.operators import features, horizons, models, quantiles, simulate
+from strandline.operators import features, horizons, models, quantiles, selection, simulate
 from strandline.operators.asof import asof_join
 from strandline.operators.scan import scanned
 from strandline.plans.core import query
@@ -65,12 +65,15 @@ def sim_summary(spark, d):
     return simulate.summary(ledger(spark, d), "policy")
 
 
-@query("SELECT 0::BIGINT AS violations, 0::BIGINT AS repeated", views=False)
+@query(f"""{OPPORTUNITIES}{LEDGER}, i AS (SELECT policy, status, (status = 'NO_TRADE' AND gross = 0 AND fee_micro = 0) OR (status = 'INVALID' AND gross IS NULL AND fee_micro IS NULL) OR (status = 'TRADED' AND gross IS NOT NULL AND fee_micro > 0) AS sound FROM led),
+r AS (SELECT count(*) - count(DISTINCT event_id) AS again FROM op) SELECT policy, status, count(*) AS rows, count(*) FILTER (sound) AS sound, max(again) AS repeated FROM i, r GROUP BY policy, status""")
 def sim_invariants(spark, d):
-    """SIM-05, SUP-29, SET-05: no row breaks an invariant and no id repeats."""
-    bad = simulate.violations(ledger(spark, d)).agg(F.count("*").alias("violations"))
-    again = simulate.repeated(opportunities(spark, d), "event_id").agg(F.count("*").alias("repeated"))
-    return bad.crossJoin(F.broadcast(again))  # one row each
+    """SIM-05, SUP-29, SET-05: how many rows of each status keep the ledger's invariants, and how many ids repeat."""
+    rows = ledger(spark, d)
+    bad = simulate.violations(rows).groupBy("policy", "status").agg(F.count("*").alias("bad"))
+    again = simulate.repeated(opportunities(spark, d), "event_id").agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
+    counts = rows.groupBy("policy", "status").agg(F.count("*").alias("rows")).join(bad, ["policy", "status"], "left")
+    return counts.crossJoin(F.broadcast(again)).select("policy", "status", "rows", (F.col("rows") - F.coalesce("bad", F.lit(0))).alias("sound"), "repeated")  # one row
 
 
 CANDIDATES = [(f"C{k}", least) for k, least in enumerate((0, 1, 2, 3, 4))]
@@ -255,3 +258,100 @@ def probability_hurdle(spark, d):
     c = F.col("cents")
     s = t.events(spark, d).groupBy("event_type").agg(F.avg(F.when(c > 5000, c - 5000)).alias("w"), F.avg(F.when(c < 5000, c - 5000)).alias("l"), F.sum(c).alias("total"), F.count("*").alias("n"))
     return s.select("event_type", "total", "n", F.round(F.col("total").cast("double") / F.col("n").cast("double"), 6).alias("mean"), F.round(statistics.probability_hurdle(F.col("w"), F.col("l")), 9).alias("hurdle"))
+
+
+# -- reports ------------------------------------------------------------------------------------------------------
+
+LEAST_EVALUABLE, ALPHA, LAGS = 300, 0.025, 10
+
+TRIALS = f"""{OPPORTUNITIES}, {RETURNS[5:]}, rv AS (SELECT event_id, {RETURN_VALUE} AS ref FROM rr),
+tp AS (SELECT op.*, policy, coalesce(sign(CASE policy WHEN 'H_IMBALANCE' THEN (bid_sz - ask_sz)::DOUBLE ELSE ref END), 0)::INTEGER AS said, sign((exit_bid + exit_ask) - (entry_bid + entry_ask))::INTEGER AS moved FROM op JOIN rv USING (event_id), (VALUES ('H_IMBALANCE'), ('H_REFERENCE')) p(policy)),
+tc AS (SELECT *, CASE WHEN said <> 0 AND invalid IS NULL AND moved <> 0 THEN (said = moved)::BIGINT END AS hit, CASE WHEN said <> 0 AND invalid IS NULL THEN
+  CASE WHEN said > 0 THEN (exit_bid - entry_ask) * 1000000 - (entry_ask + exit_bid) * 450 ELSE (entry_bid - exit_ask) * 1000000 - (entry_bid + exit_ask) * 450 END END AS net FROM tp),
+ts AS (SELECT policy, count(*) AS rows, count(*) FILTER (said = 0) AS abstained, count(*) FILTER (invalid IS NULL) AS valid, count(hit) AS evaluable, CAST(coalesce(sum(hit), 0) AS BIGINT) AS correct, count(net) AS traded, sum(net)::DOUBLE / count(net)::DOUBLE AS mean_net_micro FROM tc GROUP BY policy),
+sr AS (SELECT policy, hit, row_number() OVER (PARTITION BY policy ORDER BY us, event_id) AS i, avg(hit) OVER (PARTITION BY policy) AS m FROM tc WHERE hit IS NOT NULL),
+rh AS (SELECT a.policy, b.i - a.i AS lag, sum((a.hit - a.m) * (b.hit - b.m)) AS top FROM sr a JOIN sr b ON a.policy = b.policy AND b.i - a.i BETWEEN 1 AND {LAGS} GROUP BY ALL),
+de AS (SELECT policy, greatest(1.0::DOUBLE, 1 + 2 * sum(CASE WHEN top > 0 THEN top / bottom ELSE 0 END)) AS design_effect FROM rh JOIN (SELECT policy, sum((hit - m) * (hit - m)) AS bottom FROM sr GROUP BY policy) USING (policy) GROUP BY policy),
+pv AS (SELECT policy, sum(exp(lgamma(evaluable + 1) - lgamma(i + 1) - lgamma(evaluable - i + 1) - evaluable * ln(2.0))) AS p_value FROM (SELECT policy, evaluable, unnest(range(correct, evaluable + 1)) AS i FROM ts) GROUP BY policy),
+te AS (SELECT ts.*, p_value, design_effect, greatest(1, least(evaluable, floor(evaluable / design_effect)))::BIGINT AS effective_n FROM ts JOIN de USING (policy) JOIN pv USING (policy)),
+tw AS (SELECT *, greatest(0.0::DOUBLE, (p + z2 / (2 * effective_n) - z * sqrt(p * (1 - p) / effective_n + z2 / (4 * effective_n::DOUBLE * effective_n))) / (1 + z2 / effective_n)) AS lower_bound
+  FROM (SELECT *, correct::DOUBLE / evaluable AS p, {selection.Z_975!r}::DOUBLE AS z, {selection.Z_975!r}::DOUBLE * {selection.Z_975!r}::DOUBLE AS z2 FROM te)),
+tf AS (SELECT *, array_to_string(list_sort(list_filter([CASE WHEN evaluable < {LEAST_EVALUABLE} THEN '{selection.SUPPORT}' END, CASE WHEN p_value > {ALPHA} THEN '{selection.P_VALUE}' END, CASE WHEN lower_bound <= 0.5 THEN '{selection.LOWER_BOUND}' END,
+  CASE WHEN mean_net_micro <= 0 THEN '{selection.MEAN_NET}' END], lambda x: x IS NOT NULL)), ',') AS failures FROM tw),
+th AS (SELECT *, max(evaluable < {LEAST_EVALUABLE}) OVER () AS thin, first(CASE WHEN failures = '' THEN policy END) OVER (ORDER BY failures <> '', -lower_bound, policy ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best FROM tf)"""
+
+
+@query(f"""{TRIALS} SELECT policy, rows, abstained, valid, evaluable, correct, traded, round(mean_net_micro, 3) AS mean_net_micro, round(p_value, 6) AS p_value, round(design_effect, 8) AS design_effect, effective_n, round(lower_bound, 8) AS lower_bound, failures,
+  CASE WHEN NOT thin THEN best END AS champion, CASE WHEN thin THEN 'INCONCLUSIVE' WHEN best IS NULL THEN 'STOP' ELSE 'CHAMPION' END AS decision FROM th""")
+def registered_selection(spark, d):
+    """GAT-06, GAT-07, MTH-09..12, WIN-12: two trials over the same rows, judged by four codes, and the decision."""
+    ref = features.reference_return(t.quotes(spark, d), t.quotes(spark, d, "click"), ["dom"], "event_id", "us", LOOKBACK, 2 * STALE).select("event_id", F.col("value").alias("ref"))
+    o = opportunities(spark, d).join(ref, "event_id").withColumn("moved", F.signum((F.col("exit_bid") + F.col("exit_ask") - F.col("entry_bid") - F.col("entry_ask")).cast("double")).cast("int"))
+    trials = {"H_IMBALANCE": simulate.sign_policy((F.col("bid_sz") - F.col("ask_sz")).cast("double")), "H_REFERENCE": simulate.sign_policy(F.col("ref"))}
+    done = selection.decided(selection.evaluate(simulate.run(simulate.with_policies(o, trials)), ["us", "event_id"], "moved", LAGS, LEAST_EVALUABLE, ALPHA), LEAST_EVALUABLE)
+    return done.select(
+        "policy", "rows", "abstained", "valid", "evaluable", "correct", "traded", F.round("mean_net_micro", 3).alias("mean_net_micro"), F.round("p_value", 6).alias("p_value"),
+        F.round("design_effect", 8).alias("design_effect"), "effective_n", F.round("lower_bound", 8).alias("lower_bound"), "failures", "champion", "decision",
+    )
+
+
+def candidate_trades(spark, d) -> DataFrame:
+    """(candidate, part, event_id, entry, gross, fee_micro, net_micro): each candidate's trades, in their part and in ALL."""
+    diff = F.col("bid_sz") - F.col("ask_sz")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), F.lit(least).alias("least")) for n, least in CANDIDATES]))
+    rows = opportunities(spark, d).where("invalid IS NULL").withColumn("c", each).where(F.abs(diff) > F.col("c.least"))
+    long = diff > 0
+    entry, exit_ = F.when(long, F.col("entry_ask")).otherwise(F.col("entry_bid")), F.when(long, F.col("exit_bid")).otherwise(F.col("exit_ask"))
+    part = F.when(F.col("us") < 1705276800000000, "DEV_A").otherwise("DEV_B")
+    rows = rows.select(F.col("c.candidate").alias("candidate"), F.explode(F.array(part, F.lit("ALL"))).alias("part"), "event_id", entry.alias("entry"), F.when(long, exit_ - entry).otherwise(entry - exit_).alias("gross"), ((entry + exit_) * 450).alias("fee_micro"))
+    return rows.withColumn("net_micro", F.col("gross") * 1_000_000 - F.col("fee_micro"))
+
+
+CANDIDATE_TRADES = f"""{OPPORTUNITIES}, c AS (SELECT * FROM (VALUES ('C0', 0), ('C1', 1), ('C2', 2), ('C3', 3), ('C4', 4)) x(candidate, least)),
+a AS (SELECT candidate, us, CASE WHEN bid_sz > ask_sz THEN entry_ask ELSE entry_bid END AS entry, CASE WHEN bid_sz > ask_sz THEN exit_bid ELSE exit_ask END AS ex, bid_sz > ask_sz AS long FROM op, c WHERE invalid IS NULL AND abs(bid_sz - ask_sz) > least),
+n AS (SELECT candidate, unnest([CASE WHEN us < 1705276800000000 THEN 'DEV_A' ELSE 'DEV_B' END, 'ALL']) AS part, entry, CASE WHEN long THEN ex - entry ELSE entry - ex END AS gross, (entry + ex) * 450 AS fee_micro FROM a),
+tr2 AS (SELECT *, gross * 1000000 - fee_micro AS net_micro FROM n)"""
+
+
+@query(f"""{CANDIDATE_TRADES}, s AS (SELECT candidate, part, count(*) AS trades, count(*) FILTER (net_micro > 0) AS winners, CAST(sum(gross) AS BIGINT) AS gross, CAST(sum(fee_micro) AS BIGINT) AS fee_micro, CAST(sum(net_micro) AS BIGINT) AS net_micro,
+  sum(net_micro)::DOUBLE / count(*)::DOUBLE AS mean_net, median(net_micro)::DOUBLE AS median_net_micro, round(avg(CASE WHEN entry > 0 THEN net_micro::DOUBLE / entry::DOUBLE / 100.0 END), 6) AS mean_net_bps FROM tr2 GROUP BY candidate, part),
+g AS (SELECT *, trades >= 30 AND mean_net > 0 AS part_passes FROM s), b AS (SELECT candidate, bool_and(part_passes) AS passes FROM g GROUP BY candidate)
+SELECT candidate, part, trades, winners, gross, fee_micro, net_micro, median_net_micro, mean_net_bps, part_passes, passes, row_number() OVER (PARTITION BY part ORDER BY mean_net DESC, candidate) AS place FROM g JOIN b USING (candidate)""")
+def candidate_report(spark, d):
+    """AGG-20, AGG-21, GAT-09, GAT-11, GAT-14, SUP-33..35: fees, net, bps and exact medians of each candidate, its gates and its place."""
+    rows = candidate_trades(spark, d)
+    by = ["candidate", "part"]
+    n = F.count("*")
+    sums = rows.groupBy(*by).agg(
+        n.alias("trades"), F.count(F.when(F.col("net_micro") > 0, 1)).alias("winners"), F.sum("gross").alias("gross"), F.sum("fee_micro").alias("fee_micro"), F.sum("net_micro").alias("net_micro"),
+        (F.sum("net_micro").cast("double") / n.cast("double")).alias("mean_net"), F.round(F.avg(F.when(F.col("entry") > 0, F.col("net_micro").cast("double") / F.col("entry").cast("double") / 100)), 6).alias("mean_net_bps"),
+    )
+    middle = quantiles.median(rows, by, "net_micro", "median_net_micro").select(*by, "median_net_micro")
+    gated = sums.join(middle, by).withColumn("part_passes", (F.col("trades") >= 30) & (F.col("mean_net") > 0))
+    # From here on there is a row for each candidate and part.
+    passes = F.min("part_passes").over(Window.partitionBy("candidate"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("mean_net"), "candidate"))
+    return gated.withColumn("passes", passes).withColumn("place", place).drop("mean_net")
+
+
+FEES = [0, 150, 300, 450, 600, 900]
+
+
+@query(f"""{CANDIDATE_TRADES}, f AS (SELECT unnest({FEES}) AS fee) SELECT candidate, CAST(fee AS INTEGER) AS fee, count(*) AS trades, CAST(sum(gross * 1000000 - fee_micro // 450 * fee) AS BIGINT) AS net_micro, count(*) FILTER (gross * 1000000 - fee_micro // 450 * fee > 0) AS winners,
+  CASE WHEN sum(gross) <= 0 THEN 0 ELSE round(4.5 * (sum(gross)::DOUBLE / count(*)::DOUBLE) / (sum(fee_micro)::DOUBLE / 1000000.0 / count(*)::DOUBLE), 6) END::DOUBLE AS break_even_bps FROM tr2, f WHERE part = 'ALL' GROUP BY candidate, fee""")
+def fee_sensitivity(spark, d):
+    """GAT-13, MTH-15: what is left at other fees (hundredths of a basis point a side), and the fee at which nothing is."""
+    rows = candidate_trades(spark, d).where("part = 'ALL'").withColumn("fee", F.explode(F.array(*[F.lit(x) for x in FEES])))
+    net, n = F.col("gross") * 1_000_000 - F.expr("fee_micro div 450") * F.col("fee"), F.count("*").cast("double")
+    even = statistics.break_even_fee(F.sum("gross").cast("double") / n, F.sum("fee_micro").cast("double") / 1_000_000 / n, 4.5)
+    return rows.groupBy("candidate", "fee").agg(F.count("*").alias("trades"), F.sum(net).alias("net_micro"), F.count(F.when(net > 0, 1)).alias("winners"), F.round(even, 6).alias("break_even_bps"))
+
+
+@query(f"""{FEATURES}, x AS (SELECT CASE WHEN label_bps > 0 THEN 0.5 ELSE -0.5 END::DOUBLE AS r, imbalance AS a, flow AS b FROM ft WHERE label_bps IS NOT NULL AND imbalance IS NOT NULL AND flow IS NOT NULL)
+SELECT unnest(['g0', 'g1', 'g2', 'h00', 'h01', 'h02', 'h11', 'h12', 'h22']) AS name, unnest([round(sum(r), 6), round(sum(r * a), 6), round(sum(r * b), 6), round(count(*) / 4.0, 6)::DOUBLE, round(sum(a) / 4.0, 6), round(sum(b) / 4.0, 6), round(sum(a * a) / 4.0, 6), round(sum(a * b) / 4.0, 6), round(sum(b * b) / 4.0, 6)]) AS value FROM x""")
+def newton_sums(spark, d):
+    """MDL-01, MDL-02: gradient and Hessian of the first Newton step over the feature rows, as the fit asks for them."""
+    rows = feature_table(spark, d).dropna(subset=["label_bps", "imbalance", "flow"])
+    gradient, hessian = models.newton_sums(rows, [F.lit(1.0), F.col("imbalance"), F.col("flow")], F.col("label_bps") > 0, [0.0, 0.0, 0.0])
+    cells = [(f"g{i}", g) for i, g in enumerate(gradient)] + [(f"h{i}{j}", hessian[i][j]) for i in range(3) for j in range(i, 3)]
+    return spark.createDataFrame([(name, round(float(v), 6)) for name, v in cells], "name string, value double")
