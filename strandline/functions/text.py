@@ -30,6 +30,12 @@ def is_digest(value: Column) -> Column:
     return F.coalesce(value.rlike("^[0-9a-f]{64}$"), F.lit(False))
 
 
+def checksum_token(content: Column) -> Column:
+    """The digest that a checksum file starts with, in lower case; null if its first word is no SHA-256 digest."""
+    word = F.lower(F.regexp_extract(content, r"^\s*(\S+)", 1))
+    return F.when(is_digest(word), word)
+
+
 def coin(seed: Column, key: Column) -> Column:
     """Reproducible LONG or SHORT: the low bit of the first byte of a digest."""
     byte = F.conv(F.substring(F.sha2(F.concat_ws("|", seed.cast("string"), key.cast("string")), 256), 1, 2), 16, 10).cast("int")

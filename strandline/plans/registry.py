@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans import core, feeds, lifecycle, market, relational, research, streams
+from strandline.plans import core, feeds, lake, lifecycle, market, relational, research, streams
 
 FLAGSHIP = "trade_flow_window"
-MODULES = (feeds, lifecycle, market, relational, research, streams)
+MODULES = (feeds, lake, lifecycle, market, relational, research, streams)
 
 
 def queries() -> dict[str, core.Query]:

@@ -133,6 +133,8 @@ class Segment(InputPartition):
 
 def store_of(path: str):
     """(file system, path in it) of a folder: a local path or a URI of any store that pyarrow reaches."""
+    if re.match(r"file:/[^/]", path):  # as Hadoop writes local paths
+        path = path[5:]
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else os.path.abspath(path))
 
 
