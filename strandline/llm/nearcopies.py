@@ -278,8 +278,8 @@ def meetings(seen: DataFrame, texts: DataFrame, similarity: float, words: int) -
     columns = ["centre", "label", "node", "root", "d", "n", "asks", "answers", "place"]
     yes, long = F.lit(True), lambda k: F.lit(k).cast("long")
     alone = seen.where("unlike").select("node", "root", "n").distinct()
-    own = of_texts(alone.select(long(0).alias("centre"), "node", "root", F.col("n").alias("d"), F.ceil(F.col("n") * similarity - 1e-6).cast("long").alias("need"), "n"), texts, words, lambda x: x)
-    lone = prefixes(unpacked(own)).select("centre", "label", "node", "root", "d", "n", yes.alias("asks"), yes.alias("answers"), "place")
+    own = alone.select(long(0).alias("centre"), "node", "root", F.col("n").alias("d"), F.ceil(F.col("n") * similarity - 1e-6).cast("long").alias("need"), "n", yes.alias("asks"), yes.alias("answers"))
+    own = of_texts(own, texts, words, lambda x: x)
 
     # Only centres that have both kinds, and x with a label more or less than c.
     pairing = seen.where("NOT (unlike AND far) AND size > 0")
@@ -292,7 +292,8 @@ def meetings(seen: DataFrame, texts: DataFrame, similarity: float, words: int) -
     turned = seen.where("NOT similar AND NOT unlike").select("centre").distinct()
     wild = seen.where("NOT unlike").join(turned, "centre", "left_semi").select("centre", "node", "root", F.col("size").alias("d"), "n", (~F.col("similar")).alias("asks"), yes.alias("answers"))
     wild = unpacked(of_texts(wild, texts, words, lambda x: sketch(x, x, FINE_BANDS, TURN_PICKS))).withColumn("place", F.lit(None).cast("long"))
-    return lone.unionByName(prefixes(unpacked(deviating)).select(*columns)).unionByName(wild.select(*columns))
+    # The sets of both kinds go through one filter: no centre is 0.
+    return prefixes(unpacked(own.unionByName(deviating))).select(*columns).unionByName(wild.select(*columns))
 
 
 def agreeing() -> Column:
@@ -321,8 +322,8 @@ def components(links: DataFrame, salts: int = SALTS) -> DataFrame:
     state = cut(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
     while True:
         moved = state.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-        offered = ends.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("offer"))
-        nearer = state.join(offered, state.node == offered.a, "left").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("root"))
+        offered = ends.join(state.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), "root", F.lit(None).cast("long").alias("was"))
+        nearer = state.select("node", "root", F.col("root").alias("was")).unionByName(offered).groupBy("node").agg(F.max("was").alias("was"), F.min("root").alias("root"))
         new = cut(nearer.withColumn("salt", spread_key(salts)).join(moved, ["root", "salt"], "left").select("node", "was", F.least("root", "next").alias("root")))
         changed = new.where("root <> was").limit(1).count()
         state = new.select("node", "root")
@@ -330,6 +331,17 @@ def components(links: DataFrame, salts: int = SALTS) -> DataFrame:
             return state
 
 
+def merged(root: DataFrame, found: DataFrame) -> DataFrame:
+    """root (node, root) after further links (a, b): components of components, which are few."""
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    # A root is the smallest node of its component, so that a node that is its own root loses to the one it has.
+    known = cut(root.unionByName(ends.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root")))
+    of = lambda end: known.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    links = found.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b")
+    joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("further"))
+    return known.join(joined, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+
+
 def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, picks: int = PICKS) -> DataFrame:
     """(doc, h, class_id, keeper): one row for each document; keeper is true on the rows of the class's first document."""
     rows = cut(sketches(docs, text, doc, words, bands, picks))
@@ -362,9 +374,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", words:
         met_again = cut(seen.join(open_, ["node", "centre"]))
         marks = met_again.select("node", "marks").dropDuplicates(["node"])
         groups = meetings(met_again, texts, similarity, words)
-        # A label that one node has alone joins nothing.
-        several = groups.groupBy("centre", "label").agg(F.count("*").alias("c")).where("c > 1").select("centre", "label")
-        groups = cut(groups.join(several, ["centre", "label"]).join(marks, "node"))
+        groups = cut(groups.join(marks, "node"))
         x, y = groups.where("asks").alias("x"), groups.where("answers").alias("y")
         most = (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + 1e-6
         near = (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.d") - F.col("y.d")) <= most)
@@ -376,7 +386,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc: str = "doc_id", words:
         met = x.join(y, same & near & once & F.coalesce(enough, F.lit(True)) & agreeing()).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         found = cut(verified(met, texts, similarity, words))
         if found.limit(1).count():
-            root = components(links.unionByName(found))
+            root = merged(root, found)
     return classed(rows, root, doc)
 
 
