@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import prices, statistics
-from strandline.operators import features, horizons, models, quantiles, selection, simulate
+from strandline.operators import descent, features, horizons, models, quantiles, selection, simulate
 from strandline.operators.asof import asof_join
 from strandline.operators.scan import scanned
 from strandline.plans.core import query
 from strandline.plans.market import IDS, LOOKBACK, SHORT, STALE
 from strandline.sources import tables as t
+from strandline.sources.checkpoints import cut
 
 OPPORTUNITIES = f"""WITH o AS (SELECT e.event_id, e.dom, e.day, e.us, e.bid AS entry_bid, e.ask AS entry_ask, e.bid_sz, e.ask_sz, e.flags, x.event_id AS exit_id, x.us AS exit_us, x.bid AS exit_bid, x.ask AS exit_ask, x.flags AS exit_flags
   FROM q e ASOF LEFT JOIN q x ON e.dom = x.dom AND e.us + {SHORT} <= x.us),
@@ -355,3 +356,22 @@ def newton_sums(spark, d):
     gradient, hessian = models.newton_sums(rows, [F.lit(1.0), F.col("imbalance"), F.col("flow")], F.col("label_bps") > 0, [0.0, 0.0, 0.0])
     cells = [(f"g{i}", g) for i, g in enumerate(gradient)] + [(f"h{i}{j}", hessian[i][j]) for i in range(3) for j in range(i, 3)]
     return spark.createDataFrame([(name, round(float(v), 6)) for name, v in cells], "name string, value double")
+
+
+STEPS = 1_000
+
+
+@query()
+def direction_gates(spark, d):
+    """MDL-03, SUP-50, GAT-10: batch gradient descent on both directions of DEV_A's rows; gates at its top tenth and twentieth, for each part."""
+    nets = lambda entry, exit_, gross: gross * 1_000_000 - (entry + exit_) * 450
+    c = F.col
+    o = opportunities(spark, d).where("invalid IS NULL").select(
+        "event_id", F.when(c("us") < 1705276800000000, "DEV_A").otherwise("DEV_B").alias("part"), prices.imbalance(c("bid_sz"), c("ask_sz")).alias("imbalance"),
+        nets(c("entry_ask"), c("exit_bid"), c("exit_bid") - c("entry_ask")).alias("long_net"), nets(c("entry_bid"), c("exit_ask"), c("entry_bid") - c("exit_ask")).alias("short_net"),
+    )
+    ref = features.reference_return(t.quotes(spark, d), t.quotes(spark, d, "click"), ["dom"], "event_id", "us", LOOKBACK, 2 * STALE).select("event_id", F.col("value").alias("ref"))
+    rows = cut(o.join(ref, "event_id"))
+    signed = ["imbalance", "ref"]
+    model = descent.fit_directions(rows.where("part = 'DEV_A'"), signed, "long_net", "short_net", steps=STEPS)
+    return descent.top_gates(descent.best_direction(rows, model, signed, "long_net", "short_net"), "part", "DEV_A", {"TOP10": "0.90", "TOP05": "0.95"})
