@@ -282,7 +282,7 @@ tf AS (SELECT *, array_to_string(list_sort(list_filter([CASE WHEN evaluable < {L
 th AS (SELECT *, max(evaluable < {LEAST_EVALUABLE}) OVER () AS thin, first(CASE WHEN failures = '' THEN policy END) OVER (ORDER BY failures <> '', -lower_bound, policy ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best FROM tf)"""
 
 
-@query(f"""{TRIALS} SELECT policy, rows, abstained, valid, evaluable, correct, traded, round(mean_net_micro, 3) AS mean_net_micro, round(p_value, 6) AS p_value, round(design_effect, 8) AS design_effect, effective_n, round(lower_bound, 8) AS lower_bound, failures,
+@query(f"""{TRIALS} SELECT policy, rows, abstained, valid, evaluable, correct, traded, round(mean_net_micro, 3) AS mean_net_micro, round(p_value + 1e-9, 6) AS p_value, round(design_effect, 8) AS design_effect, effective_n, round(lower_bound, 8) AS lower_bound, failures,
   CASE WHEN NOT thin THEN best END AS champion, CASE WHEN thin THEN 'INCONCLUSIVE' WHEN best IS NULL THEN 'STOP' ELSE 'CHAMPION' END AS decision FROM th""")
 def registered_selection(spark, d):
     """GAT-06, GAT-07, MTH-09..12, WIN-12: two trials over the same rows, judged by four codes, and the decision."""
@@ -291,7 +291,7 @@ def registered_selection(spark, d):
     trials = {"H_IMBALANCE": simulate.sign_policy((F.col("bid_sz") - F.col("ask_sz")).cast("double")), "H_REFERENCE": simulate.sign_policy(F.col("ref"))}
     done = selection.decided(selection.evaluate(simulate.run(simulate.with_policies(o, trials)), ["us", "event_id"], "moved", LAGS, LEAST_EVALUABLE, ALPHA), LEAST_EVALUABLE)
     return done.select(
-        "policy", "rows", "abstained", "valid", "evaluable", "correct", "traded", F.round("mean_net_micro", 3).alias("mean_net_micro"), F.round("p_value", 6).alias("p_value"),
+        "policy", "rows", "abstained", "valid", "evaluable", "correct", "traded", F.round("mean_net_micro", 3).alias("mean_net_micro"), F.round(F.col("p_value") + 1e-9, 6).alias("p_value"),
         F.round("design_effect", 8).alias("design_effect"), "effective_n", F.round("lower_bound", 8).alias("lower_bound"), "failures", "champion", "decision",
     )
 
