@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -110,3 +112,72 @@ def streaming_windows(stream: DataFrame, by: str, time: str, key: str, horizon:
 
     schema = f"{by} long, entry_key long, entry_time long, exit_key long, exit_time long"
     return stream.select(by, time, key).groupBy(by).applyInPandasWithState(step, schema, "entry_key long, entry_time long", "append", GroupStateTimeout.NoTimeout)
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def list_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside have a state store with lists and timers; the session's setting comes back afterwards."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+class OrderedWindows(StatefulProcessor):
+    """Rows wait in a list until the watermark has passed them; then they are taken in order, whatever batch brought them."""
+
+    def __init__(self, by: str, time: str, key: str, horizon: int):
+        self.by, self.time, self.key, self.horizon = by, time, key, horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, k long")
+        self.entry = handle.getValueState("entry", "t long, k long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            new = [(int(t), int(k)) for t, k in zip(pdf[self.time], pdf[self.key], strict=True)]
+            self.waiting.appendList(new)
+            # In whole milliseconds, so that the timer is not before its last row.
+            self.handle.registerTimer(max(t for t, _ in new) // 1000 + 1)
+        yield pd.DataFrame(columns=[self.by, "entry_key", "entry_time", "exit_key", "exit_time"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((int(t), int(k)) for t, k in self.waiting.get())
+        self.waiting.clear()
+        if rest := [r for r in rows if r[0] > passed]:
+            self.waiting.put(rest)
+        entry, out = self.entry.get() if self.entry.exists() else None, []
+        for t, k in rows[: len(rows) - len(rest)]:
+            if entry is None:
+                entry = (t, k)
+            elif t >= entry[0] + self.horizon:
+                out.append((key[0], entry[1], entry[0], k, t))
+                entry = None
+        if entry is None:
+            self.entry.clear()
+        else:
+            self.entry.update((int(entry[0]), int(entry[1])))
+        yield pd.DataFrame(out, columns=[self.by, "entry_key", "entry_time", "exit_key", "exit_time"])
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_windows(stream: DataFrame, by: str, time: str, key: str, event: str, delay: str, horizon: int) -> DataFrame:
+    """Like streaming_windows, for rows that come up to `delay` late, in any batch: the windows are those of a batch run.
+
+    event is the timestamp of `time` (microseconds). Later rows than that are dropped by the watermark. A window comes out
+    once the watermark has passed its exit. Start it inside `list_state`.
+    """
+    rows = stream.withWatermark(event, delay).select(by, time, key, event)
+    return rows.groupBy(by).transformWithStateInPandas(OrderedWindows(by, time, key, horizon), f"{by} long, entry_key long, entry_time long, exit_key long, exit_time long", "Append", "EventTime")
