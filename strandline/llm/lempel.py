@@ -2,10 +2,10 @@
 
 The reference is the corpus itself, cut into blocks by the leading words around sampled anchors (see `repeats`): a piece
 of a document can only have a long factor in the block that its anchor belongs to, so that it is parsed against that
-block's index and no other. A block indexes every window of `width` words. The parse is greedy: at the first indexed
-window with another occurrence the factor is extended word by word as far as it goes; the parse goes on at the factor's
-boundary, where the windows that straddle its end are looked up one by one. Factors of `width` words or more are
-duplicate spans, and their words are removed at all places.
+block and no other. A block is indexed by a suffix array over its words. The parse is greedy: a phrase is the longest run
+of words with another occurrence in the block, a word without one is a literal, and the next phrase begins where the last
+one ends. Phrases of `width` words or more are duplicate spans. What is left are repetitions across a boundary of two
+phrases, which are looked up there (`ReferenceBlock.factors`). The words of all these factors are removed at all places.
 
 Defined cases: a null text has no words; texts of fewer than `width` words keep all. Matches never cross documents, but
 a document may repeat itself. Repeated rows, even with equal ids, repeat each other. Very long texts and words are
@@ -15,7 +15,6 @@ handled in chunks. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -52,58 +51,82 @@ def cutter(text: bytes):
 
 
 class ReferenceBlock:
-    """Indexed word windows of one block of reference pieces."""
+    """A block of reference pieces under a suffix array over words; a suffix ends with its piece."""
 
-    def __init__(self, pieces: list[bytes], width: int):
+    def __init__(self, pieces: list[bytes]):
         vocabulary: dict[bytes, int] = {}
-        words = [[vocabulary.setdefault(w, len(vocabulary)) for w in p.split()] for p in pieces]
-        self.width = width
-        self.edge = np.concatenate([[0], np.cumsum([len(w) for w in words])]).tolist()
-        self.ids = [i for w in words for i in w]
-        code = np.array(self.ids, dtype=np.int64)
-        have = 1
-        while have < width and len(code) > have:
-            step = min(have, width - have)
-            code = np.unique(code[: len(code) - step] * (int(code.max()) + 1) + code[step:], return_inverse=True)[1]
-            have += step
-        if have < width:
-            code = code[:0]
-        start = np.arange(len(code))
-        inside = start + width <= np.array(self.edge)[np.searchsorted(self.edge, start, side="right")]
-        start, code = start[inside], code[inside]
-        order = np.argsort(code, kind="stable")
-        start, code = start[order], code[order]
-        # The other occurrence of each window: its neighbour in the index, if that has the same words.
-        other = np.full(len(self.ids) + 1, -1, dtype=np.int64)
-        same = code[1:] == code[:-1]
-        other[start[1:][same]] = start[:-1][same]
-        other[start[:-1][same]] = start[1:][same]
-        self.other = other.tolist()
-
-    def factors(self, piece: int) -> list[tuple[int, int, int]]:
-        """Greedy parse of one piece: (first word, source in the block, words) of its factors of `width` words or more."""
-        begin, end = self.edge[piece], self.edge[piece + 1]
-        ids, other, width, out = self.ids, self.other, self.width, []
-        i = begin
-        while i + width <= end:
-            source = other[i]
-            if source < 0:
-                i += 1
-                continue
-            n, stop = width, min(end - i, self.edge[bisect_right(self.edge, source)] - source)
-            while n < stop and ids[i + n] == ids[source + n]:
-                n += 1
-            out.append((i - begin, source, n))
-            i += n - width + 1
+        words = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in p.split()] for p in pieces]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.edge = np.concatenate([[0], np.cumsum(sizes)])
+        self.ids = np.array([i for w in words for i in w], dtype=np.int64)
+        n = len(self.ids)
+        self.end = np.repeat(self.edge[1:], sizes)
+        # Ranks of the first 1, 2, 4, ... words of all suffixes; 0 stands for the end of the piece.
+        rank, have, levels = self.ids, 1, [self.ids]
+        while have < sizes.max(initial=0):
+            after = np.zeros(n, dtype=np.int64)
+            inside = np.flatnonzero(np.arange(n) + have < self.end)
+            after[inside] = rank[inside + have]
+            rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1] + 1
+            have *= 2
+            levels.append(rank)
+        order = np.argsort(rank, kind="stable")
+        common = self.common(order[:-1], order[1:], levels)
+        # The longest other occurrence of what begins at a place is at a neighbour in suffix order.
+        length, source = np.zeros(n, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+        length[order[1:]], source[order[1:]] = common, order[:-1]
+        better = common > length[order[:-1]]
+        length[order[:-1][better]], source[order[:-1][better]] = common[better], order[1:][better]
+        self.length, self.source = length.tolist(), source.tolist()
+
+    def common(self, one: np.ndarray, two: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+        """How many words the suffixes at places `one` and `two` have in common."""
+        most = np.minimum(self.end[one] - one, self.end[two] - two)
+        n = np.zeros(len(one), dtype=np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            open_ = np.flatnonzero(n < most)
+            same = open_[levels[k][one[open_] + n[open_]] == levels[k][two[open_] + n[open_]]]
+            n[same] += 1 << k
+        return np.minimum(n, most)
+
+    def parse(self, piece: int) -> list[tuple[int, int, int]]:
+        """The piece's greedy phrases (first word, source in the block, words), one after another without a gap.
+
+        A phrase is the longest run of words with another occurrence in the block; a word without one is a literal, with
+        source -1 and no words.
+        """
+        begin, stop = int(self.edge[piece]), int(self.edge[piece + 1])
+        out, i = [], begin
+        while i < stop:
+            n = self.length[i]
+            out.append((i - begin, self.source[i] if n else -1, n))
+            i += n or 1
+        return out
+
+    def factors(self, piece: int, width: int) -> list[tuple[int, int, int]]:
+        """(first word, source, words) of factors of `width` words or more that together hold every such repetition.
+
+        They are the long phrases, and those found at boundaries: a phrase with the word after it occurs nowhere else, so
+        that a repetition can cross one boundary, not two, and lies in the two phrases around it, less their first word.
+        """
+        begin = int(self.edge[piece])
+        phrases = self.parse(piece)
+        out = [p for p in phrases if p[2] >= width]
+        for (i, _, n), (boundary, _, after) in zip(phrases, phrases[1:], strict=False):
+            if after and n + after > width:
+                for j in range(max(i + 1, boundary - width + 1), min(boundary, boundary + after - width + 1)):
+                    if self.length[begin + j] >= width:
+                        out.append((j, self.source[begin + j], self.length[begin + j]))
         return out
 
 
 def matches(payloads: list[bytes], width: int) -> list[np.ndarray]:
-    block = ReferenceBlock(payloads, width)
+    """For each piece the flags of the windows that its factors hold."""
+    block = ReferenceBlock(payloads)
     flags = []
     for k in range(len(payloads)):
-        flag = np.zeros(max(0, block.edge[k + 1] - block.edge[k] - width + 1), dtype=bool)
-        for start, _, n in block.factors(k):
+        flag = np.zeros(max(0, int(block.edge[k + 1] - block.edge[k]) - width + 1), dtype=bool)
+        for start, _, n in block.factors(k, width):
             flag[start : start + n - width + 1] = True
         flags.append(flag)
     return flags

@@ -105,6 +105,35 @@ def test_chunks_of_long_texts(monkeypatch):
 
 
 def test_greedy_factors():
-    block = lempel.ReferenceBlock([b"a b c d e f", b"x b c d e y", b"b c d"], 3)
-    assert block.factors(0) == [(1, 7, 4)]
-    assert block.factors(2) == [(0, 7, 3)]
+    block = lempel.ReferenceBlock([b"a b c d e f", b"x b c d e y", b"b c d"])
+    assert block.parse(0) == [(0, -1, 0), (1, 7, 4), (5, -1, 0)]
+    assert block.factors(0, 3) == [(1, 7, 4)]
+    assert [(i, n) for i, _, n in block.factors(2, 3)] == [(0, 3)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_phrases_rebuild_the_pieces_and_long_factors_are_the_repeated_windows(seed):
+    """Every phrase stands elsewhere in the block, is as long as can be, and together they give the text back."""
+    pieces = [x for x in corpus(seed, ["a", "b", "cc"][: 2 + seed % 2] + ["d"] * (seed % 3 == 0), n=25, most=60)]
+    block = lempel.ReferenceBlock([" ".join(p).encode() for p in pieces])
+    flat = [w for p in pieces for w in p]
+    elsewhere = lambda i, n: any(p[k : k + n] == flat[i : i + n] and int(block.edge[q]) + k != i for q, p in enumerate(pieces) for k in range(len(p) - n + 1))
+    for k, piece in enumerate(pieces):
+        at, rebuilt = int(block.edge[k]), []
+        for i, source, n in block.parse(k):
+            assert i == len(rebuilt) and (source == at + i) is False
+            rebuilt += flat[source : source + n] if n else [piece[i]]
+            assert i + n == len(piece) or not elsewhere(at + i, n + 1)
+        assert rebuilt == piece
+    for width in (3, 8, 20):
+        gone = brute(pieces, width)
+        for k, flag in enumerate(lempel.matches([" ".join(p).encode() for p in pieces], width)):
+            assert {i + j for i in np.flatnonzero(flag).tolist() for j in range(width)} == gone[k]
+
+
+def test_without_long_factors_nothing_is_removed(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "same words in both texts " * 20 + str(k)) for k in range(2)], "doc_id long, text string")
+    assert {r.n_removed for r in lempel.lempel_ziv_dedup(docs, 15).collect()} == {100}
+    monkeypatch.setattr(lempel.ReferenceBlock, "factors", lambda self, piece, width: [])
+    flags = lempel.matches([b"a b c", b"a b c"], 2)
+    assert [f.tolist() for f in flags] == [[False, False]] * 2
