@@ -217,18 +217,55 @@ def test_counts_equal_brute_force():
         assert quality.counts_of(t.encode())[:5] == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dups, len(covered))
 
 
-def test_label_model_finds_kinds_of_bad_texts():
-    rng = np.random.default_rng(5)
-    n, m = 20_000, len(quality.RULES)
-    kind = rng.choice([0, 1, 2], n, p=[0.85, 0.1, 0.05])
-    votes = np.where(rng.random((n, m)) < 0.15, 0, np.where(rng.random((n, m)) < 0.98, 1, -1))
-    votes[kind == 1, 2] = np.where(rng.random((kind == 1).sum()) < 0.95, -1, 1)
-    votes[kind == 2, 5] = votes[kind == 2, 6] = -1
+def planted(seed, n=30_000):
+    """Votes of three kinds of texts, with errors and abstentions; (kind, votes, approval rates by kind)."""
+    rng = np.random.default_rng(seed)
+    rules = quality.RULES
+    rate = np.full((3, len(rules)), 0.97)
+    rate[0, rules.index("capitals")] = 0.85  # a rule that objects to many good texts
+    for r, x in (("symbols", 0.1), ("marked_words", 0.15), ("letters", 0.35), ("wordless", 0.4)):
+        rate[1, rules.index(r)] = x
+    for r, x in (("repeated_lines", 0.2), ("repeated_words", 0.1), ("top_word", 0.3)):
+        rate[2, rules.index(r)] = x
+    kind = rng.choice(3, n, p=[0.8, 0.12, 0.08])
+    votes = np.where(rng.random((n, len(rules))) < 0.1, 0, np.where(rng.random((n, len(rules))) < rate[kind], 1, -1))
+    return kind, votes, rate
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_label_model_recovers_planted_accuracies(seed):
+    kind, votes, rate = planted(seed)
     codes, counts = np.unique(quality.codes_of(votes), return_counts=True)
     model = quality.fit(codes, counts)
-    kept = model.posterior[quality.codes_of(votes)] >= 0.5
-    assert kept[kind == 0].mean() > 0.9 and kept[kind == 1].mean() < 0.15 and kept[kind == 2].mean() < 0.05
-    assert quality.fit(np.zeros(0, int), np.zeros(0, int)).posterior.shape == (3**m,)
+    for k, name in ((0, 0), (1, 1 + list(quality.KINDS).index("symbols")), (2, 1 + list(quality.KINDS).index("repetition"))):
+        assert np.abs(model.approve[name] - rate[k]).max() < 0.05 and abs(model.classes[name] - (kind == k).mean()) < 0.05
+    truly = np.where(kind[:, None] == 0, votes == 1, votes == -1).sum(axis=0) / (votes != 0).sum(axis=0)
+    assert np.abs(np.array([model.accuracy[r] for r in quality.RULES]) - truly).max() < 0.05
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_label_model_weighs_votes(seed):
+    """As good as the planted rates themselves: one objection can be outvoted, several add up; no all-must-pass filter."""
+    _, votes, rate = planted(seed)
+    codes = quality.codes_of(votes)
+    model = quality.fit(*np.unique(codes, return_counts=True))
+    kept, best = model.posterior[codes] >= 0.5, quality.likelihoods(votes, np.array([0.8, 0.12, 0.08]), rate)[:, 0] >= 0.5
+    assert (kept == best).mean() > 0.97
+    objections = (votes == -1).sum(axis=1)
+    assert kept[objections == 1].mean() > 0.85 and kept[objections >= 4].mean() < 0.01
+    one = lambda *names: model.posterior[quality.codes_of(np.array([[-1 if r in names else 1 for r in quality.RULES]]))][0]
+    assert one("letters") > 0.5 and one("wordless") > 0.5 and one("letters", "wordless", "marked_words") < 0.5
+
+
+def test_label_model_without_documents():
+    assert quality.fit(np.zeros(0, int), np.zeros(0, int)).posterior.shape == (3 ** len(quality.RULES),)
+
+
+def test_new_counts_of_quality():
+    t = "abc### ||| 12 x% 12 12\n\n--".encode()
+    assert quality.counts_of(t)[-3:] == (3, 5, 3) and quality.counts_of(b" \n")[-3:] == (0, 0, 0)
+    votes = quality.votes_of(np.array([quality.counts_of(b"word### " * 40)]), quality.Thresholds())[0]
+    assert {r for r, v in zip(quality.RULES, votes, strict=True) if v == -1} == {"symbols", "marked_words", "letters", "repeated_words", "top_word"}
 
 
 # -- lines --------------------------------------------------------------------------------------------------------
