@@ -11,7 +11,7 @@ from strandline.functions import text
 from strandline.operators import materialize, publish
 from strandline.plans import feeds
 from strandline.plans.core import query
-from strandline.sources import archives, rawlog, timetable
+from strandline.sources import archives, campaigns, rawlog, timetable
 from strandline.sources import tables as t
 from strandline.sources.checkpoints import checkpoint_folder
 
@@ -148,3 +148,38 @@ def custom_orders(spark, d):
     ranked = channels.select(F.lit("channel").alias("what"), F.concat("event_type", F.lit("/"), empty).alias("name"), "n", F.row_number().over(one.orderBy("event_type", empty)).alias("place"))
     days = e.groupBy("day").agg(F.count("*").alias("n"))
     return ranked.unionByName(days.select(F.lit("day").alias("what"), F.col("day").alias("name"), "n", F.row_number().over(one.orderBy(F.col("day") >= "2024-01-19", "day")).alias("place")))
+
+
+SEALED_SQL = "SELECT us // 86400000000 AS day, count(*) AS n, min(us) AS first, max(us) AS last FROM ev GROUP BY us // 86400000000"
+
+
+def campaign(spark, d) -> tuple[str, DataFrame]:
+    """The events' days as captured segments, of which every seventh was never sealed."""
+    root = folder(spark, "campaign")
+    rows = t.events(spark, d).select("event_id", "dom", "us", "cents", F.expr("cast(us div 86400000000 as string)").alias(campaigns.SEGMENT))
+    campaigns.capture(rows, root)
+    days = campaigns.found(spark, root).where(F.col(campaigns.SEGMENT).cast("long") % 7 != 0)
+    campaigns.seal(spark, root, rows.drop(campaigns.SEGMENT).schema, "us", days)
+    return root, rows.drop(campaigns.SEGMENT)
+
+
+@query(f"SELECT day, CASE WHEN day % 7 = 0 THEN 'INCOMPLETE' ELSE 'PUBLISHED' END AS state, CASE WHEN day % 7 <> 0 THEN n END AS n, CASE WHEN day % 7 <> 0 THEN first END AS first, CASE WHEN day % 7 <> 0 THEN last END AS last FROM ({SEALED_SQL})")
+def campaign_segments(spark, d):
+    """SRC-28, SRC-29: published and incomplete segments, found by listing and evidence."""
+    root, _ = campaign(spark, d)
+    return campaigns.discover(spark, root).select(F.col(campaigns.SEGMENT).cast("long").alias("day"), "state", "n", "first", "last")
+
+
+@query("SELECT event_id, dom, us, cents FROM ev WHERE us // 86400000000 % 7 <> 0")
+def campaign_rows(spark, d):
+    """SRC-28, SET-02: rows of published segments; an incomplete segment's files are not opened."""
+    root, rows = campaign(spark, d)
+    return campaigns.published(spark, root, rows.schema).select("event_id", "dom", "us", "cents")
+
+
+@query(f"SELECT day, 'PUBLISHED' AS state, n, first, last FROM ({SEALED_SQL})")
+def campaign_recovered(spark, d):
+    """SUP-45: segments that a lost run left unbound are sealed before new work."""
+    root, rows = campaign(spark, d)
+    campaigns.recover(spark, root, rows.schema, "us")
+    return campaigns.discover(spark, root).select(F.col(campaigns.SEGMENT).cast("long").alias("day"), "state", "n", "first", "last")

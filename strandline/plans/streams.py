@@ -8,6 +8,7 @@ from strandline.plans.core import ORACLES, query
 from strandline.plans.market import LONG
 from strandline.sources import tables as t
 from strandline.streaming import captures
+from strandline.streaming.supervise import supervised
 
 
 def stream(spark, d):
@@ -44,3 +45,12 @@ def stream_windows(spark, d):
 
 
 ORACLES["stream_windows"] = f"SELECT dom, entry_key, entry_time, exit_key, exit_time FROM ({ORACLES['windows_exit_plus_one']}) WHERE exit_key IS NOT NULL"
+
+
+@query("SELECT 'COMPLETE' AS state, count(*) AS rows_in, count(*) AS rows_out FROM ev")
+def stream_counters(spark, d):
+    """SNK-02, STM-02, STM-05: the listener's count of a supervised run against what its sink holds."""
+    out = captures.folder(spark)
+    rows = stream(spark, d).select("event_id", "us")
+    run = supervised(spark, lambda: rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{out}/rows").agg(F.lit(run.state).alias("state"), F.lit(run.rows).cast("long").alias("rows_in"), F.count("*").alias("rows_out"))
