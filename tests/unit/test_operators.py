@@ -253,6 +253,43 @@ def test_capture_to_published_dataset(spark, tmp_path):
     assert materialize.publish_normalized(frames.repartition(5), root) == one
 
 
+def test_report_of_frames_counts_what_the_tables_hold(spark, tmp_path):
+    """Odd frames: the header and the report agree with the typed tables."""
+    from strandline.operators import materialize
+
+    trade = {"coin": "X", "side": "A", "px": "100.5000", "sz": "2", "hash": "h", "time": 5, "tid": 7, "users": ["a", "b"]}
+    side, level = {"px": "1.0", "sz": "2", "n": 1}, {"px": "1", "sz": "2", "n": 3}
+    bbo = lambda *x: {"channel": "bbo", "data": {"coin": "X", "time": 1, "bbo": list(x)}}
+    book = lambda *x: {"channel": "l2Book", "data": {"coin": "X", "time": 1, "levels": list(x)}}
+    context = lambda **x: {"channel": "activeAssetCtx", "data": {"coin": "X", "ctx": {"funding": "1", "markPx": "2", "oraclePx": "3"} | x}}
+    ticker = {"e": "bookTicker", "s": "XY", "b": "1", "B": "2", "a": "3", "A": "4", "T": 9}
+    made = {"e": "aggTrade", "s": "XY", "p": "1", "q": "2", "a": 3, "T": 9, "m": True}
+    payloads = [
+        bbo(side, side), bbo(side), bbo(None, None), bbo(side, side, side), bbo(side | {"sz": "0"}, side), {"channel": "bbo"}, {"channel": "bbo", "data": None},
+        book([level, level], [level]), book([], []), book([level], []), book([level]), book(None, [level]), book([None], None), {"channel": "l2Book", "data": []},
+        {"channel": "trades", "data": [trade] * 3}, {"channel": "trades", "data": []}, {"channel": "trades", "data": [trade, trade | {"px": "-1"}]}, {"channel": "trades", "data": [None]}, {"channel": "trades"}, {"channel": "trades", "data": "x"},
+        context(), context(funding="x"), context(markPx="", oraclePx="y"), context(markPx=2), {"channel": "activeAssetCtx", "data": {}}, {"channel": "subscriptionResponse"}, {"channel": "pong"}, {}, [], "x", None,
+        {"stream": "s", "data": ticker}, {"stream": "s", "data": ticker | {"a": "0"}}, {"stream": "s", "data": made}, {"stream": "s", "data": made | {"m": 1}}, {"channel": "bbo", "data": ticker | {"bbo": [side, side]}},
+    ]
+    (tmp_path / "a.rawlog").write_bytes(b"".join(rawlog.encode(*frame("a", k, p)) for k, p in enumerate(payloads)))
+    frames = rawlog.raw_frames(spark, str(tmp_path))
+    tables = {name: df.cache() for name, df in materialize.normalized(frames).items()}
+    kinds = {"bbo": "BBO", "trades": "TRADE", "funding_rates": "FUNDING_RATE", "mark_prices": "MARK_PRICE", "oracle_prices": "ORACLE_PRICE", "reference_bbo": "REFERENCE_BBO", "reference_trades": "REFERENCE_TRADE", "l2_snapshots": "L2_SNAPSHOT"}
+    for name, kind in kinds.items():
+        ids = sorted(r.event_id for r in tables[name].select("event_id").collect())
+        assert ids and ids == sorted(r.event_id for r in tables["events"].where(F.col("event_type") == kind).collect()), name
+    n = {r.frame_id: r.n_events for r in tables["frames"].collect()}
+    assert len(n) == len(payloads) and sum(n.values()) == tables["events"].count() == sum(tables[name].count() for name in kinds)
+    assert sorted(materialize.frames_report(frames).collect()) == sorted(materialize.report(tables).collect())
+
+
+def test_normalized_report_decodes_its_raw_log_once(spark):
+    from strandline.plans import lake
+
+    plan = lake.normalized_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert plan.count("BatchScan") == 1
+
+
 def test_lifecycle_reasons(spark):
     from strandline.operators import lifecycle
 
