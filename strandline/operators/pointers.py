@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.scan import CELL, CELL_ROWS, SPLITS, Cells
+from strandline.operators.scan import CELL, SPLITS, Cells
 from strandline.sources.checkpoints import cut
 
 #: Cells that make one cell of the next level, as a power of two.
 FAN_BITS = 6
+#: Rows that a task takes into Python at a time, and rows of a cell beyond which it is split.
+WALK_ROWS = 1 << 15
 DOOR = "_door"
 SPLIT_BITS = SPLITS.bit_length() - 1
 
@@ -49,7 +51,7 @@ def places_of(cells: pa.Table, code: np.ndarray, entered: pa.Table, key: str, gr
     return doors.select([*groups, key]).to_pandas().drop_duplicates().merge(left, on=[*groups, key], how="inner")["_place"].to_numpy()
 
 
-def reached(rows: DataFrame, by: Sequence[str], time: str, key: str, to_time: str, to_key: str, width: int, most: int = CELL_ROWS) -> DataFrame:
+def reached(rows: DataFrame, by: Sequence[str], time: str, key: str, to_time: str, to_key: str, width: int, most: int = WALK_ROWS) -> DataFrame:
     """Those rows that are on the way from each domain's first row, by (time, key). A null pointer ends the way.
 
     key is unique in a domain, and (to_time, to_key) is a later row of it.

@@ -169,6 +169,28 @@ def test_pointers_with_several_levels(spark):
         assert {r.k for r in reached(df, ["d"], "t", "k", "tt", "tk", width, most).collect()} == want
 
 
+def test_walks_take_few_rows_at_a_time(spark, tmp_path, monkeypatch):
+    """What Python holds at once does not grow with the table."""
+    from strandline.operators import pointers
+
+    steps_of, folder = pointers.steps_of, str(tmp_path)
+
+    def counted(cells, key, groups):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(cells)))
+        return steps_of(cells, key, groups)
+
+    monkeypatch.setattr(pointers, "steps_of", counted)
+    n, each = 300_000, 100
+    k, last = F.col("id"), F.col("id") % each == each - 1
+    rows = spark.range(n).select(F.expr(f"id div {each}").alias("d"), (k % each).alias("t"), k.alias("k"), F.when(~last, k % each + 1).alias("tt"), F.when(~last, k + 1).alias("tk"))
+    assert reached(rows, ["d"], "t", "k", "tt", "tk", each).count() == n
+    seen = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(seen) >= n and max(seen) < 1.5 * (1 << 15)
+
+
 @pytest.mark.parametrize("most", [5, 40, 10_000])
 def test_ranks_of_large_groups(spark, most):
     """Groups of many distinct values, of one value for nearly all rows, and of one row, through ever smaller ranges."""
