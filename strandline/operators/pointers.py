@@ -2,10 +2,14 @@
 
 Following pointers one by one is sequential. Here a domain is cut into cells of time, and a cell, seen from outside, is a
 table: from each row at which it can be entered to the row outside at which the walk lands. Cells are tables with far
-fewer rows than the cell has, FAN of them make a larger cell in the same way, and so on, until a domain is one cell. Then
+fewer rows than the cell has, some of them make a larger cell in the same way, and so on, until a domain is one cell. Then
 the way back: where each larger cell is entered says where each cell in it is entered, down to the rows themselves. So no
 task ever holds more than one cell of some level, and the number of passes grows with the logarithm of the time span.
 
+Where pointers lead out of a cell from most of its rows, its table is no smaller than it is. Tables are counted before they
+are put together, and the larger they are, the fewer make a larger cell; at least two do. So a cell's table has at most the
+rows that are pointed to across its border, and a task holds MERGED times `most` rows, or two such tables.
+
 In a task many cells are walked at once, by numpy. All levels are written, so that a lost executor costs one pass.
 """
 
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from strandline.operators.scan import CELL, SPLITS, Cells
 from strandline.sources.checkpoints import cut
 
-#: Cells that make one cell of the next level, as a power of two.
+#: Cells that make one cell of the next level at most, as a power of two.
 FAN_BITS = 6
+#: Rows of the tables that make one cell of the next level, in times of `most`.
+MERGED = 8
 #: Rows that a task takes into Python at a time, and rows of a cell beyond which it is split.
 WALK_ROWS = 1 << 15
 DOOR = "_door"
@@ -67,23 +73,32 @@ def reached(rows: DataFrame, by: Sequence[str], time: str, key: str, to_time: st
     span = level0.agg(F.min(wide).alias("low"), F.max(wide).alias("high"), F.max(F.expr(f"{CELL} & {SPLITS - 1}")).alias("part"), F.count("*").alias("n")).first()
     if not span["n"]:
         return rows
-    levels = 0 if span["low"] == span["high"] and not span["part"] else 1 + -(-(span["high"] - span["low"]).bit_length() // FAN_BITS)
-
-    def cell(level: int, name: str) -> Column:
-        if level == 0:
-            return F.col(name)
-        return F.call_function("shiftright", F.call_function("shiftright", F.col(name), F.lit(SPLIT_BITS)) - span["low"], F.lit(FAN_BITS * (level - 1)))
+    top = ((span["high"] - span["low"]) << SPLIT_BITS) + span["part"]
+
+    def cell(bits: int, name: str) -> Column:
+        """A cell's number without its last bits is the number of the larger cell that it lies in."""
+        return F.call_function("shiftright", F.col(name) - (span["low"] << SPLIT_BITS), F.lit(bits))
+
+    def wider(bits: int, table: DataFrame) -> int:
+        """Bits of the next level, when cells have these tables."""
+        largest = table.groupBy(*by, cell(bits, CELL).alias("_group")).count().agg(F.max("count")).first()[0] or 1
+        fan = min(max((MERGED * most // largest).bit_length() - 1, 1), FAN_BITS)
+        parts = span["part"].bit_length()
+        if bits < parts:
+            bits = min(bits + fan, parts)
+            return SPLIT_BITS if bits == parts else bits
+        return min(max(bits, SPLIT_BITS) + fan, top.bit_length())
 
     buckets = max(rows.sparkSession.sparkContext.defaultParallelism, -(-span["n"] // most))
     groups = [*by, "_group"]
 
-    def dealt(df: DataFrame, level: int) -> DataFrame:
-        grouped = df.withColumn("_group", cell(level, CELL))
+    def dealt(df: DataFrame, bits: int) -> DataFrame:
+        grouped = df.withColumn("_group", cell(bits, CELL))
         return grouped.withColumn("_bucket", F.pmod(F.xxhash64(*groups), F.lit(buckets)))
 
-    def walk(df: DataFrame, level: int, entered: DataFrame, every: bool) -> DataFrame:
+    def walk(df: DataFrame, bits: int, entered: DataFrame, every: bool) -> DataFrame:
         """every: all rows on the way from where cells are entered. Else: only these, pointing to where the walk lands."""
-        inside = dealt(df, level).withColumn("_inside", F.coalesce(F.col("_group") == cell(level, "_to_cell"), F.lit(False)))
+        inside = dealt(df, bits).withColumn("_inside", F.coalesce(F.col("_group") == cell(bits, "_to_cell"), F.lit(False)))
         columns = df.columns
 
         def run(cells: pa.Table, doors: pa.Table) -> pa.Table:
@@ -112,18 +127,19 @@ def reached(rows: DataFrame, by: Sequence[str], time: str, key: str, to_time: st
             return out
 
         # Both sides come from one table: columns under new names keep them apart.
-        doors = dealt(entered, level).select(*[F.col(c).alias(f"{DOOR}{c}") for c in ("_bucket", *groups, key)])
+        doors = dealt(entered, bits).select(*[F.col(c).alias(f"{DOOR}{c}") for c in ("_bucket", *groups, key)])
         return inside.groupBy("_bucket").cogroup(doors.groupBy(f"{DOOR}_bucket")).applyInArrow(run, df.schema)
 
-    tables = [level0]
-    for level in range(levels):
-        here = tables[-1]
-        crossing = here.where(cell(level, CELL) != cell(level, "_to_cell")).select(*by, F.col("_to_key").alias(key), F.col("_to_cell").alias(CELL)).distinct()
+    levels = [(level0, 0)]
+    while top >> levels[-1][1]:
+        here, bits = levels[-1]
+        crossing = here.where(cell(bits, CELL) != cell(bits, "_to_cell")).select(*by, F.col("_to_key").alias(key), F.col("_to_cell").alias(CELL)).distinct()
         bare = here.select(*by, time, key, CELL, "_to_cell", "_to_time", "_to_key")
-        tables.append(cut(walk(bare, level, crossing.unionByName(first), every=False)))
+        table = cut(walk(bare, bits, crossing.unionByName(first), every=False))
+        levels.append((table, wider(bits, table)))
     doors = first
-    for level in range(levels, -1, -1):
-        doors = walk(tables[level], level, doors, every=True)
-        if level:
+    for table, bits in reversed(levels):
+        doors = walk(table, bits, doors, every=True)
+        if bits:
             doors = cut(doors)
     return doors.withColumnsRenamed({"_to_time": to_time, "_to_key": to_key}).select(*names)

@@ -191,6 +191,28 @@ def test_walks_take_few_rows_at_a_time(spark, tmp_path, monkeypatch):
     assert sum(seen) >= n and max(seen) < 1.5 * (1 << 15)
 
 
+def test_walks_over_dense_rows_take_few_at_a_time(spark, tmp_path, monkeypatch):
+    """All rows are pointed to from outside their cell; no task takes them together, however many cells a horizon has."""
+    from strandline.operators import pointers
+
+    steps_of, folder = pointers.steps_of, str(tmp_path)
+
+    def counted(cells, key, groups):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(cells)))
+        return steps_of(cells, key, groups)
+
+    monkeypatch.setattr(pointers, "steps_of", counted)
+    n, horizon, most = 120_000, 3_000, 1_000
+    k, last = F.col("id"), F.col("id") >= n - horizon
+    rows = spark.range(n).select(F.lit("a").alias("d"), k.alias("t"), k.alias("k"), F.when(~last, k + horizon).alias("tt"), F.when(~last, k + horizon).alias("tk"))
+    assert sorted(r.k for r in reached(rows, ["d"], "t", "k", "tt", "tk", 64 * horizon, most).collect()) == list(range(0, n, horizon))
+    seen = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(seen) >= n and max(seen) <= 24 * most
+
+
 @pytest.mark.parametrize("most", [5, 40, 10_000])
 def test_ranks_of_large_groups(spark, most):
     """Groups of many distinct values, of one value for nearly all rows, and of one row, through ever smaller ranges."""
